@@ -125,7 +125,7 @@ def mean_centres(rows: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.sum("value").alias("total"))
     )
     sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(F.broadcast(sizes), "cluster").select(
+    return sums.join(sizes, "cluster").select(
         "cluster", "pos", (F.col("total") / F.col("n")).alias("value")
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,22 +27,26 @@ def agreement(table: DataFrame) -> DataFrame:
 
     ``n``, ``purity_a`` (articles of each cluster of a that share its most
     common cluster of b), ``purity_b``, and ``adjusted_rand``. The sums work
-    on counts of cluster pairs; no pair of articles is formed.
+    on counts of cluster pairs; no pair of articles is formed. The windows run
+    over the table's few rows, not over articles.
     """
-    per_a = table.groupBy("cluster_a").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    per_b = table.groupBy("cluster_b").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    zero = F.lit(0.0)
-    parts = [
-        table.select(
-            F.col("n").alias("n"), _pairs(F.col("n")).alias("both"), zero.alias("pa"),
-            zero.alias("pb"), F.lit(0).alias("ta"), F.lit(0).alias("tb"),
-        ),
-        per_a.select(F.lit(0), zero, _pairs(F.col("n")), zero, F.col("top"), F.lit(0)),
-        per_b.select(F.lit(0), zero, zero, _pairs(F.col("n")), F.lit(0), F.col("top")),
-    ]
-    sums = (
-        parts[0].union(parts[1]).union(parts[2])
-        .agg(*[F.sum(c).alias(c) for c in ("n", "both", "pa", "pb", "ta", "tb")])
+    of_a, of_b = W.partitionBy("cluster_a"), W.partitionBy("cluster_b")
+    once_a = F.row_number().over(of_a.orderBy("cluster_b")) == 1
+    once_b = F.row_number().over(of_b.orderBy("cluster_a")) == 1
+    rows = table.select(
+        "n",
+        F.when(once_a, F.sum("n").over(of_a)).alias("size_a"),
+        F.when(once_b, F.sum("n").over(of_b)).alias("size_b"),
+        F.when(once_a, F.max("n").over(of_a)).alias("top_a"),
+        F.when(once_b, F.max("n").over(of_b)).alias("top_b"),
+    )
+    sums = rows.agg(
+        F.sum("n").alias("n"),
+        F.sum(_pairs(F.col("n"))).alias("both"),
+        F.sum(_pairs(F.col("size_a"))).alias("pa"),
+        F.sum(_pairs(F.col("size_b"))).alias("pb"),
+        F.sum("top_a").alias("ta"),
+        F.sum("top_b").alias("tb"),
     )
     n, both, pa, pb = (F.col(c) for c in ("n", "both", "pa", "pb"))
     expected = F.try_divide(pa * pb, _pairs(n))

@@ -22,7 +22,7 @@ from themeloom.sources.word_lists import IRREGULAR_LEMMAS
 
 @dataclass(frozen=True)
 class Terms:
-    """What both ways start from. ``matrix`` is a staged table."""
+    """What both ways start from."""
 
     vocabulary: Vocabulary
     matrix: DataFrame
@@ -53,12 +53,17 @@ def prepare(
     stop_words: WordList = (),
     num_terms: int = NUM_TERMS,
     body: str = "text",
+    stage: bool = True,
 ) -> Terms:
-    """Lemmas, vocabulary and the term matrix; two passes over the texts."""
+    """Lemmas, vocabulary and the term matrix; two passes over the texts.
+
+    Leave the matrix unstaged where it is read only once.
+    """
     carried = [c for c in ("docid", "date") if c in articles.columns]
     lemmas = lemmatise(spread(articles.select(*carried, body)), lemma_of, stop_words, body)
     vocabulary = build_vocabulary(lemmas, num_terms)
-    return Terms(vocabulary, staged(term_matrix(lemmas, vocabulary), "term-matrix"))
+    counts = term_matrix(lemmas, vocabulary)
+    return Terms(vocabulary, staged(counts, "term-matrix") if stage else counts)
 
 
 def lsa_projection(terms: Terms, k: int = matrix.RANK) -> tuple[matrix.TruncatedSVD, DataFrame]:
