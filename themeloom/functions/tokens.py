@@ -4,6 +4,7 @@ An article is one row, so its words can be cut, looked up, counted and made
 distinct inside that row. None of these expressions needs a shuffle.
 """
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -14,6 +15,9 @@ WORD_BREAK = r"\W+"
 ONLY_LETTERS = "^[a-z]+$"
 MIN_LENGTH = 3
 
+# Whole words that pass the two rules above, in lower-case text.
+KEPT_WORD = r"(?<!\w)[a-z]{3,}+(?!\w)"
+
 
 def word_forms(text: Column) -> Column:
     """Lower case, cut at every run of non-word characters."""
@@ -48,3 +52,31 @@ def is_kept(lemma: Column, stop_words: Sequence[str] = ()) -> Column:
 
 def keep(lemmas: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(lemmas, lambda lemma: is_kept(lemma, stop_words))
+
+
+def kept_lemmas(
+    text: Column, lemma_of: Mapping[str, str] = {}, stop_words: Sequence[str] = ()
+) -> Column:
+    """Lemmas of a text that are kept, in text order.
+
+    What the word lists do to a form is settled here, before the job: a form
+    is dropped, renamed or left alone. Where only forms that pass the rules
+    for lemmas lead to a kept lemma, the words can be picked out of the text
+    by one pattern, which leaves one hash set test per word for each list.
+    """
+    stops = set(stop_words)
+    leading = {
+        form: lemma
+        for form, lemma in lemma_of.items()
+        if len(lemma) >= MIN_LENGTH and re.search(ONLY_LETTERS, lemma) and lemma not in stops
+    }
+    if not all(re.fullmatch(KEPT_WORD, form) for form in leading):
+        return keep(look_up(word_forms(text), lemma_of), sorted(stops))
+    dropped = sorted((set(lemma_of) - set(leading)) | (stops - set(lemma_of)))
+    renamed = {form: lemma for form, lemma in leading.items() if form != lemma}
+    words = F.regexp_extract_all(
+        F.lower(F.coalesce(text, F.lit(""))), F.lit(KEPT_WORD), F.lit(0)
+    )
+    if dropped:
+        words = F.filter(words, lambda word: ~word.isin(dropped))
+    return look_up(words, renamed)

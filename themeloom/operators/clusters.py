@@ -148,10 +148,7 @@ def squared_distances(
     points = vectors.select("docid", F.posexplode(vector).alias("pos", "x"))
     met = points.join(F.broadcast(turned), "pos", "left")
 
-    def offset(i: int):
-        return F.col("x") - F.coalesce(F.get("at", F.lit(i)), F.lit(0.0))
-
-    sums = [F.sum(offset(i) * offset(i)).alias(f"d{i}") for i in range(len(clusters))]
+    sums = [F.expr(f"sum(pow(x - coalesce(get(at, {i}), 0D), 2)) AS d{i}") for i in range(len(clusters))]
     summed = met.groupBy("docid").agg(*sums)
     pairs = [
         F.struct(F.lit(c).cast("int").alias("cluster"), F.col(f"d{i}").alias("distance"))

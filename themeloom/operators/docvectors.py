@@ -68,12 +68,10 @@ def article_vectors(
     rows = weight_rows(matrix, vocabulary, weighting, keep_empty=True)
     # At most one row per term of the vocabulary.
     found = rows.join(F.broadcast(term_vectors), "term_id", "left")
-    sums = [
-        F.sum(F.col("weight") * F.get("vector", F.lit(i))).alias(f"s{i}") for i in range(size)
-    ]
+    sums = [F.expr(f"sum(weight * get(vector, {i})) AS s{i}") for i in range(size)]
     total = F.sum(F.when(F.col("vector").isNotNull(), F.col("weight"))).alias("total")
     summed = found.groupBy("docid").agg(*sums, total)
-    mean = F.array(*[F.col(f"s{i}") / F.col("total") for i in range(size)])
+    mean = F.expr("array(" + ", ".join(f"s{i} / total" for i in range(size)) + ")")
     return summed.select(
         "docid", F.when(F.col("total") > 0, mean).otherwise(arrays.zeros(size)).alias("vec")
     )

@@ -61,8 +61,8 @@ def lemmatise(
     small_lemmas, small_stops = _small_lemmas(lemma_of), _small_stop_words(stop_words)
     if small_lemmas is None or small_stops is None:
         return _lemmatise_by_join(articles, lemma_of, stop_words, body)
-    resolved = tokens.look_up(tokens.word_forms(F.col(body)), small_lemmas)
-    return articles.withColumn("lemmas", tokens.keep(resolved, small_stops)).drop(body)
+    kept = tokens.kept_lemmas(F.col(body), small_lemmas, small_stops)
+    return articles.withColumn("lemmas", kept).drop(body)
 
 
 def _lemmatise_by_join(

@@ -18,15 +18,16 @@ RANK = 10
 GRAM_COLUMNS = 4096
 
 
-def row_matrix(table: DataFrame, features: str = "features") -> RowMatrix:
-    """A distributed matrix of an ML vector column.
+def row_matrix(table: DataFrame, width: int = 0, features: str = "features") -> RowMatrix:
+    """A distributed matrix of an ML vector column; a known width saves a job.
 
     It sums one partial matrix per partition, so the partitions are joined
     down to one per core first: half a million partial results of a few MB
     would be a shuffle, and a driver load, of their own.
     """
     rows = MLUtils.convertVectorColumnsFromML(table.select(features), features)
-    return RowMatrix(rows.coalesce(table.sparkSession.sparkContext.defaultParallelism))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return RowMatrix(rows.coalesce(cores), numCols=width)
 
 
 def orient(columns: np.ndarray) -> np.ndarray:
@@ -49,16 +50,15 @@ class TruncatedSVD:
 
 
 def truncated_svd(
-    table: DataFrame, k: int = RANK, features: str = "features", gram_columns: int = GRAM_COLUMNS
+    table: DataFrame, width: int, k: int = RANK, gram_columns: int = GRAM_COLUMNS
 ) -> TruncatedSVD:
-    """Rank ``k`` SVD of the rows.
+    """Rank ``k`` SVD of the ``features`` of all rows, ``width`` columns wide.
 
     Up to ``gram_columns`` columns, one pass adds up the Gram matrix, whose
     eigenvectors are the basis. A wider matrix goes to Spark's own solver,
     which passes over the data many times and never holds the Gram matrix.
     """
-    matrix = row_matrix(table, features)
-    width = matrix.numCols()
+    matrix = row_matrix(table, width)
     if width > gram_columns:
         svd = matrix.computeSVD(k)
         return TruncatedSVD(svd.s.toArray(), orient(svd.V.toArray()))
@@ -83,12 +83,9 @@ def project(rows: DataFrame, basis: DataFrame, k: int) -> DataFrame:
     whose term it lacks count as zero, and no article is lost.
     """
     found = rows.join(F.broadcast(basis), "term_id", "left")
-    sums = [
-        F.coalesce(F.sum(F.col("weight") * F.get("loadings", F.lit(i))), F.lit(0.0)).alias(f"c{i}")
-        for i in range(k)
-    ]
+    sums = [F.expr(f"coalesce(sum(weight * get(loadings, {i})), 0D) AS c{i}") for i in range(k)]
     projected = found.groupBy("docid").agg(*sums)
-    return projected.select("docid", F.array(*[F.col(f"c{i}") for i in range(k)]).alias("projection"))
+    return projected.select("docid", F.array(*[f"c{i}" for i in range(k)]).alias("projection"))
 
 
 def long_form(table: DataFrame, vector: str, pos: str = "pos", value: str = "value") -> DataFrame:

@@ -34,7 +34,8 @@ def standardise(
 def covariance(table: DataFrame, vector: str = "vec") -> DataFrame:
     """``i, j, cov`` for i <= j, over all rows of an array column.
 
-    The matrix is as wide as one vector, so it fits the driver.
+    The matrix is as wide as one vector, so it fits the driver. The table is
+    read more than once.
     """
     features = table.select(as_features(vector).alias("features"))
     cov = row_matrix(features).computeCovariance().toArray()

@@ -273,7 +273,8 @@ def standardised(spark, folder):
 
 
 def covariance(spark, folder):
-    table = reduce.covariance(_vectors(spark, folder, _terms(spark, folder)))
+    vecs = staged(_vectors(spark, folder, _terms(spark, folder)), "article-vectors")
+    table = reduce.covariance(vecs)
     return table.select("i", "j", _rounded("cov", 9).alias("cov"))
 
 
@@ -356,7 +357,8 @@ def compare_agreement(spark, folder):
 
 def lsa_singular_values(spark, folder):
     terms = _terms(spark, folder)
-    return matrix.truncated_svd(terms.weighted()).values_table(spark)
+    svd = matrix.truncated_svd(terms.weighted(), len(terms.vocabulary.terms))
+    return svd.values_table(spark)
 
 
 def lsa_projection(spark, folder):

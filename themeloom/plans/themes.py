@@ -68,7 +68,7 @@ def prepare(
 
 def lsa_projection(terms: Terms, k: int = matrix.RANK) -> tuple[matrix.TruncatedSVD, DataFrame]:
     """SVD of the weights, and ``docid, projection``."""
-    svd = matrix.truncated_svd(terms.weighted(), k)
+    svd = matrix.truncated_svd(terms.weighted(), len(terms.vocabulary.terms), k)
     basis = matrix.basis_table(terms.matrix.sparkSession, svd.basis)
     rows = weight_rows(terms.matrix, terms.vocabulary, keep_empty=True)
     return svd, matrix.project(rows, basis, len(svd.values))
