@@ -38,6 +38,11 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
 
 
+def numbered(a: Column) -> Column:
+    """``array<struct<pos, value>>`` of an array."""
+    return F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("value")))
+
+
 def entries(vector: Column) -> Column:
     """Entries of an ML vector as ``array<struct<term_id, value>>``.
 

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import Normalizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,13 +68,16 @@ def fit_themes(
 
     Spark has ignored its own ``runs`` setting since 2.0, so one run is the
     default; with more, the cheapest of several seeds is kept. The rows are
-    put in a fixed order in a fixed number of partitions, so a fit repeats.
+    put in a fixed order, in as many partitions as they came in or more, so
+    that a fit repeats.
     """
     spark = table.sparkSession
     rows = table.select("docid", features)
     if normalise:
         rows = unit_length(rows, features)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()
+    )
     rows = rows.repartition(partitions, "docid").sortWithinPartitions("docid").persist()
     try:
         best = None
@@ -113,19 +116,20 @@ def load_model(path: str) -> KMeansModel:
     return KMeansModel.load(path)
 
 
-def mean_centres(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Centres of given labels: ``cluster, pos, value`` means of long rows.
+def mean_centres(table: DataFrame, labels: DataFrame, numbered: Column) -> DataFrame:
+    """Centres of given labels: ``cluster, pos, value``.
 
-    ``rows`` is ``docid, pos, value``; an absent row counts as zero. The
-    rows are added up per cluster, so a large cluster is combined per task.
+    ``numbered`` holds an article's entries as ``array<struct<pos, value>>``;
+    an absent entry counts as zero. An article meets its label before its
+    entries are laid out, and these are then added up per task first, so a
+    large cluster is no large group.
     """
-    sums = (
-        rows.join(labels, "docid")
-        .groupBy("cluster", "pos")
-        .agg(F.sum("value").alias("total"))
-    )
+    labelled = table.select("docid", numbered.alias("entries")).join(labels, "docid")
+    rows = labelled.select("cluster", F.explode_outer("entries").alias("entry"))
+    rows = rows.where(F.col("entry").isNotNull()).select("cluster", "entry.*")
+    sums = rows.toDF("cluster", "pos", "value").groupBy("cluster", "pos")
     sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(sizes, "cluster").select(
+    return sums.agg(F.sum("value").alias("total")).join(sizes, "cluster").select(
         "cluster", "pos", (F.col("total") / F.col("n")).alias("value")
     )
 
@@ -146,9 +150,12 @@ def squared_distances(
     ]
     turned = centres.groupBy("pos").agg(F.array(*value_in).alias("at"))
     points = vectors.select("docid", F.posexplode(vector).alias("pos", "x"))
-    met = points.join(F.broadcast(turned), "pos", "left")
+    met = points.join(F.broadcast(turned), "pos", "left").select(
+        "docid", "x", F.coalesce("at", arrays.zeros(len(clusters))).alias("at")
+    )
 
-    sums = [F.expr(f"sum(pow(x - coalesce(get(at, {i}), 0D), 2)) AS d{i}") for i in range(len(clusters))]
+    offsets = [f"(x - get(at, {i}))" for i in range(len(clusters))]
+    sums = [F.expr(f"sum({offset} * {offset}) AS d{i}") for i, offset in enumerate(offsets)]
     summed = met.groupBy("docid").agg(*sums)
     pairs = [
         F.struct(F.lit(c).cast("int").alias("cluster"), F.col(f"d{i}").alias("distance"))

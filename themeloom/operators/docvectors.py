@@ -1,6 +1,7 @@
 """Article vectors: weighted means of word vectors."""
 
 from pyspark.ml.feature import Word2Vec, Word2VecModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +12,45 @@ from themeloom.operators.weights import Vocabulary, weight_rows
 VECTOR_SIZE = 100
 SEED = 0
 
+# Most words to train vectors for.
+MAX_WORDS = 1_000_000
+
+
+def min_count_for(lemmas: DataFrame, max_words: int, at_least: int) -> int:
+    """Smallest count, ``at_least`` or a power of two, that keeps few enough words.
+
+    Word counts are put in classes by powers of two; only the classes reach
+    the driver.
+    """
+    counts = lemmas.select(F.explode_outer("lemmas").alias("word")).where("word IS NOT NULL")
+    counts = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    halvings = F.floor(F.log2("n")).alias("halvings")
+    classes = counts.groupBy(halvings).agg(F.count(F.lit(1)).alias("words")).collect()
+    kept = 0
+    for c in sorted(classes, key=lambda c: -c.halvings):
+        kept += c.words
+        if kept > max_words:
+            return max(at_least, 2 ** (c.halvings + 1))
+    return at_least
+
 
 def train_word_vectors(
-    lemmas: DataFrame, vector_size: int = VECTOR_SIZE, seed: int = SEED, min_count: int = 5
+    lemmas: DataFrame,
+    vector_size: int = VECTOR_SIZE,
+    seed: int = SEED,
+    min_count: int = 5,
+    max_words: int = MAX_WORDS,
 ) -> Word2VecModel:
-    """Word vectors of the articles' own lemmas."""
-    partitions = lemmas.sparkSession.sparkContext.defaultParallelism
+    """Word vectors of the articles' own lemmas.
+
+    Spark trains with all vectors on the driver, so the number of words has
+    a limit, which is kept by leaving out the rarest.
+    """
     trainer = Word2Vec(
         vectorSize=vector_size,
-        minCount=min_count,
+        minCount=min_count_for(lemmas, max_words, min_count),
         seed=seed,
-        numPartitions=partitions,
+        numPartitions=lemmas.sparkSession.sparkContext.defaultParallelism,
         inputCol="lemmas",
         outputCol="vec",
     )
@@ -30,8 +59,6 @@ def train_word_vectors(
 
 def vectors_of(model: Word2VecModel) -> DataFrame:
     """``word, vector array<double>`` of a trained model."""
-    from pyspark.ml.functions import vector_to_array
-
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 

@@ -94,7 +94,8 @@ def _given_labels(table: DataFrame) -> DataFrame:
 
 def _given_distances(vectors: DataFrame) -> DataFrame:
     """Distances to the means of the given labels."""
-    centres = clusters.mean_centres(matrix.long_form(vectors, "vec"), _given_labels(vectors))
+    numbered = arrays.numbered(F.col("vec"))
+    centres = clusters.mean_centres(vectors, _given_labels(vectors), numbered)
     return clusters.squared_distances(vectors, centres, GIVEN_CLUSTERS)
 
 
@@ -305,8 +306,9 @@ def labelled_by_date(spark, folder):
 
 def top_terms_per_centre(spark, folder):
     terms = _terms(spark, folder)
-    rows = weights.weight_rows(terms.matrix, terms.vocabulary).toDF("docid", "pos", "value")
-    centres = clusters.mean_centres(rows, _given_labels(_articles(spark, folder)))
+    weighted = arrays.entries(F.col("features"))
+    labels = _given_labels(_articles(spark, folder))
+    centres = clusters.mean_centres(terms.weighted(), labels, weighted)
     top = clusters.top_terms(centres, terms.table)
     return top.withColumn("value", _rounded("value", 9))
 
@@ -328,7 +330,7 @@ def terms_of_nearest(spark, folder):
 def nearest_vectors_per_label(spark, folder):
     table = _embeddings(spark, folder).withColumnRenamed("vec_id", "docid")
     labels = table.select("docid", F.col("label").alias("cluster"))
-    centres = clusters.mean_centres(matrix.long_form(table, "vec"), labels)
+    centres = clusters.mean_centres(table, labels, arrays.numbered(F.col("vec")))
     distances = clusters.squared_distances(table, centres, GIVEN_CLUSTERS)
     near = clusters.nearest_articles(distances)
     return near.withColumn("distance", _rounded("distance", 6))

@@ -55,12 +55,22 @@ def prepare(
     body: str = "text",
     stage: bool = True,
 ) -> Terms:
-    """Lemmas, vocabulary and the term matrix; two passes over the texts.
+    """From ``docid, text`` (and ``date``) to the term matrix.
 
-    Leave the matrix unstaged where it is read only once.
+    The texts are passed over twice, once for the vocabulary and once for the
+    matrix. Cutting a text into lemmas costs about as much as writing the
+    lemmas out and reading them twice, so they are not kept.
     """
     carried = [c for c in ("docid", "date") if c in articles.columns]
-    lemmas = lemmatise(spread(articles.select(*carried, body)), lemma_of, stop_words, body)
+    texts = spread(articles.select(*carried, body))
+    return prepare_lemmas(lemmatise(texts, lemma_of, stop_words, body), num_terms, stage)
+
+
+def prepare_lemmas(lemmas: DataFrame, num_terms: int = NUM_TERMS, stage: bool = True) -> Terms:
+    """The same from lemmas; stage those first if they were costly to make.
+
+    Leave the matrix unstaged where it is read only once.
+    """
     vocabulary = build_vocabulary(lemmas, num_terms)
     counts = term_matrix(lemmas, vocabulary)
     return Terms(vocabulary, staged(counts, "term-matrix") if stage else counts)
