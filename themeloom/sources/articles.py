@@ -32,8 +32,7 @@ def read_xml(
         }
         return records.select(*[text.alias(name) for name, text in texts.items()])
     parsed = F.from_xml("record", schemas.DECLARED_ARTICLE.simpleString(), {"mode": "FAILFAST"})
-    # The filter keeps Spark from parsing the record once per field.
-    return records.select(parsed.alias("article")).where(F.col("article").isNotNull()).select("article.*")
+    return records.select(parsed.alias("article")).select("article.*")
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = CSV_SEPARATOR) -> DataFrame:
