@@ -162,6 +162,12 @@ ORACLE = {
     "title_and_text": f"WITH {_ARTICLES} SELECT docid, title || ' ' || text AS body FROM articles",
     "has_letters": rf"""WITH {_ARTICLES}
         SELECT docid, regexp_matches(title, '\p{{L}}') AS title_has_letters FROM articles""",
+    "xml_articles": f"""WITH {_ARTICLES}
+        SELECT CAST(docid AS INTEGER) AS docid, date, text AS body FROM articles""",
+    "xml_titles_any_depth": f"""WITH {_ARTICLES}
+        SELECT CAST(docid AS INTEGER) AS docid, date, title AS body FROM articles""",
+    "csv_publication_counts": f"""WITH {_ARTICLES}
+        SELECT publication, count(*) AS n FROM articles WHERE year = 2016 GROUP BY publication""",
     "plain_text": r"""SELECT doc_id AS docid,
         array_to_string(regexp_split_to_array(lower(text), '\W+'), ' ') AS plain FROM documents""",
     "kept_lemmas": f"""WITH {_KEPT}
@@ -174,6 +180,10 @@ ORACLE = {
         SELECT d.doc_id AS docid, CAST(count(k.lemma) AS INTEGER) AS n_lemmas
         FROM documents d LEFT JOIN kept k ON k.docid = d.doc_id GROUP BY d.doc_id""",
     "doc_frequency": f"WITH {_WEIGHTS} SELECT term, df FROM frequencies",
+    "doc_frequency_top": f"WITH {_WEIGHTS} SELECT term, df FROM vocab",
+    "term_index_lines": f"WITH {_WEIGHTS} SELECT '(' || term_id || ',' || term || ')' AS value FROM vocab",
+    "labelled_lines": f"""WITH {_ARTICLES}
+        SELECT docid || ',' || CAST(date AS VARCHAR) || ',' || (docid % 10) AS value FROM articles""",
     "term_index": f"WITH {_WEIGHTS} SELECT term_id, term, df, {_round('idf', 9, 'idf')} FROM vocab",
     "term_weights": f"WITH {_WEIGHTS} SELECT docid, term_id, {_round('weight', 9, 'weight')} FROM weights",
     "term_weights_binary": f"""WITH {_WEIGHTS}

@@ -33,13 +33,14 @@ class Themes:
     model: KMeansModel
     order: Sequence[int]
 
-    def assign(self, table: DataFrame) -> DataFrame:
+    def assign(self, table: DataFrame, keep_features: bool = False) -> DataFrame:
         """The table with ``cluster`` in place of its features."""
         renumbered = [self.order.index(i) for i in range(len(self.order))]
         numbers = F.array(*[F.lit(n) for n in renumbered])
         cluster = F.element_at(numbers, F.col("model_cluster") + 1).cast("int")
         labelled = self.model.transform(table).withColumn("cluster", cluster)
-        return labelled.drop("model_cluster", self.model.getFeaturesCol())
+        unneeded = () if keep_features else (self.model.getFeaturesCol(),)
+        return labelled.drop("model_cluster", *unneeded)
 
     def centres(self, spark: SparkSession) -> DataFrame:
         """``cluster, pos, value``, clusters times columns rows."""

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themeloom import sinks
 from themeloom.functions import arrays, fields, tokens
 from themeloom.operators import (
     clusters,
@@ -23,7 +24,7 @@ from themeloom.operators import (
     reduce,
     weights,
 )
-from themeloom.plans import themes
+from themeloom.plans import staging, themes
 from themeloom.plans.staging import staged
 from themeloom.sources import articles as sources
 from themeloom.sources.word_lists import IRREGULAR_LEMMAS
@@ -177,6 +178,42 @@ def has_letters(spark, folder):
     return table.select("docid", fields.has_letters("title").alias("title_has_letters"))
 
 
+# Articles that were written out as XML or CSV, and read again.
+
+
+def _escaped(name: str) -> Column:
+    text = F.col(name)
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
+
+
+def _as_xml(spark: SparkSession, folder: str) -> str:
+    table = sources.spread(_raw_records(spark, folder))
+    fields_of = F.concat(*[_escaped(name) for name in table.columns])
+    path = staging.new_path(spark, "articles-xml")
+    lines = F.concat(F.lit("<document>"), fields_of, F.lit("</document>"))
+    table.select(lines.alias("value")).write.text(path)
+    return path
+
+
+def xml_articles(spark, folder):
+    return _dated(records.article_records(sources.read_xml(spark, _as_xml(spark, folder))))
+
+
+def xml_titles_any_depth(spark, folder):
+    raw = sources.read_xml(spark, _as_xml(spark, folder), inner_markup=True)
+    return _dated(records.titles(raw))
+
+
+def csv_publication_counts(spark, folder):
+    path = staging.new_path(spark, "articles-csv")
+    table = _articles(spark, folder).select("docid", "publication", "title", "year", "month")
+    table.write.csv(path, header=True, sep=sources.CSV_SEPARATOR)
+    again = sources.with_numbers(sources.read_csv(spark, path), "year", "month")
+    return explore.counts_by_publication(explore.articles_of_year(again, 2016))
+
+
 # Lemmas and weights.
 
 
@@ -208,6 +245,11 @@ def doc_frequency(spark, folder):
     return weights.document_frequency(_lemmas(spark, folder))
 
 
+def doc_frequency_top(spark, folder):
+    vocabulary = weights.build_vocabulary(_lemmas(spark, folder))
+    return vocabulary.table(spark).select("term", "df")
+
+
 def term_index(spark, folder):
     vocabulary = weights.build_vocabulary(_lemmas(spark, folder))
     return vocabulary.table(spark).withColumn("idf", _rounded("idf", 9))
@@ -354,6 +396,21 @@ def compare_agreement(spark, folder):
     )
 
 
+# Text outputs, read back as lines.
+
+
+def term_index_lines(spark, folder):
+    path = staging.new_path(spark, "term-index-lines")
+    sinks.write_term_index(_terms(spark, folder).table, path)
+    return spark.read.text(path)
+
+
+def labelled_lines(spark, folder):
+    path = staging.new_path(spark, "labelled-lines")
+    sinks.write_labelled(labelled_by_date(spark, folder), path)
+    return spark.read.text(path)
+
+
 # Fitted steps.
 
 
@@ -410,6 +467,37 @@ def compare_ways(spark, folder):
     return compare.contingency(by_terms, fitted.assign(features))
 
 
+def kmeans_lsa_projection(spark, folder):
+    projection = staged(lsa_projection(spark, folder), "lsa-projection")
+    features = projection.select("docid", matrix.as_features("projection").alias("features"))
+    return clusters.fit_themes(features).assign(features)
+
+
+def kmeans_pca_projection(spark, folder):
+    projection = staged(pca_projection(spark, folder), "pca-projection")
+    features = projection.select("docid", matrix.as_features("projection").alias("features"))
+    return clusters.fit_themes(features).assign(features)
+
+
+def compare_ways_agreement(spark, folder):
+    return compare.agreement(compare_ways(spark, folder))
+
+
+def theme_silhouettes(spark, folder):
+    """How well separated the themes of each way are."""
+    terms, _, features, fitted = _vector_themes(spark, folder)
+    weighted = terms.weighted()
+    ways = {
+        "term weights": (clusters.fit_themes(weighted), weighted),
+        "article vectors": (fitted, features),
+    }
+    rows = [
+        (name, compare.silhouette(themes_of.assign(table, keep_features=True)))
+        for name, (themes_of, table) in ways.items()
+    ]
+    return spark.createDataFrame(rows, "way string, silhouette double")
+
+
 def train_word_vectors(spark, folder):
     model = docvectors.train_word_vectors(_lemmas(spark, folder))
     return docvectors.vectors_of(model)
@@ -428,12 +516,16 @@ QUERIES: tuple[Query, ...] = (
     article_summaries,
     title_and_text,
     has_letters,
+    xml_articles,
+    xml_titles_any_depth,
+    csv_publication_counts,
     plain_text,
     kept_lemmas,
     distinct_lemmas,
     term_frequency,
     kept_in_article,
     doc_frequency,
+    doc_frequency_top,
     term_index,
     term_weights,
     term_weights_binary,
@@ -455,6 +547,8 @@ QUERIES: tuple[Query, ...] = (
     nearest_vectors_per_label,
     compare_labelings,
     compare_agreement,
+    term_index_lines,
+    labelled_lines,
     lsa_singular_values,
     lsa_projection,
     pca_projection,
@@ -462,6 +556,10 @@ QUERIES: tuple[Query, ...] = (
     lsa_top_terms,
     kmeans_doc_vectors,
     theme_nearest_terms,
+    kmeans_lsa_projection,
+    kmeans_pca_projection,
     compare_ways,
+    compare_ways_agreement,
+    theme_silhouettes,
     train_word_vectors,
 )

@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/themeloom/{run}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(table: DataFrame, name: str) -> DataFrame:
     """Write the table out and go on from the copy.
 
@@ -28,7 +34,6 @@ def staged(table: DataFrame, name: str) -> DataFrame:
     steps read only the columns they use.
     """
     spark = table.sparkSession
-    run = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/themeloom/{run}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)

@@ -31,7 +31,8 @@ def read_xml(
             for name in schemas.DECLARED_ARTICLE.names
         }
         return records.select(*[text.alias(name) for name, text in texts.items()])
-    parsed = F.from_xml("record", schemas.DECLARED_ARTICLE.simpleString(), {"mode": "FAILFAST"})
+    options = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
+    parsed = F.from_xml("record", schemas.DECLARED_ARTICLE.simpleString(), options)
     return records.select(parsed.alias("article")).select("article.*")
 
 
