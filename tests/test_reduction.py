@@ -55,7 +55,7 @@ def test_projection_keeps_ids_and_empty_rows(spark, noise):
     ] + [(60, None, None)]
     long = spark.createDataFrame(rows, "docid int, term_id int, weight double").repartition(4)
     basis = np.linalg.svd(noise, full_matrices=False)[2][:3].T
-    got = matrix.project(long, matrix.basis_table(spark, basis), 3)
+    got = matrix.project(long, matrix.basis_table(spark, basis), 12, 3)
     values = _rows(got)
     assert values[:60] == pytest.approx(noise @ basis, abs=1e-9)
     assert list(values[60]) == [0.0, 0.0, 0.0]
@@ -123,3 +123,14 @@ def test_entries_of_dense_and_sparse_vectors(spark):
     table = spark.createDataFrame(rows, ["docid", "v"])
     got = {r.docid: [tuple(e) for e in r.e] for r in table.select("docid", arrays.entries(F.col("v")).alias("e")).collect()}
     assert got == {1: [(1, 2.0), (3, 0.0)], 2: [(1, 5.0)], 3: []}
+
+
+def test_only_small_tables_are_broadcast(spark):
+    table, other = spark.range(10), spark.range(20)
+    from themeloom.operators import sizes
+
+    def plan(rows, per_row):
+        return other.join(sizes.small(table, rows, per_row), "id")._jdf.queryExecution().logical().toString()
+
+    assert "broadcast" in plan(1000, 100)
+    assert "broadcast" not in plan(sizes.BROADCAST_NUMBERS, 2)

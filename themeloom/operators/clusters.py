@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from themeloom import schemas
 from themeloom.functions import arrays
+from themeloom.operators.sizes import small
 
 # Settings of the fit and lengths of the lists.
 CLUSTERS = 10
@@ -136,22 +137,30 @@ def mean_centres(table: DataFrame, labels: DataFrame, numbered: Column) -> DataF
 
 
 def squared_distances(
-    vectors: DataFrame, centres: DataFrame, clusters: Sequence[int], vector: str = "vec"
+    vectors: DataFrame,
+    centres: DataFrame,
+    clusters: Sequence[int],
+    vector: str = "vec",
+    width: int | None = None,
 ) -> DataFrame:
     """``docid, distances``: one squared distance per cluster, in one pass.
 
     ``clusters`` names the clusters, as a pivot names its values. The centres
     are turned so that one row holds a position's value in every cluster;
     each position of an article then meets one row, and each cluster has its
-    own sum. The centres are as many rows as a vector has positions.
+    own sum. The centres are then as many rows as a vector has positions,
+    ``width``, which is read from the first vector if it is not given.
     """
+    if width is None:
+        first = vectors.select(F.size(vector).alias("n")).first()
+        width = first.n if first else 0
     value_in = [
         F.coalesce(F.max(F.when(F.col("cluster") == c, F.col("value"))), F.lit(0.0))
         for c in clusters
     ]
     turned = centres.groupBy("pos").agg(F.array(*value_in).alias("at"))
     points = vectors.select("docid", F.posexplode(vector).alias("pos", "x"))
-    met = points.join(F.broadcast(turned), "pos", "left").select(
+    met = points.join(small(turned, width, len(clusters)), "pos", "left").select(
         "docid", "x", F.coalesce("at", arrays.zeros(len(clusters))).alias("at")
     )
 
@@ -201,11 +210,12 @@ def top_terms(
 ) -> DataFrame:
     """``cluster, rank, term, value``: highest terms of each centre.
 
-    ``terms`` is a vocabulary's table, so both sides are bounded by it.
+    ``terms`` is a vocabulary's table. A cluster's window holds one row per
+    term, and the join only the terms that were picked.
     """
     order = W.partitionBy("cluster").orderBy(F.desc(F.round("value", digits)), "pos")
     ranked = centres.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    named = ranked.join(F.broadcast(terms), F.col("pos") == F.col("term_id"))
+    named = ranked.join(terms, F.col("pos") == F.col("term_id"))
     return named.select("cluster", "rank", "term", "value")
 
 
@@ -228,18 +238,20 @@ def terms_of_articles(
     weighted: DataFrame,
     chosen: DataFrame,
     terms: DataFrame,
+    most: int,
     n: int = TERMS_PER_ARTICLE,
     digits: int = 9,
 ) -> DataFrame:
     """``docid, rank, term, weight``: highest terms of the chosen articles.
 
     ``weighted`` has one row per article with its ``features``; ``chosen``
-    holds a bounded number of ids (clusters times nearest articles).
+    holds at most ``most`` rows (clusters times nearest articles). The terms
+    are ranked inside the article's row.
     """
     ids = chosen.select("docid").distinct()
     best = arrays.largest(arrays.entries(F.col("features")), n, digits)
     rows = (
-        weighted.join(F.broadcast(ids), "docid", "left_semi")
+        weighted.join(small(ids, most), "docid", "left_semi")
         .select("docid", F.posexplode_outer(best).alias("at", "entry"))
         .where(F.col("entry").isNotNull())
     )
@@ -248,6 +260,6 @@ def terms_of_articles(
         (F.col("at") + 1).alias("rank"),
         F.col("entry.term_id").alias("term_id"),
         F.col("entry.value").alias("weight"),
-    ).join(F.broadcast(terms.select("term_id", "term")), "term_id").select(
+    ).join(terms.select("term_id", "term"), "term_id").select(
         "docid", "rank", "term", "weight"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
+from themeloom.operators.sizes import small
 from themeloom.operators.weights import Vocabulary, weight_rows
 
 # Length of trained vectors and seed.
@@ -69,7 +70,7 @@ def vectors_of_terms(vocabulary: Vocabulary, vectors: DataFrame) -> DataFrame:
     and it is the vocabulary that is broadcast to find them.
     """
     terms = vocabulary.table(vectors.sparkSession).select("term_id", F.col("term").alias("word"))
-    wanted = vectors.join(F.broadcast(terms), "word")
+    wanted = vectors.join(small(terms, len(vocabulary.terms)), "word")
     return wanted.select("term_id", arrays.to_doubles(F.col("vector")).alias("vector"))
 
 
@@ -93,8 +94,7 @@ def article_vectors(
             raise ValueError("no term has a vector")
         size = first.n
     rows = weight_rows(matrix, vocabulary, weighting, keep_empty=True)
-    # At most one row per term of the vocabulary.
-    found = rows.join(F.broadcast(term_vectors), "term_id", "left")
+    found = rows.join(small(term_vectors, len(vocabulary.terms), size), "term_id", "left")
     sums = [F.expr(f"sum(weight * get(vector, {i})) AS s{i}") for i in range(size)]
     total = F.sum(F.when(F.col("vector").isNotNull(), F.col("weight"))).alias("total")
     summed = found.groupBy("docid").agg(*sums, total)

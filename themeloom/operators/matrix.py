@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
+from themeloom.operators.sizes import small
 
 # Fixed value: how many singular values or components are kept.
 RANK = 10
@@ -75,14 +76,14 @@ def basis_table(spark: SparkSession, basis: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "term_id int, loadings array<double>")
 
 
-def project(rows: DataFrame, basis: DataFrame, k: int) -> DataFrame:
+def project(rows: DataFrame, basis: DataFrame, width: int, k: int) -> DataFrame:
     """Project long rows on a basis: ``docid, projection array<double>``.
 
-    The loadings of a term stay together in one row, so the join adds no
-    rows. The basis must be of a bounded size (terms of a vocabulary); rows
-    whose term it lacks count as zero, and no article is lost.
+    The basis has at most ``width`` rows of ``k`` loadings. The loadings of a
+    term stay together in one row, so the join adds no rows. Rows whose term
+    it lacks count as zero, and no article is lost.
     """
-    found = rows.join(F.broadcast(basis), "term_id", "left")
+    found = rows.join(small(basis, width, k), "term_id", "left")
     sums = [F.expr(f"coalesce(sum(weight * get(loadings, {i})), 0D) AS c{i}") for i in range(k)]
     projected = found.groupBy("docid").agg(*sums)
     return projected.select("docid", F.array(*[f"c{i}" for i in range(k)]).alias("projection"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from themeloom import schemas
 from themeloom.functions import arrays
+from themeloom.operators.sizes import small
 
 # Fixed value: how many terms are kept unless told otherwise.
 NUM_TERMS = 1000
@@ -138,7 +139,6 @@ def weight_rows(
         return rows.select("docid", "term_id", F.sign("value").alias("weight"))
     idf = vocabulary.table(matrix.sparkSession).select("term_id", "idf")
     weight = F.col("value") / F.col("n_lemmas") * F.col("idf")
-    # At most one row per term of the vocabulary.
-    return rows.join(F.broadcast(idf), "term_id", "left").select(
+    return rows.join(small(idf, len(vocabulary.terms)), "term_id", "left").select(
         "docid", "term_id", weight.alias("weight")
     )

@@ -24,6 +24,7 @@ from themeloom.operators import (
     reduce,
     weights,
 )
+from themeloom.operators.sizes import small
 from themeloom.plans import staging, themes
 from themeloom.plans.staging import staged
 from themeloom.sources import articles as sources
@@ -75,7 +76,8 @@ def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
 def _word_vectors(spark: SparkSession, folder: str, terms: themes.Terms) -> tuple[DataFrame, int]:
     """``word, vector`` and the length: term ``r`` takes embedding ``r``."""
     table = _embeddings(spark, folder)
-    named = F.broadcast(terms.table.select(F.col("term_id").alias("vec_id"), "term"))
+    width = len(terms.vocabulary.terms)
+    named = small(terms.table.select(F.col("term_id").alias("vec_id"), "term"), width)
     size = table.select(F.size("vec").alias("n")).first().n
     return table.join(named, "vec_id").select(F.col("term").alias("word"), F.col("vec").alias("vector")), size
 
@@ -102,12 +104,12 @@ def _given_distances(vectors: DataFrame) -> DataFrame:
 
 def _fixed_projection(spark: SparkSession, folder: str) -> DataFrame:
     terms = _terms(spark, folder)
-    basis = _embeddings(spark, folder).join(
-        F.broadcast(terms.table.select(F.col("term_id").alias("vec_id"), "term_id")), "vec_id"
-    )
+    width = len(terms.vocabulary.terms)
+    ids = small(terms.table.select(F.col("term_id").alias("vec_id"), "term_id"), width)
+    basis = _embeddings(spark, folder).join(ids, "vec_id")
     basis = basis.select("term_id", F.slice("vec", 1, BASIS_COLUMNS).alias("loadings"))
     rows = weights.weight_rows(terms.matrix, terms.vocabulary, keep_empty=True)
-    return matrix.project(rows, basis, BASIS_COLUMNS)
+    return matrix.project(rows, basis, width, BASIS_COLUMNS)
 
 
 # Questions about the table of articles.
@@ -365,7 +367,8 @@ def terms_of_nearest(spark, folder):
     terms = _terms(spark, folder, stage=True)
     vecs = staged(_vectors(spark, folder, terms), "article-vectors")
     near = clusters.nearest_articles(_given_distances(vecs))
-    best = clusters.terms_of_articles(terms.weighted(), near, terms.table)
+    most = len(GIVEN_CLUSTERS) * clusters.NEAREST_ARTICLES
+    best = clusters.terms_of_articles(terms.weighted(), near, terms.table, most)
     return best.withColumn("weight", _rounded("weight", 9))
 
 
@@ -440,22 +443,23 @@ def lsa_top_terms(spark, folder):
     return clusters.top_terms(centres, terms.table)
 
 
-def _vector_themes(spark, folder):
-    terms = _terms(spark, folder, stage=True)
+def _vector_themes(spark, folder, stage=True):
+    terms = _terms(spark, folder, stage)
     vecs = staged(_vectors(spark, folder, terms), "article-vectors")
     features = vecs.select("docid", matrix.as_features("vec").alias("features"))
     return terms, vecs, features, clusters.fit_themes(features)
 
 
 def kmeans_doc_vectors(spark, folder):
-    _, _, features, fitted = _vector_themes(spark, folder)
+    _, _, features, fitted = _vector_themes(spark, folder, stage=False)
     return clusters.labelled_by_date(_articles(spark, folder), fitted.assign(features))
 
 
 def theme_nearest_terms(spark, folder):
     terms, vecs, _, fitted = _vector_themes(spark, folder)
     near = themes.nearest_of(fitted, vecs)
-    best = clusters.terms_of_articles(terms.weighted(), near, terms.table)
+    most = len(fitted.order) * clusters.NEAREST_ARTICLES
+    best = clusters.terms_of_articles(terms.weighted(), near, terms.table, most)
     named = near.select("cluster", F.col("rank").alias("nearness"), "docid")
     return named.join(best, "docid").select("cluster", "nearness", "docid", "rank", "term", "weight")
 

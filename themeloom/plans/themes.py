@@ -78,10 +78,11 @@ def prepare_lemmas(lemmas: DataFrame, num_terms: int = NUM_TERMS, stage: bool =
 
 def lsa_projection(terms: Terms, k: int = matrix.RANK) -> tuple[matrix.TruncatedSVD, DataFrame]:
     """SVD of the weights, and ``docid, projection``."""
-    svd = matrix.truncated_svd(terms.weighted(), len(terms.vocabulary.terms), k)
+    width = len(terms.vocabulary.terms)
+    svd = matrix.truncated_svd(terms.weighted(), width, k)
     basis = matrix.basis_table(terms.matrix.sparkSession, svd.basis)
     rows = weight_rows(terms.matrix, terms.vocabulary, keep_empty=True)
-    return svd, matrix.project(rows, basis, len(svd.values))
+    return svd, matrix.project(rows, basis, width, len(svd.values))
 
 
 def lsa_way(
