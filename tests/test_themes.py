@@ -225,6 +225,25 @@ def test_both_ways_end_to_end(spark, tables, tmp_path):
     assert {r.docid for r in kept.collect()} == ids
 
 
+def test_from_xml_and_trained_word_vectors(spark, tables, tmp_path):
+    from themeloom.operators import docvectors, lemmas, records
+    from themeloom.plans.catalogue import LEMMAS, STOP_WORDS, _as_xml
+    from themeloom.sources import articles, words
+
+    raw = articles.read_xml(spark, _as_xml(spark, tables))
+    texts = records.article_records(raw, "text")
+    cut = lemmas.lemmatise(texts, LEMMAS, STOP_WORDS, body="body")
+    docvectors.train_word_vectors(cut, vector_size=12, min_count=2).save(str(tmp_path / "w2v"))
+
+    terms = themes.prepare(texts, LEMMAS, STOP_WORDS, num_terms=200, body="body")
+    vecs = themes.vectors_of_articles(terms, words.read_word_vectors(spark, str(tmp_path / "w2v")))
+    way = themes.word_vector_way(terms, vecs, rank=3, k=3)
+    rows = way.labels.collect()
+    assert len(rows) == texts.count() and {r.cluster for r in rows} == {0, 1, 2}
+    assert all(len(r.projection) == 3 for r in way.projection.collect())
+    assert all(r.date is not None for r in rows)
+
+
 def test_clustering_needs_a_known_form(spark, tables):
     from themeloom.plans.catalogue import _terms
 

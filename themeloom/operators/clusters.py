@@ -70,16 +70,14 @@ def fit_themes(
 
     Spark has ignored its own ``runs`` setting since 2.0, so one run is the
     default; with more, the cheapest of several seeds is kept. The rows are
-    put in a fixed order, in as many partitions as they came in or more, so
-    that a fit repeats.
+    put in a fixed order, in at least one partition per core, so that a fit
+    repeats. Give a table as it was read, as its partitions are counted.
     """
     spark = table.sparkSession
     rows = table.select("docid", features)
     if normalise:
         rows = unit_length(rows, features)
-    partitions = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()
-    )
+    partitions = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
     rows = rows.repartition(partitions, "docid").sortWithinPartitions("docid").persist()
     try:
         best = None

@@ -68,7 +68,8 @@ def spread(table: DataFrame, key: str = "docid") -> DataFrame:
     """Use all cores on an input that is cut into too few pieces.
 
     An input with at least one piece per core, as any large one has, is
-    returned as it is; only a small one pays for a shuffle.
+    returned as it is; only a small one pays for a shuffle. Give a table as
+    it was read: to count the pieces of a shuffled one, Spark would run it.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
