@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from checks.compare import duck, rows_of_duck, rows_of_spark
+from themeloom.checks.compare import duck, rows_of_duck, rows_of_spark
 
 
 @pytest.fixture(scope="module")

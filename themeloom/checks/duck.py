@@ -142,6 +142,11 @@ table_ab AS (
   GROUP BY a.cluster_a, b.cluster_b
 )"""
 
+_LEMMA_LINES = f"""WITH {_KEPT}
+    SELECT d.doc_id AS docid, CAST(count(k.lemma) AS INTEGER) AS n_lemmas,
+           coalesce(string_agg(k.lemma, ' ' ORDER BY k.pos), '') AS lemmas
+    FROM documents d LEFT JOIN kept k ON k.docid = d.doc_id GROUP BY d.doc_id"""
+
 ORACLE = {
     "publications_in_month": f"WITH {_ARTICLES} SELECT publication FROM articles WHERE month = 6",
     "publication_counts_year": f"""WITH {_ARTICLES}
@@ -170,10 +175,9 @@ ORACLE = {
         SELECT publication, count(*) AS n FROM articles WHERE year = 2016 GROUP BY publication""",
     "plain_text": r"""SELECT doc_id AS docid,
         array_to_string(regexp_split_to_array(lower(text), '\W+'), ' ') AS plain FROM documents""",
-    "kept_lemmas": f"""WITH {_KEPT}
-        SELECT d.doc_id AS docid, CAST(count(k.lemma) AS INTEGER) AS n_lemmas,
-               coalesce(string_agg(k.lemma, ' ' ORDER BY k.pos), '') AS lemmas
-        FROM documents d LEFT JOIN kept k ON k.docid = d.doc_id GROUP BY d.doc_id""",
+    "kept_lemmas": _LEMMA_LINES,
+    "kept_lemmas_joined": _LEMMA_LINES,
+    "kept_lemmas_python": _LEMMA_LINES,
     "distinct_lemmas": f"WITH {_KEPT} SELECT DISTINCT docid, lemma FROM kept",
     "term_frequency": f"""WITH {_WEIGHTS} SELECT docid, term, CAST(tf AS INTEGER) AS tf FROM counted""",
     "kept_in_article": f"""WITH {_KEPT}

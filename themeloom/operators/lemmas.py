@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions import tokens
+from themeloom.operators.sizes import small
 from themeloom.sources.word_lists import IRREGULAR_LEMMAS
 
 # Largest lists that are written into the expression itself.
@@ -60,33 +61,41 @@ def lemmatise(
     """
     small_lemmas, small_stops = _small_lemmas(lemma_of), _small_stop_words(stop_words)
     if small_lemmas is None or small_stops is None:
-        return _lemmatise_by_join(articles, lemma_of, stop_words, body)
+        return lemmatise_by_join(articles, lemma_of, stop_words, body)
     kept = tokens.kept_lemmas(F.col(body), small_lemmas, small_stops)
     return articles.withColumn("lemmas", kept).drop(body)
 
 
-def _lemmatise_by_join(
-    articles: DataFrame, lemma_of: LemmaTable, stop_words: WordList, body: str
+def lemmatise_by_join(
+    articles: DataFrame,
+    lemma_of: LemmaTable = IRREGULAR_LEMMAS,
+    stop_words: WordList = (),
+    body: str = "text",
 ) -> DataFrame:
+    """The same with word lists of any size.
+
+    Each occurrence of a word is a row here. Both lists are copied ``SALTS``
+    times and an occurrence meets the copy its position points at, so that a
+    word that makes up much of all text is spread over as many tasks.
+    """
     spark = articles.sparkSession
-    if not isinstance(lemma_of, DataFrame):
-        lemma_of = spark.createDataFrame(list(lemma_of.items()), "form string, lemma string")
-    if not isinstance(stop_words, DataFrame):
-        stop_words = spark.createDataFrame([(w,) for w in stop_words], "word string")
 
-    def salted(table: DataFrame) -> DataFrame:
+    def salted(words: WordList | LemmaTable, schema: str) -> DataFrame:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        return table.select("*", salts)
+        if isinstance(words, DataFrame):
+            columns = [part.split(" ")[0] for part in schema.split(", ")]
+            return words.select(columns).distinct().select("*", salts)
+        rows = list(words.items()) if isinstance(words, Mapping) else [(w,) for w in set(words)]
+        return small(spark.createDataFrame(rows, schema).select("*", salts), len(rows) * SALTS, 2)
 
     carried = [c for c in articles.columns if c != body]
     forms = articles.select(
         *carried, F.posexplode(tokens.word_forms(F.col(body))).alias("at", "form")
     ).withColumn("salt", F.col("at") % SALTS)
-    lemmas = forms.join(salted(lemma_of.select("form", "lemma")), ["form", "salt"], "left").select(
-        *carried, "at", "salt", F.coalesce("lemma", "form").alias("lemma")
-    )
-    stops = salted(stop_words.select(F.col("word").alias("lemma")).distinct())
-    marked = lemmas.join(stops.withColumn("is_stop", F.lit(True)), ["lemma", "salt"], "left")
+    found = forms.join(salted(lemma_of, "form string, lemma string"), ["form", "salt"], "left")
+    lemmas = found.select(*carried, "at", "salt", F.coalesce("lemma", "form").alias("word"))
+    stops = salted(stop_words, "word string").withColumn("is_stop", F.lit(True))
+    marked = lemmas.join(stops, ["word", "salt"], "left").withColumnRenamed("word", "lemma")
     kept = tokens.is_kept(F.col("lemma")) & F.col("is_stop").isNull()
     in_order = F.sort_array(F.collect_list(F.when(kept, F.struct("at", "lemma"))))
     return marked.groupBy(*carried).agg(in_order.getField("lemma").alias("lemmas"))

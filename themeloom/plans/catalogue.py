@@ -225,12 +225,32 @@ def plain_text(spark, folder):
 
 
 def kept_lemmas(spark, folder):
-    table = _lemmas(spark, folder)
+    return _lemma_lines(_lemmas(spark, folder))
+
+
+def _lemma_lines(table: DataFrame) -> DataFrame:
     return table.select(
         "docid", F.size("lemmas").alias("n_lemmas"), F.array_join("lemmas", " ").alias("lemmas")
     )
 
 
+def kept_lemmas_joined(spark, folder):
+    """The same by joins, as for long word lists."""
+    texts = sources.spread(_articles(spark, folder).select("docid", "text"))
+    return _lemma_lines(lemmas.lemmatise_by_join(texts, LEMMAS, STOP_WORDS))
+
+
+def kept_lemmas_python(spark, folder):
+    """The same with a lemmatiser in Python."""
+
+    def make_lemmatiser():
+        lemma_of = dict(LEMMAS)
+        return lambda text: [lemma_of.get(word, word) for word in text.split(" ")]
+
+    texts = sources.spread(_articles(spark, folder).select("docid", "text"))
+    return _lemma_lines(lemmas.lemmatise_with(texts, make_lemmatiser, STOP_WORDS))
+
+
 def distinct_lemmas(spark, folder):
     return lemmas.distinct_lemmas(_lemmas(spark, folder))
 
@@ -502,6 +522,14 @@ def theme_silhouettes(spark, folder):
     return spark.createDataFrame(rows, "way string, silhouette double")
 
 
+def doc_vectors_trained(spark, folder):
+    """Article vectors from word vectors of the articles' own lemmas."""
+    cut = _lemmas(spark, folder)
+    trained = docvectors.vectors_of(docvectors.train_word_vectors(cut))
+    terms = themes.prepare_lemmas(cut, stage=False)
+    return themes.vectors_of_articles(terms, trained, docvectors.VECTOR_SIZE)
+
+
 def train_word_vectors(spark, folder):
     model = docvectors.train_word_vectors(_lemmas(spark, folder))
     return docvectors.vectors_of(model)
@@ -525,6 +553,8 @@ QUERIES: tuple[Query, ...] = (
     csv_publication_counts,
     plain_text,
     kept_lemmas,
+    kept_lemmas_joined,
+    kept_lemmas_python,
     distinct_lemmas,
     term_frequency,
     kept_in_article,
@@ -565,5 +595,6 @@ QUERIES: tuple[Query, ...] = (
     compare_ways,
     compare_ways_agreement,
     theme_silhouettes,
+    doc_vectors_trained,
     train_word_vectors,
 )
