@@ -1,30 +1,33 @@
 """Intermediate tables in the shared folder of the cluster."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
+WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; a local session without one gets its own."""
+    """The folder the session names for checkpoints, else its warehouse.
+
+    Both are shared by all executors of a cluster. Nothing is ever put in a
+    temporary folder of one machine.
+    """
     context = spark.sparkContext
     folder = spark.conf.get(FOLDER_SETTING, None) or context.getConf().get(FOLDER_SETTING)
-    folder = folder or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {FOLDER_SETTING} to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="themeloom-"))
-    return context.getCheckpointDir().rstrip("/")
+    folder = folder or context.getCheckpointDir() or spark.conf.get(WAREHOUSE_SETTING)
+    return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all tables that this application stages."""
+    return f"{shared_folder(spark)}/themeloom/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    run = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/themeloom/{run}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(table: DataFrame, name: str) -> DataFrame:
@@ -37,3 +40,26 @@ def staged(table: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(table: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more.
+
+    Only files below this application's own folder are removed.
+    """
+    spark = table.sparkSession
+    own = f"/themeloom/{spark.sparkContext.applicationId}/"
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        if own in folder:
+            _remove(spark, folder)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove every table that this application has staged."""
+    _remove(spark, run_folder(spark))
