@@ -19,6 +19,7 @@ text; repeated rows give repeated rows; an empty table gives an empty table;
 other columns are not read.
 """
 
+import gc
 import hashlib
 import json
 import re
@@ -33,8 +34,8 @@ from tokenizers import Tokenizer
 from themeloom.llm.rows import map_batches
 from themeloom.llm.trie import LONGEST, Table, Trie
 
-MOST_WORDS = 400_000
-MOST_PIECES = 500_000
+MOST_WORDS = 700_000
+MOST_PIECES = 1_200_000
 LONGEST_STORED = 64
 
 # Characters encoded at a time, words in one trie, and places for pairs of tokens already looked at.
@@ -252,12 +253,28 @@ class Encoder:
             n = before[n]
         return pack(f"<{len(found)}I", *found[::-1])
 
-    def _parts(self, text: str) -> list[str]:
-        """Words of a text, in the vocabulary's own alphabet."""
-        if self.ascii and text.isascii() and text.isprintable():
-            return self.ascii.findall(text.lower())
-        text = self.tokenizer.normalizer.normalize_str(text)
-        return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    def _all_parts(self, pieces: list[str]) -> list[list[str]]:
+        """Words of each text, in the vocabulary's own alphabet."""
+        find = self.ascii.findall if self.ascii else None
+        plain = [bool(find) and p.isascii() and p.isprintable() for p in pieces]
+        parts = [find(p.lower()) if own else [] for p, own in zip(pieces, plain)]
+        others = [i for i, own in enumerate(plain) if not own]
+        # One call for many: joined by spaces, which no word spans.
+        text = self.tokenizer.normalizer.normalize_str(" ".join(pieces[i] for i in others))
+        normal = text.split(" ")
+        if len(normal) == len(others):
+            ends = np.cumsum([len(piece) + 1 for piece in normal])
+            words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            starts = np.array([start for _, (start, _) in words], np.int64)
+            of = np.searchsorted(ends, starts, side="right").tolist()
+            for (word, _), i in zip(words, of):
+                parts[others[i]].append(word)
+        else:  # one of them has other white space inside
+            for i in others:
+                text = self.tokenizer.normalizer.normalize_str(pieces[i])
+                words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+                parts[i] = [word for word, _ in words]
+        return parts
 
     def _encoded_words(self, words: set[str]) -> dict[str, bytes]:
         made = {word: self.words[word] for word in words if word in self.words}
@@ -270,9 +287,9 @@ class Encoder:
 
     def _encoded_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of different texts without spaces and line ends inside."""
-        made = {piece: self.pieces[piece] for piece in pieces if piece in self.pieces}
-        new = list(pieces - made.keys())
-        parts = [self._parts(piece) for piece in new]
+        new = list(pieces - self.pieces.keys())
+        made = {piece: self.pieces[piece] for piece in pieces.difference(new)}
+        parts = self._all_parts(new)
         ids_of = self._encoded_words({word for own in parts for word in own}).__getitem__
         encoded = {piece: b"".join(map(ids_of, own)) for piece, own in zip(new, parts)}
         if len(self.pieces) + len(encoded) > MOST_PIECES:
@@ -313,9 +330,20 @@ class Encoder:
             some.append(text)
             size += len(text or "")
             if size >= CHARS_AT_ONCE:
-                yield from self._encode_some(some)
+                yield from self._without_collector(some)
                 some, size = [], 0
-        yield from self._encode_some(some)
+        yield from self._without_collector(some)
+
+    def _without_collector(self, texts: list[str | None]) -> list[bytes]:
+        # Millions of small lists and strings, and no cycles among them: looking
+        # for cycles would take a good part of the time.
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_some(texts)
+        finally:
+            if was_on:
+                gc.enable()
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(next(self.encode_many([text])), "<u4")
