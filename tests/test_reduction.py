@@ -37,13 +37,21 @@ def test_known_singular_values(spark):
 def test_both_solvers_agree_with_numpy(spark, noise):
     table = _features(_table(spark, noise))
     one = matrix.truncated_svd(table, 12, 4)
-    other = matrix.truncated_svd(table, 12, 4, gram_columns=5)
+    other = matrix.truncated_svd(table, 12, 4, solver="iterative")
     u, s, vt = np.linalg.svd(noise, full_matrices=False)
     for svd in (one, other):
         assert svd.values == pytest.approx(s[:4], rel=1e-9)
         assert svd.basis == pytest.approx(matrix.orient(vt[:4].T), abs=1e-8)
 
 
+@pytest.mark.parametrize("solver", ["gram", "iterative"])
+def test_no_component_is_made_of_noise(spark, solver):
+    rng = np.random.default_rng(5)
+    low = rng.normal(size=(120, 3)) @ rng.normal(size=(3, 50))
+    svd = matrix.truncated_svd(_features(_table(spark, low.tolist())), 50, 10, solver)
+    assert len(svd.values) == 3
+
+
 def test_rank_is_no_more_than_there_is(spark):
     svd = matrix.truncated_svd(_features(_table(spark, [(1, 1), (2, 2)])), 2, 2)
     assert len(svd.values) == 1 and svd.basis.shape == (2, 1)

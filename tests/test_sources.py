@@ -57,7 +57,7 @@ def test_record_shapes(spark, xml):
     raw = articles.read_xml(spark, xml)
     titles = records.titles(raw, strict=False)
     assert [(f.name, f.dataType.simpleString()) for f in titles.schema] == [
-        ("docid", "int"), ("date", "timestamp"), ("body", "string"),
+        ("docid", "bigint"), ("date", "timestamp"), ("body", "string"),
     ]
     assert records.without_date(titles).columns == ["docid", "body"]
     assert {r.body for r in titles.collect()} == {"A", "B"}
@@ -120,13 +120,25 @@ def test_word_vectors_survive_saving(spark, tmp_path):
     assert set(wanted) == {"red", "blue", "green"} and all(len(v) == 7 for v in wanted.values())
 
 
-def test_number_of_trained_words_is_limited(spark):
+def test_only_the_given_terms_are_trained(spark):
     rows = [(["a"] * 64 + ["b"] * 40 + ["c"] * 9 + ["d"] * 5 + ["e"],)]
     lemmas = spark.createDataFrame(rows, "lemmas array<string>")
-    assert docvectors.min_count_for(lemmas, 10, 5) == 5
-    assert docvectors.min_count_for(lemmas, 3, 5) == 8
-    assert docvectors.min_count_for(lemmas, 2, 5) == 16
-    assert docvectors.min_count_for(lemmas, 1, 5) == 64
+    model = docvectors.train_word_vectors(lemmas, ["a", "c", "e", "z"], vector_size=3)
+    assert {r.word for r in docvectors.vectors_of(model).collect()} == {"a", "c"}
+
+
+def test_large_ids_and_unpadded_dates(spark):
+    raw = spark.createDataFrame(
+        [("3000000000", "2016-6-1", "t"), ("2", "", "t"), ("3", "2016-12-31 23:59:59", "t")],
+        "docid string, date string, text string",
+    )
+    rows = {r.docid: r.date for r in records.article_records(raw).collect()}
+    assert str(rows[3000000000]) == "2016-06-01 00:00:00" and rows[2] is None
+    assert str(rows[3]) == "2016-12-31 00:00:00"
+    bad = raw.withColumn("date", F.lit("garbage"))
+    assert {r.date for r in records.article_records(bad, strict=False).collect()} == {None}
+    with pytest.raises(Exception, match="not a date"):
+        records.article_records(bad).collect()
 
 
 def test_sample_repeats(spark):

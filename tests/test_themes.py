@@ -249,3 +249,13 @@ def test_clustering_needs_a_known_form(spark, tables):
 
     with pytest.raises(ValueError):
         themes.lsa_way(_terms(spark, tables, stage=True), on="half")
+
+
+def test_the_nearest_is_the_nearest_however_close(spark):
+    rows = [(1, 1.6e-7), (2, 1e-8), (3, 0.0)]
+    pair = F.array(F.struct(F.lit(0).alias("cluster"), F.col("distance").alias("distance")))
+    distances = spark.createDataFrame(rows, "docid long, distance double").select(
+        "docid", pair.alias("distances")
+    )
+    near = {r["rank"]: r.docid for r in clusters.nearest_articles(distances, 2).collect()}
+    assert near == {1: 3, 2: 2}

@@ -159,18 +159,18 @@ ORACLE = {
     + " UNION ALL ".join(_text_row(c) for c in ("publication", "title", "text")),
     "article_preview": f"WITH {_ARTICLES} SELECT * FROM articles ORDER BY docid LIMIT 5",
     "article_records": f"""WITH {_ARTICLES}
-        SELECT CAST(docid AS INTEGER) AS docid, date, text AS body FROM articles""",
+        SELECT docid, date, text AS body FROM articles""",
     "article_titles": f"""WITH {_ARTICLES}
-        SELECT CAST(docid AS INTEGER) AS docid, date, title AS body FROM articles""",
+        SELECT docid, date, title AS body FROM articles""",
     "article_summaries": f"""WITH {_ARTICLES}
-        SELECT CAST(docid AS INTEGER) AS docid, date, text AS body FROM articles""",
+        SELECT docid, date, text AS body FROM articles""",
     "title_and_text": f"WITH {_ARTICLES} SELECT docid, title || ' ' || text AS body FROM articles",
     "has_letters": rf"""WITH {_ARTICLES}
         SELECT docid, regexp_matches(title, '\p{{L}}') AS title_has_letters FROM articles""",
     "xml_articles": f"""WITH {_ARTICLES}
-        SELECT CAST(docid AS INTEGER) AS docid, date, text AS body FROM articles""",
+        SELECT docid, date, text AS body FROM articles""",
     "xml_titles_any_depth": f"""WITH {_ARTICLES}
-        SELECT CAST(docid AS INTEGER) AS docid, date, title AS body FROM articles""",
+        SELECT docid, date, title AS body FROM articles""",
     "csv_publication_counts": f"""WITH {_ARTICLES}
         SELECT publication, count(*) AS n FROM articles WHERE year = 2016 GROUP BY publication""",
     "plain_text": r"""SELECT doc_id AS docid,

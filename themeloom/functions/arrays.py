@@ -61,12 +61,17 @@ def entries(vector: Column) -> Column:
     return F.when(raw.getField("type") == 0, stored).otherwise(nonzero)
 
 
-def largest(entry_array: Column, n: int, digits: int = 9) -> Column:
-    """The ``n`` entries of largest value (rounded), ties by smaller id."""
+def rounded(value: Column, digits: int | None) -> Column:
+    """The value itself, or rounded where results of two engines are compared."""
+    return value if digits is None else F.round(value, digits)
+
+
+def largest(entry_array: Column, n: int, digits: int | None = None) -> Column:
+    """The ``n`` entries of largest value, ties by smaller id."""
     keyed = F.transform(
         entry_array,
         lambda e: F.struct(
-            (-F.round(e.getField("value"), digits)).alias("key"),
+            (-rounded(e.getField("value"), digits)).alias("key"),
             e.getField("term_id").alias("term_id"),
             e.getField("value").alias("value"),
         ),

@@ -3,8 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the part of a date field that is read.
-DATE_PATTERN = "yyyy-MM-dd"
+# The part of a date field that is read, and how.
+DATE = r"^(\d{1,4}-\d{1,2}-\d{1,2})"
+DATE_PATTERN = "y-M-d"
 
 
 def string_field(name: str) -> Column:
@@ -18,22 +19,27 @@ def int_field(name: str, strict: bool = True) -> Column:
     ``strict`` stops the job at the first value that is no number, whatever
     the session's ANSI setting is; otherwise such a value reads as null.
     """
-    number = F.trim(string_field(name)).try_cast("int")
+    number = F.trim(string_field(name)).try_cast("bigint")
     if not strict:
         return number
     complaint = F.concat(F.lit(f"not a whole number in {name}: "), string_field(name))
-    return F.when(number.isNull(), F.raise_error(complaint).cast("int")).otherwise(number)
+    return F.when(number.isNull(), F.raise_error(complaint).cast("bigint")).otherwise(number)
 
 
-def date_field(name: str) -> Column:
-    """Timestamp at midnight of a date field; empty or unreadable is null.
+def date_field(name: str, strict: bool = False) -> Column:
+    """Timestamp at midnight of a date field; an empty one is null.
 
-    A time of day behind the date is dropped.
+    Months and days may have one digit; a time of day behind the date is
+    dropped. An unreadable date is null, or stops the job if ``strict``.
     """
-    text = string_field(name)
-    return F.when(text == "", F.lit(None)).otherwise(
-        F.try_to_timestamp(F.substring(text, 1, len(DATE_PATTERN)), F.lit(DATE_PATTERN))
-    )
+    text = F.trim(string_field(name))
+    day = F.try_to_timestamp(F.regexp_extract(text, DATE, 1), F.lit(DATE_PATTERN))
+    found = F.when(text != "", day)
+    if not strict:
+        return found
+    complaint = F.concat(F.lit(f"not a date in {name}: "), text)
+    unreadable = (text != "") & day.isNull()
+    return F.when(unreadable, F.raise_error(complaint).cast("timestamp")).otherwise(found)
 
 
 def title_and_text(title: str = "title", text: str = "text") -> Column:

@@ -172,16 +172,16 @@ def squared_distances(
     return summed.select("docid", F.array(*pairs).alias("distances"))
 
 
-def assign(distances: DataFrame, digits: int = 9) -> DataFrame:
+def assign(distances: DataFrame, digits: int | None = None) -> DataFrame:
     """``docid, cluster, distance`` of the nearest centre, ties by cluster.
 
-    Distances are compared after rounding, so that ties do not depend on the
-    order in which they were summed.
+    With ``digits``, distances are compared after rounding, so that ties do not
+    depend on the order in which an engine sums.
     """
     keyed = F.transform(
         "distances",
         lambda d: F.struct(
-            F.round(d.getField("distance"), digits).alias("key"),
+            arrays.rounded(d.getField("distance"), digits).alias("key"),
             d.getField("cluster").alias("cluster"),
             d.getField("distance").alias("distance"),
         ),
@@ -204,21 +204,21 @@ def by_date(labelled: DataFrame) -> DataFrame:
 
 
 def top_terms(
-    centres: DataFrame, terms: DataFrame, n: int = TOP_TERMS, digits: int = 9
+    centres: DataFrame, terms: DataFrame, n: int = TOP_TERMS, digits: int | None = None
 ) -> DataFrame:
     """``cluster, rank, term, value``: highest terms of each centre.
 
     ``terms`` is a vocabulary's table. A cluster's window holds one row per
     term, and the join only the terms that were picked.
     """
-    order = W.partitionBy("cluster").orderBy(F.desc(F.round("value", digits)), "pos")
+    order = W.partitionBy("cluster").orderBy(arrays.rounded(F.col("value"), digits).desc(), "pos")
     ranked = centres.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     named = ranked.join(terms, F.col("pos") == F.col("term_id"))
     return named.select("cluster", "rank", "term", "value")
 
 
 def nearest_articles(
-    distances: DataFrame, n: int = NEAREST_ARTICLES, digits: int = 6
+    distances: DataFrame, n: int = NEAREST_ARTICLES, digits: int | None = None
 ) -> DataFrame:
     """``cluster, rank, docid, distance``: nearest articles of each centre.
 
@@ -227,7 +227,9 @@ def nearest_articles(
     """
     pairs = distances.select("docid", F.explode_outer("distances").alias("pair"))
     pairs = pairs.select("docid", "pair.cluster", "pair.distance")
-    order = W.partitionBy("cluster").orderBy(F.round("distance", digits), "docid")
+    order = W.partitionBy("cluster").orderBy(
+        arrays.rounded(F.col("distance"), digits), "docid"
+    )
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return ranked.select("cluster", "rank", "docid", "distance")
 
@@ -238,7 +240,7 @@ def terms_of_articles(
     terms: DataFrame,
     most: int,
     n: int = TERMS_PER_ARTICLE,
-    digits: int = 9,
+    digits: int | None = None,
 ) -> DataFrame:
     """``docid, rank, term, weight``: highest terms of the chosen articles.
 

@@ -1,5 +1,7 @@
 """Article vectors: weighted means of word vectors."""
 
+from collections.abc import Collection
+
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,43 +15,26 @@ from themeloom.operators.weights import Vocabulary, weight_rows
 VECTOR_SIZE = 100
 SEED = 0
 
-# Most words to train vectors for.
-MAX_WORDS = 1_000_000
-
-
-def min_count_for(lemmas: DataFrame, max_words: int, at_least: int) -> int:
-    """Smallest count, ``at_least`` or a power of two, that keeps few enough words.
-
-    Word counts are put in classes by powers of two; only the classes reach
-    the driver.
-    """
-    counts = lemmas.select(F.explode_outer("lemmas").alias("word")).where("word IS NOT NULL")
-    counts = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
-    halvings = F.floor(F.log2("n")).alias("halvings")
-    classes = counts.groupBy(halvings).agg(F.count(F.lit(1)).alias("words")).collect()
-    kept = 0
-    for c in sorted(classes, key=lambda c: -c.halvings):
-        kept += c.words
-        if kept > max_words:
-            return max(at_least, 2 ** (c.halvings + 1))
-    return at_least
-
 
 def train_word_vectors(
     lemmas: DataFrame,
+    terms: Collection[str] | None = None,
     vector_size: int = VECTOR_SIZE,
     seed: int = SEED,
     min_count: int = 5,
-    max_words: int = MAX_WORDS,
 ) -> Word2VecModel:
     """Word vectors of the articles' own lemmas.
 
-    Spark trains with all vectors on the driver, so the number of words has
-    a limit, which is kept by leaving out the rarest.
+    Spark trains with all vectors on the driver. With ``terms``, those of the
+    vocabulary, which are all that is ever looked up, its share follows from
+    their number and not from the data; other words are left out.
     """
+    if terms is not None:
+        wanted = list(terms)
+        lemmas = lemmas.select(F.filter("lemmas", lambda word: word.isin(wanted)).alias("lemmas"))
     trainer = Word2Vec(
         vectorSize=vector_size,
-        minCount=min_count_for(lemmas, max_words, min_count),
+        minCount=min_count,
         seed=seed,
         numPartitions=lemmas.sparkSession.sparkContext.defaultParallelism,
         inputCol="lemmas",
@@ -83,16 +68,19 @@ def article_vectors(
 ) -> DataFrame:
     """``docid, vec array<double>``, zeros where no term has a vector.
 
-    ``size`` is the length of the vectors; it is read from the first one when
-    it is not given. Each position has its own sum, so a term stays one row,
+    ``size`` is the length of the vectors; when it is not given it is read from
+    them, and they must agree. Each position has its own sum, so a term stays one row,
     the sums are combined in the task that holds the article, and what is
     shuffled is one row of ``size`` numbers per article.
     """
     if size is None:
-        first = term_vectors.select(F.size("vector").alias("n")).first()
-        if first is None:
+        length = F.size("vector")
+        sizes = term_vectors.agg(F.min(length).alias("least"), F.max(length).alias("most")).first()
+        if sizes.least is None:
             raise ValueError("no term has a vector")
-        size = first.n
+        if sizes.least != sizes.most:
+            raise ValueError(f"vectors of {sizes.least} to {sizes.most} numbers")
+        size = sizes.least
     rows = weight_rows(matrix, vocabulary, weighting, keep_empty=True)
     found = rows.join(small(term_vectors, len(vocabulary.terms), size), "term_id", "left")
     sums = [F.expr(f"sum(weight * get(vector, {i})) AS s{i}") for i in range(size)]

@@ -15,9 +15,6 @@ from themeloom.operators.sizes import small
 # Fixed value: how many singular values or components are kept.
 RANK = 10
 
-# Widest matrix whose Gram matrix is solved on the driver (128 MiB of doubles).
-GRAM_COLUMNS = 4096
-
 
 def row_matrix(table: DataFrame, width: int = 0, features: str = "features") -> RowMatrix:
     """A distributed matrix of an ML vector column; a known width saves a job.
@@ -51,23 +48,29 @@ class TruncatedSVD:
 
 
 def truncated_svd(
-    table: DataFrame, width: int, k: int = RANK, gram_columns: int = GRAM_COLUMNS
+    table: DataFrame, width: int, k: int = RANK, solver: str = "gram"
 ) -> TruncatedSVD:
     """Rank ``k`` SVD of the ``features`` of all rows, ``width`` columns wide.
 
-    Up to ``gram_columns`` columns, one pass adds up the Gram matrix, whose
-    eigenvectors are the basis. A wider matrix goes to Spark's own solver,
-    which passes over the data many times and never holds the Gram matrix.
+    The solver ``gram`` adds up the Gram matrix in one pass, whose eigenvectors
+    are the basis; the driver holds width times width numbers. ``iterative``
+    is Spark's own, for wide matrices: it passes over the data many times and
+    never holds the Gram matrix. Either squares the values, so that those
+    below the root of ``width`` rounding errors are noise; both leave them out.
     """
     matrix = row_matrix(table, width)
-    if width > gram_columns:
+    if solver == "iterative":
         svd = matrix.computeSVD(k)
-        return TruncatedSVD(svd.s.toArray(), orient(svd.V.toArray()))
-    squares, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-    top = np.argsort(squares)[::-1][:k]
-    values = np.sqrt(np.maximum(squares[top], 0.0))
-    rank = int((values > values[0] * 1e-9).sum()) if values[0] > 0 else 0
-    return TruncatedSVD(values[:rank], orient(vectors[:, top[:rank]]))
+        values, basis = svd.s.toArray(), svd.V.toArray()
+    elif solver == "gram":
+        squares, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        top = np.argsort(squares)[::-1][:k]
+        values, basis = np.sqrt(np.maximum(squares[top], 0.0)), vectors[:, top]
+    else:
+        raise ValueError(f"no such solver: {solver}")
+    noise = np.sqrt(width * np.finfo(float).eps)
+    rank = int((values > values[0] * noise).sum()) if len(values) and values[0] > 0 else 0
+    return TruncatedSVD(values[:rank], orient(basis[:, :rank]))
 
 
 def basis_table(spark: SparkSession, basis: np.ndarray) -> DataFrame:

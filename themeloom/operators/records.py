@@ -9,12 +9,12 @@ from themeloom.functions.fields import date_field, int_field, string_field
 def article_records(raw: DataFrame, field: str = "text", strict: bool = True) -> DataFrame:
     """``docid, date, body`` with ``field`` as the body.
 
-    ``strict`` fails on an id that is no whole number; otherwise the article
-    is left out.
+    ``strict`` fails on an id that is no whole number and on an unreadable
+    date; otherwise the article is left out, or has no date.
     """
     records = raw.select(
         int_field("docid", strict).alias("docid"),
-        date_field("date").alias("date"),
+        date_field("date", strict).alias("date"),
         string_field(field).alias("body"),
     )
     return records if strict else records.where(F.col("docid").isNotNull())

@@ -37,6 +37,10 @@ LEMMAS = IRREGULAR_LEMMAS | {"thes": "the", "thed": "thea", "eren": "erst", "que
 STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from")
 
 GIVEN_CLUSTERS = range(10)
+
+# Digits that are compared where another engine sums in another order.
+DIGITS = 9
+DISTANCE_DIGITS = 6
 BASIS_COLUMNS = 10
 
 
@@ -359,7 +363,7 @@ def projection_summary(spark, folder):
 
 def assign_given_centres(spark, folder):
     vecs = staged(_vectors(spark, folder, _terms(spark, folder)), "article-vectors")
-    labels = clusters.assign(_given_distances(vecs))
+    labels = clusters.assign(_given_distances(vecs), DIGITS)
     return labels.select("docid", "cluster", _rounded("distance", 6).alias("distance"))
 
 
@@ -373,22 +377,24 @@ def top_terms_per_centre(spark, folder):
     weighted = arrays.entries(F.col("features"))
     labels = _given_labels(_articles(spark, folder))
     centres = clusters.mean_centres(terms.weighted(), labels, weighted)
-    top = clusters.top_terms(centres, terms.table)
+    top = clusters.top_terms(centres, terms.table, digits=DIGITS)
     return top.withColumn("value", _rounded("value", 9))
 
 
 def nearest_docs_per_centre(spark, folder):
     vecs = staged(_vectors(spark, folder, _terms(spark, folder)), "article-vectors")
-    near = clusters.nearest_articles(_given_distances(vecs))
+    near = clusters.nearest_articles(_given_distances(vecs), digits=DISTANCE_DIGITS)
     return near.withColumn("distance", _rounded("distance", 6))
 
 
 def terms_of_nearest(spark, folder):
     terms = _terms(spark, folder, stage=True)
     vecs = staged(_vectors(spark, folder, terms), "article-vectors")
-    near = clusters.nearest_articles(_given_distances(vecs))
+    near = clusters.nearest_articles(_given_distances(vecs), digits=DISTANCE_DIGITS)
     most = len(GIVEN_CLUSTERS) * clusters.NEAREST_ARTICLES
-    best = clusters.terms_of_articles(terms.weighted(), near, terms.table, most)
+    best = clusters.terms_of_articles(
+        terms.weighted(), near, terms.table, most, digits=DIGITS
+    )
     return best.withColumn("weight", _rounded("weight", 9))
 
 
@@ -397,7 +403,7 @@ def nearest_vectors_per_label(spark, folder):
     labels = table.select("docid", F.col("label").alias("cluster"))
     centres = clusters.mean_centres(table, labels, arrays.numbered(F.col("vec")))
     distances = clusters.squared_distances(table, centres, GIVEN_CLUSTERS)
-    near = clusters.nearest_articles(distances)
+    near = clusters.nearest_articles(distances, digits=DISTANCE_DIGITS)
     return near.withColumn("distance", _rounded("distance", 6))
 
 
@@ -460,7 +466,7 @@ def kmeans_terms(spark, folder):
 def lsa_top_terms(spark, folder):
     terms = _terms(spark, folder, stage=True)
     centres = clusters.fit_themes(terms.weighted()).centres(spark)
-    return clusters.top_terms(centres, terms.table)
+    return clusters.top_terms(centres, terms.table, digits=DIGITS)
 
 
 def _vector_themes(spark, folder, stage=True):
@@ -479,7 +485,9 @@ def theme_nearest_terms(spark, folder):
     terms, vecs, _, fitted = _vector_themes(spark, folder)
     near = themes.nearest_of(fitted, vecs)
     most = len(fitted.order) * clusters.NEAREST_ARTICLES
-    best = clusters.terms_of_articles(terms.weighted(), near, terms.table, most)
+    best = clusters.terms_of_articles(
+        terms.weighted(), near, terms.table, most, digits=DIGITS
+    )
     named = near.select("cluster", F.col("rank").alias("nearness"), "docid")
     return named.join(best, "docid").select("cluster", "nearness", "docid", "rank", "term", "weight")
 
@@ -525,8 +533,10 @@ def theme_silhouettes(spark, folder):
 def doc_vectors_trained(spark, folder):
     """Article vectors from word vectors of the articles' own lemmas."""
     cut = _lemmas(spark, folder)
-    trained = docvectors.vectors_of(docvectors.train_word_vectors(cut))
+    cut = staged(cut, "lemmas")
     terms = themes.prepare_lemmas(cut, stage=False)
+    words = terms.vocabulary.terms
+    trained = docvectors.vectors_of(docvectors.train_word_vectors(cut, words))
     return themes.vectors_of_articles(terms, trained, docvectors.VECTOR_SIZE)
 
 

@@ -144,6 +144,8 @@ def _way(
     if on not in ("full", "reduced"):
         raise ValueError(f"cannot cluster on: {on}")
     if on == "reduced":
+        # Read for the fit, for the labels and for the output.
+        projection = staged(projection, "projection")
         features = projection.select("docid", matrix.as_features("projection").alias("features"))
     themes = clusters.fit_themes(features, k=k, runs=runs, normalise=normalise)
     rows = clusters.unit_length(features, "features") if normalise else features

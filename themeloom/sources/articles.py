@@ -23,7 +23,8 @@ def read_xml(
     """
     start, end = f"<{row_tag}>", f"</{row_tag}>"
     pieces = spark.read.option("lineSep", end).text(path).where(F.col("value").contains(start))
-    inside = F.substring_index("value", start, -1)
+    # From the first start tag on: one inside the text is part of it.
+    inside = F.expr(f"substring(value, locate('{start}', value) + {len(start)})")
     records = pieces.select(F.concat(F.lit(start), inside, F.lit(end)).alias("record"))
     if inner_markup:
         texts = {
