@@ -44,6 +44,8 @@ DECAY = 1e-4
 SEED = 7
 THRESHOLD = 0.7
 
+# Hashes that agree beyond so many low bits are one of 4096 ranges.
+HASH_SHIFT = 52
 # Passages encoded at a time.
 AT_ONCE = 4096
 
@@ -208,16 +210,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL")
     usable = usable.where(~is_held_out(F.col("doc_id")))
-    usable = usable.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("label"))
-    totals = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    in_label = W.partitionBy("label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = usable.withColumn("_rank", F.row_number().over(in_label)).where(
+    usable = usable.select(
+        F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("label")
+    )
+    hashed = usable.withColumn("_hash", F.xxhash64("_id"))
+    # Ranges of the hash, counted, tell where the sample ends: only rows up to there are ranked.
+    hashed = hashed.withColumn("_range", F.shiftright("_hash", HASH_SHIFT))
+    counted = hashed.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("rows"))
+    of_label = W.partitionBy("label")
+    before = F.sum("rows").over(of_label.orderBy("_range")) - F.col("rows")
+    ends = counted.withColumn("before", before).withColumn("n", F.sum("rows").over(of_label))
+    ends = ends.where(F.col("before") < sample)
+    ends = ends.groupBy("label", "n").agg(F.max("_range").alias("last"))
+    # One row for each of the two labels.
+    near = hashed.join(F.broadcast(ends), "label").where(F.col("_range") <= F.col("last"))
+    in_label = of_label.orderBy("_hash", "_id")
+    chosen = near.withColumn("_rank", F.row_number().over(in_label)).where(
         F.col("_rank") <= sample
     )
-    chosen = staged(chosen.select("_id", "label"), "labelled-sample")
+    chosen = staged(chosen.select("_id", "label", "n"), "labelled-sample")
     # At most 2 x sample ids, so they can go to every executor.
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return met.join(F.broadcast(totals), "label").select("label", "n", "_id", "text")
+    return met.select("label", "n", "_id", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
