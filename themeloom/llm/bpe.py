@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from themeloom.llm.rows import map_batches
+from themeloom.llm.rows import kept, map_batches
 from themeloom.llm.trie import LONGEST, Table, Trie
 
 MOST_WORDS = 700_000
@@ -353,16 +353,11 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-_ENCODERS: dict[int, Encoder] = {}
 
 
 def encoder_of(vocabulary: str) -> Encoder:
-    """The encoder of this Python worker, kept from task to task."""
-    key = hash(vocabulary)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary)
-    return _ENCODERS[key]
+    """The encoder of this Python worker, kept as long as its tasks use it."""
+    return kept(("encoder", hash(vocabulary)), lambda: Encoder(vocabulary))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
