@@ -28,6 +28,11 @@ def text_bytes(value: str | None) -> bytes:
     return value.encode() if value else b""
 
 
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """UTF-8 of each text of a column."""
+    return column.cast(pa.binary()).to_pylist()
+
+
 def map_batches(
     table: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 ) -> DataFrame:
