@@ -67,3 +67,11 @@ def test_edge_rows(spark):
     assert sorted((r.n_tokens for r in got if r.doc_id != 5)) == [0, 0, 0, 3]
     assert len(got) == 5
     assert t.token_counts(docs.limit(0), PIECES).collect() == []
+
+
+def test_two_sets_of_pieces_of_the_same_names(spark):
+    other = t.Pieces(PIECES.scores | {"ab": -t.MILLION, "aba": -30 * t.MILLION}, PIECES.unknown)
+    docs = spark.createDataFrame([(1, "abab aba")], "doc_id long, text string")
+    found = [t.token_counts(docs, pieces).first().n_tokens for pieces in (PIECES, other, PIECES)]
+    assert found == [by_whole_text("abab aba", p) for p in (PIECES, other, PIECES)]
+    assert found[0] != found[1]

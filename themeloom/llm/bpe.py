@@ -38,6 +38,12 @@ MOST_WORDS = 700_000
 MOST_PIECES = 1_200_000
 LONGEST_STORED = 64
 
+# The white space that no word spans, and that is one space wherever it stands.
+WHITE_SPACE = (
+    "\n\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Characters encoded at a time, words in one trie, and places for pairs of tokens already looked at.
 CHARS_AT_ONCE = 4_000_000
 WORDS_AT_ONCE = 40_000
@@ -254,26 +260,22 @@ class Encoder:
         return pack(f"<{len(found)}I", *found[::-1])
 
     def _all_parts(self, pieces: list[str]) -> list[list[str]]:
-        """Words of each text, in the vocabulary's own alphabet."""
+        """Words of each piece, in the vocabulary's own alphabet."""
         find = self.ascii.findall if self.ascii else None
         plain = [bool(find) and p.isascii() and p.isprintable() for p in pieces]
         parts = [find(p.lower()) if own else [] for p, own in zip(pieces, plain)]
-        others = [i for i, own in enumerate(plain) if not own]
-        # One call for many: joined by spaces, which no word spans.
+        others = [i for i, own in enumerate(plain) if not own and pieces[i]]
+        # One call for many: joined by spaces, which no piece has and no word spans.
         text = self.tokenizer.normalizer.normalize_str(" ".join(pieces[i] for i in others))
         normal = text.split(" ")
-        if len(normal) == len(others):
-            ends = np.cumsum([len(piece) + 1 for piece in normal])
-            words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-            starts = np.array([start for _, (start, _) in words], np.int64)
-            of = np.searchsorted(ends, starts, side="right").tolist()
-            for (word, _), i in zip(words, of):
-                parts[others[i]].append(word)
-        else:  # one of them has other white space inside
-            for i in others:
-                text = self.tokenizer.normalizer.normalize_str(pieces[i])
-                words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-                parts[i] = [word for word, _ in words]
+        if others and len(normal) != len(others):
+            raise ValueError("the vocabulary knows white space that is not provided for")
+        ends = np.cumsum([len(piece) + 1 for piece in normal])
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        starts = np.array([start for _, (start, _) in words], np.int64)
+        of = np.searchsorted(ends, starts, side="right").tolist()
+        for (word, _), i in zip(words, of):
+            parts[others[i]].append(word)
         return parts
 
     def _encoded_words(self, words: set[str]) -> dict[str, bytes]:
@@ -285,45 +287,48 @@ class Encoder:
             made |= self._store_words(new[begin : begin + WORDS_AT_ONCE])
         return made
 
-    def _encoded_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of different texts without spaces and line ends inside."""
-        new = list(pieces - self.pieces.keys())
-        made = {piece: self.pieces[piece] for piece in pieces.difference(new)}
-        parts = self._all_parts(new)
+    def _encoded_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different texts without white space."""
+        parts = self._all_parts(pieces)
         ids_of = self._encoded_words({word for own in parts for word in own}).__getitem__
-        encoded = {piece: b"".join(map(ids_of, own)) for piece, own in zip(new, parts)}
+        return {piece: b"".join(map(ids_of, own)) for piece, own in zip(pieces, parts)}
+
+    def _pieces_of(self, text: str | None) -> list[str]:
+        """The text between white space; an added token is a piece of its own."""
+        if not text:
+            return []
+        if self.cut and self.cut.search(text):
+            parts = self.cut.split(text)
+            return [
+                piece
+                for part in parts
+                for piece in ([part] if part in self.added else self._pieces_of(part))
+            ]
+        for white in WHITE_SPACE[:5] if text.isascii() else WHITE_SPACE:
+            if white in text:
+                text = text.replace(white, " ")
+        return text.split(" ")
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        parts = list(map(self._pieces_of, texts))
+        found = [list(map(self.pieces.get, own)) for own in parts]
+        new = {p for own, ids in zip(parts, found) for p, known in zip(own, ids) if known is None}
+        added = {name: pack("<I", self.added[name]) for name in new & self.added.keys()}
+        encoded = self._encoded_pieces(list(new - added.keys())) | added
         if len(self.pieces) + len(encoded) > MOST_PIECES:
             self.pieces.clear()
         self.pieces.update((p, ids) for p, ids in encoded.items() if len(p) <= LONGEST_STORED)
-        made |= encoded
-        return made
-
-    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
-        parts: list[list[str]] = []
-        added: set[str] = set()
-        for text in texts:
-            if not text:
-                parts.append([])
-            elif self.cut and self.cut.search(text):
-                parts.append([])
-                for part in self.cut.split(text):
-                    if part in self.added:
-                        added.add(part)
-                        parts[-1].append(part)
-                    else:
-                        parts[-1] += part.replace("\n", " ").split(" ")
-            else:
-                parts.append(text.replace("\n", " ").split(" "))
-        ids_of = self._encoded_pieces(set().union(*parts) - added)
-        ids_of |= {name: pack("<I", self.added[name]) for name in added}
-        return [b"".join(map(ids_of.__getitem__, own)) for own in parts]
+        return [
+            b"".join([encoded[p] if known is None else known for p, known in zip(own, ids)])
+            for own, ids in zip(parts, found)
+        ]
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
-        A space or line end never joins, composes or matches with what is
-        beside it, so the pieces between them are encoded on their own, each
-        different one once.
+        White space never joins, composes or matches with what is beside it,
+        so the pieces between it are encoded on their own, each different one
+        once.
         """
         some, size = [], 0
         for text in texts:
@@ -353,11 +358,10 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-
-
 def encoder_of(vocabulary: str) -> Encoder:
     """The encoder of this Python worker, kept as long as its tasks use it."""
-    return kept(("encoder", hash(vocabulary)), lambda: Encoder(vocabulary))
+    name = hashlib.sha256(vocabulary.encode()).digest()
+    return kept(("encoder", name), lambda: Encoder(vocabulary))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

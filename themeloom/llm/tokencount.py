@@ -19,6 +19,7 @@ the text, as the vocabulary expects; repeated rows give repeated rows; an
 empty table gives an empty table; other columns are not read.
 """
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from themeloom.llm.bpe import vocabulary_path
-from themeloom.llm.rows import map_batches
+from themeloom.llm.rows import kept, map_batches
 from themeloom.llm.trie import LONGEST, Table, Trie
 
 SPACE = "▁"
@@ -169,16 +170,9 @@ class TokenCounter:
         return found
 
 
-_COUNTERS: dict[int, TokenCounter] = {}
-
-
-def _counter_of(pieces: Pieces) -> TokenCounter:
-    """The counter of this Python worker, kept from task to task."""
-    key = hash((len(pieces.scores), pieces.unknown, tuple(list(pieces.scores)[:1000])))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = TokenCounter(pieces)
-    return _COUNTERS[key]
+def _digest(pieces: Pieces) -> bytes:
+    """Tells two sets of pieces apart, by their names and scores."""
+    return hashlib.sha256(repr((pieces.unknown, [*pieces.scores.items()])).encode()).digest()
 
 
 def token_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -187,9 +181,10 @@ def token_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     The pieces (some 30,000) are broadcast; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    name = _digest(pieces)
 
     def make():
-        counter = _counter_of(shared.value)
+        counter = kept(("token counter", name), lambda: TokenCounter(shared.value))
 
         def work(batch: pa.RecordBatch) -> dict:
             counted = counter.count_many(batch.column(1).to_pylist())
