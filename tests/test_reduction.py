@@ -58,12 +58,10 @@ def test_rank_is_no_more_than_there_is(spark):
 
 
 def test_projection_keeps_ids_and_empty_rows(spark, noise):
-    rows = [
-        (i, j, float(x)) for i, row in enumerate(noise) for j, x in enumerate(row)
-    ] + [(60, None, None)]
-    long = spark.createDataFrame(rows, "docid int, term_id int, weight double").repartition(4)
+    rows = [(i, Vectors.dense(row)) for i, row in enumerate(noise)] + [(60, Vectors.sparse(12, [], []))]
+    table = spark.createDataFrame(rows, ["docid", "features"]).repartition(4)
     basis = np.linalg.svd(noise, full_matrices=False)[2][:3].T
-    got = matrix.project(long, matrix.basis_table(spark, basis), 12, 3)
+    got = matrix.project(table, matrix.basis_table(spark, basis), 12, 3)
     values = _rows(got)
     assert values[:60] == pytest.approx(noise @ basis, abs=1e-9)
     assert list(values[60]) == [0.0, 0.0, 0.0]

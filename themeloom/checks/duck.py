@@ -91,7 +91,7 @@ _PROJECTION = (
 basis AS (
   SELECT v.term_id, CAST(generate_subscripts(e.part, 1) - 1 AS INTEGER) AS component,
          CAST(unnest(e.part) AS DOUBLE) AS x
-  FROM vocab v JOIN (SELECT vec_id, embedding[1:10] AS part FROM embeddings) e ON e.vec_id = v.term_id
+  FROM vocab v JOIN (SELECT vec_id, embedding AS part FROM embeddings) e ON e.vec_id = v.term_id
 ),
 dots AS (
   SELECT w.docid, b.component, sum(w.weight * b.x) AS s
@@ -99,7 +99,9 @@ dots AS (
 ),
 projected AS (
   SELECT d.doc_id AS docid, c.component, coalesce(s.s, 0.0) AS value
-  FROM documents d CROSS JOIN (SELECT CAST(unnest(range(10)) AS INTEGER) AS component) c
+  FROM documents d CROSS JOIN (
+    SELECT CAST(unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS INTEGER) AS component
+  ) c
   LEFT JOIN dots s ON s.docid = d.doc_id AND s.component = c.component
 )"""
 )

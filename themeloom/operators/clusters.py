@@ -3,6 +3,7 @@
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from themeloom import schemas
 from themeloom.functions import arrays
+from themeloom.operators import products
 from themeloom.operators.sizes import small
 
 # Settings of the fit and lengths of the lists.
@@ -143,22 +145,46 @@ def squared_distances(
 ) -> DataFrame:
     """``docid, distances``: one squared distance per cluster, in one pass.
 
-    ``clusters`` names the clusters, as a pivot names its values. The centres
-    are turned so that one row holds a position's value in every cluster;
-    each position of an article then meets one row, and each cluster has its
-    own sum. The centres are then as many rows as a vector has positions,
-    ``width``, which is read from the first vector if it is not given.
+    ``clusters`` names the clusters, as a pivot names its values; one without
+    a centre lies at zero. Centres of ``width`` positions, which is read from
+    the first vector if it is not given, are held against batches of articles,
+    so nothing is shuffled. Centres too large to send to every executor are
+    joined instead.
     """
     if width is None:
         first = vectors.select(F.size(vector).alias("n")).first()
         width = first.n if first else 0
+    if not products.fits(len(clusters), width):
+        return squared_distances_by_join(vectors, centres, clusters, vector)
+    given = centres.where(F.col("cluster").isin(list(clusters)) & (F.col("pos") < width))
+    at = {cluster: nth for nth, cluster in enumerate(clusters)}
+    dense = np.zeros((len(clusters), width))
+    for row in given.collect():
+        dense[at[row.cluster], row.pos] = row.value
+    found = products.distances(vectors, dense, vector)
+    pairs = [
+        F.struct(F.lit(c).cast("int").alias("cluster"), F.get("far", i).alias("distance"))
+        for i, c in enumerate(clusters)
+    ]
+    return found.select("docid", F.array(*pairs).alias("distances"))
+
+
+def squared_distances_by_join(
+    vectors: DataFrame, centres: DataFrame, clusters: Sequence[int], vector: str = "vec"
+) -> DataFrame:
+    """The same for centres of any size.
+
+    The centres are turned so that one row holds a position's value in every
+    cluster; each position of an article meets one row, and each cluster has
+    its own sum.
+    """
     value_in = [
         F.coalesce(F.max(F.when(F.col("cluster") == c, F.col("value"))), F.lit(0.0))
         for c in clusters
     ]
     turned = centres.groupBy("pos").agg(F.array(*value_in).alias("at"))
     points = vectors.select("docid", F.posexplode(vector).alias("pos", "x"))
-    met = points.join(small(turned, width, len(clusters)), "pos", "left").select(
+    met = points.join(turned, "pos", "left").select(
         "docid", "x", F.coalesce("at", arrays.zeros(len(clusters))).alias("at")
     )
 

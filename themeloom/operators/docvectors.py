@@ -2,12 +2,14 @@
 
 from collections.abc import Collection
 
+import numpy as np
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
+from themeloom.operators import products
 from themeloom.operators.sizes import small
 from themeloom.operators.weights import Vocabulary, weight_rows
 
@@ -69,10 +71,12 @@ def article_vectors(
     """``docid, vec array<double>``, zeros where no term has a vector.
 
     ``size`` is the length of the vectors; when it is not given it is read from
-    them, and they must agree. Each position has its own sum, so a term stays one row,
-    the sums are combined in the task that holds the article, and what is
-    shuffled is one row of ``size`` numbers per article.
+    them, and they must agree. The vectors of the vocabulary's terms are
+    multiplied with batches of articles, so nothing is shuffled; vectors too
+    many to send to every executor are joined instead.
     """
+    if weighting not in ("tfidf", "binary"):
+        raise ValueError(f"unknown weighting: {weighting}")
     if size is None:
         length = F.size("vector")
         sizes = term_vectors.agg(F.min(length).alias("least"), F.max(length).alias("most")).first()
@@ -81,8 +85,36 @@ def article_vectors(
         if sizes.least != sizes.most:
             raise ValueError(f"vectors of {sizes.least} to {sizes.most} numbers")
         size = sizes.least
+    width = len(vocabulary.terms)
+    if not products.fits(width, size + 1):
+        return article_vectors_by_join(matrix, vocabulary, term_vectors, size, weighting)
+    weights = vocabulary.idfs if weighting == "tfidf" else [1.0] * width
+    # The last column adds up the weights of the terms that have a vector.
+    dense = np.zeros((width, size + 1))
+    for row in term_vectors.collect():
+        dense[row.term_id, :size] = row.vector
+        dense[row.term_id, size] = 1.0
+    dense *= np.array(weights)[:, None]
+
+    def mean(sums: np.ndarray) -> np.ndarray:
+        total = sums[:, size:]
+        return np.divide(sums[:, :size], total, out=np.zeros((len(sums), size)), where=total > 0)
+
+    # The number of lemmas is in every weight of an article, so it cancels out.
+    before = np.sign if weighting == "binary" else None
+    return products.times(matrix, dense, "tf", "vec", before=before, after=mean)
+
+
+def article_vectors_by_join(
+    matrix: DataFrame,
+    vocabulary: Vocabulary,
+    term_vectors: DataFrame,
+    size: int,
+    weighting: str = "tfidf",
+) -> DataFrame:
+    """The same for word vectors of any number and length: one row per entry of an article."""
     rows = weight_rows(matrix, vocabulary, weighting, keep_empty=True)
-    found = rows.join(small(term_vectors, len(vocabulary.terms), size), "term_id", "left")
+    found = rows.join(term_vectors, "term_id", "left")
     sums = [F.expr(f"sum(weight * get(vector, {i})) AS s{i}") for i in range(size)]
     total = F.sum(F.when(F.col("vector").isNotNull(), F.col("weight"))).alias("total")
     summed = found.groupBy("docid").agg(*sums, total)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
-from themeloom.operators.sizes import small
+from themeloom.operators import products
 
 # Fixed value: how many singular values or components are kept.
 RANK = 10
@@ -79,15 +79,26 @@ def basis_table(spark: SparkSession, basis: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "term_id int, loadings array<double>")
 
 
-def project(rows: DataFrame, basis: DataFrame, width: int, k: int) -> DataFrame:
-    """Project long rows on a basis: ``docid, projection array<double>``.
+def project(weighted: DataFrame, basis: DataFrame, width: int, k: int) -> DataFrame:
+    """Project the ``features`` of all rows on a basis: ``docid, projection array<double>``.
 
-    The basis has at most ``width`` rows of ``k`` loadings. The loadings of a
-    term stay together in one row, so the join adds no rows. Rows whose term
-    it lacks count as zero, and no article is lost.
+    The basis, ``term_id, loadings``, has at most ``width`` rows of ``k``
+    loadings; terms it lacks count as zero. It is multiplied with batches of
+    articles, so nothing is shuffled. A basis too large to send to every
+    executor is joined instead.
     """
-    found = rows.join(small(basis, width, k), "term_id", "left")
-    sums = [F.expr(f"coalesce(sum(weight * get(loadings, {i})), 0D) AS c{i}") for i in range(k)]
+    if not products.fits(width, k):
+        return project_by_join(weighted, basis, k)
+    dense = products.matrix_of(basis.collect(), "term_id", "loadings", (width, k))
+    return products.times(weighted, dense, out="projection")
+
+
+def project_by_join(weighted: DataFrame, basis: DataFrame, k: int) -> DataFrame:
+    """The same for a basis of any size: one row per entry of an article."""
+    entry = F.explode_outer(arrays.entries(F.col("features"))).alias("entry")
+    rows = weighted.select("docid", entry).select("docid", "entry.*")
+    found = rows.join(basis, "term_id", "left")
+    sums = [F.expr(f"coalesce(sum(value * get(loadings, {i})), 0D) AS c{i}") for i in range(k)]
     projected = found.groupBy("docid").agg(*sums)
     return projected.select("docid", F.array(*[f"c{i}" for i in range(k)]).alias("projection"))
 

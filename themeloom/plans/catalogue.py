@@ -41,7 +41,6 @@ GIVEN_CLUSTERS = range(10)
 # Digits that are compared where another engine sums in another order.
 DIGITS = 9
 DISTANCE_DIGITS = 6
-BASIS_COLUMNS = 10
 
 
 def _rounded(value: Column | str, digits: int) -> Column:
@@ -107,13 +106,12 @@ def _given_distances(vectors: DataFrame) -> DataFrame:
 
 
 def _fixed_projection(spark: SparkSession, folder: str) -> DataFrame:
+    """The weights on a given basis: the loadings of term ``r`` are embedding ``r``."""
     terms = _terms(spark, folder)
-    width = len(terms.vocabulary.terms)
-    ids = small(terms.table.select(F.col("term_id").alias("vec_id"), "term_id"), width)
-    basis = _embeddings(spark, folder).join(ids, "vec_id")
-    basis = basis.select("term_id", F.slice("vec", 1, BASIS_COLUMNS).alias("loadings"))
-    rows = weights.weight_rows(terms.matrix, terms.vocabulary, keep_empty=True)
-    return matrix.project(rows, basis, width, BASIS_COLUMNS)
+    vectors, size = _word_vectors(spark, folder, terms)
+    loadings = docvectors.vectors_of_terms(terms.vocabulary, vectors)
+    basis = loadings.withColumnRenamed("vector", "loadings")
+    return matrix.project(terms.weighted(), basis, len(terms.vocabulary.terms), size)
 
 
 # Questions about the table of articles.

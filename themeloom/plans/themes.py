@@ -12,7 +12,6 @@ from themeloom.operators.weights import (
     Vocabulary,
     build_vocabulary,
     term_matrix,
-    weight_rows,
     weight_vectors,
 )
 from themeloom.plans.staging import staged
@@ -81,8 +80,7 @@ def lsa_projection(terms: Terms, k: int = matrix.RANK) -> tuple[matrix.Truncated
     width = len(terms.vocabulary.terms)
     svd = matrix.truncated_svd(terms.weighted(), width, k)
     basis = matrix.basis_table(terms.matrix.sparkSession, svd.basis)
-    rows = weight_rows(terms.matrix, terms.vocabulary, keep_empty=True)
-    return svd, matrix.project(rows, basis, width, len(svd.values))
+    return svd, matrix.project(terms.weighted(), basis, width, len(svd.values))
 
 
 def lsa_way(
