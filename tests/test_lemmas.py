@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,36 +48,69 @@ def test_word_lists_as_tables(spark, articles):
     assert _got(L.lemmatise(articles, table, stops)) == EXPECTED
 
 
-def test_large_lists_are_joined(spark, articles, monkeypatch):
-    monkeypatch.setattr(L, "INLINE_LEMMAS", 2)
-    assert _got(L.lemmatise(articles, LEMMA_OF, ["the", "and"])) == EXPECTED
-    monkeypatch.setattr(L, "INLINE_STOP_WORDS", 1)
-    table = spark.createDataFrame(list(LEMMA_OF.items()), "form string, lemma string")
-    stops = spark.createDataFrame([("the",), ("and",), ("the",)], "word string")
-    out = L.lemmatise(articles, table, stops)
-    assert _got(out) == EXPECTED and set(out.columns) == {"docid", "date", "lemmas"}
+def _tables(spark):
+    table = spark.createDataFrame([*LEMMA_OF.items(), (None, "x"), ("y", None)], "form string, lemma string")
+    return table, spark.createDataFrame([("the",), ("and",), ("the",), (None,)], "word string")
+
+
+def test_lists_too_long_to_send_are_joined(spark, articles, monkeypatch):
+    monkeypatch.setattr(L, "MOST_FORMS", 2)
+    assert L.word_lists(LEMMA_OF, []) is None
+    for lists in ((LEMMA_OF, ["the", "and"]), _tables(spark)):
+        out = L.lemmatise(articles, *lists)
+        assert _got(out) == EXPECTED and set(out.columns) == {"docid", "date", "lemmas"}
+    monkeypatch.setattr(L, "MOST_FORMS", 100)
+    monkeypatch.setattr(L, "LONGEST_FORM", 3)
+    assert L.word_lists(*_tables(spark)) is None
+
 
+def test_forty_thousand_forms_without_a_shuffle(spark):
+    forms = [(f"{a}{b}{c}{d}", f"{a}{b}{c}") for a in "bcdfghjklmnpqrst" for b in "aeiou"
+             for c in "bcdfghjklmnpqrstvwxyz" for d in "bcdfghjklmnpqrstvwxyzaeio"]
+    assert len(forms) > 40_000
+    table = spark.createDataFrame(forms, "form string, lemma string")
+    texts = spark.createDataFrame([(i, f"{a} other {b}") for i, (a, b) in enumerate(zip(*[[f for f, _ in forms[i::2]] for i in (0, 1)]))], "docid int, text string")
+    out = L.lemmatise(texts, table, ["other"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert all(r.lemmas == [forms[2 * r.docid][1], forms[2 * r.docid + 1][1]] for r in out.collect())
 
-def test_joined_lists_agree_on_the_given_texts(spark, tables, monkeypatch):
+
+def test_repeated_ids_stay_apart(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "cats ran"), (1, "dogs"), (1, "dogs"), (None, None)], "docid int, text string")
+    wanted = sorted([(1, ["cat", "run"]), (1, ["dogs"]), (1, ["dogs"]), (0, [])])
+    for most in (100, 1):
+        monkeypatch.setattr(L, "MOST_FORMS", most)
+        found = L.lemmatise(texts, LEMMA_OF, []).collect()
+        assert sorted((r.docid or 0, r.lemmas) for r in found) == wanted
+
+
+def test_two_lemmas_for_a_form_are_an_error(spark, articles, monkeypatch):
+    table = spark.createDataFrame([("cats", "cat"), ("cats", "dog"), ("ran", "run")], "form string, lemma string")
+    for most in (100, 1):
+        monkeypatch.setattr(L, "MOST_FORMS", most)
+        with pytest.raises(ValueError, match="cats"):
+            L.lemmatise(articles, table, [])
+
+
+def test_joined_lists_agree_on_the_given_texts(spark, tables):
     from themeloom.plans.catalogue import LEMMAS, STOP_WORDS, _articles
 
     texts = _articles(spark, tables).select("docid", "text")
-    short = L.lemmatise(texts, LEMMAS, STOP_WORDS)
-    monkeypatch.setattr(L, "INLINE_LEMMAS", 2)
-    joined = L.lemmatise(texts, LEMMAS, STOP_WORDS)
-    both = short.alias("a").join(joined.alias("b"), "docid")
+    sent = L.lemmatise(texts, LEMMAS, STOP_WORDS)
+    joined = L.lemmatise_by_join(texts, LEMMAS, STOP_WORDS)
+    both = sent.alias("a").join(joined.alias("b"), "docid")
     assert both.where(F.col("a.lemmas") == F.col("b.lemmas")).count() == texts.count()
 
 
-@pytest.mark.parametrize("lemma_of", [LEMMA_OF, LEMMA_OF | {"me": "myself", "r2d2": "robot"}])
+@pytest.mark.parametrize("lemma_of", [LEMMA_OF, LEMMA_OF | {"me": "myself", "r2d2": "robot"}, {}])
 @pytest.mark.parametrize("stops", [[], ["run", "me"], ["were", "cats", "myself"]])
-def test_one_pattern_agrees_with_single_steps(articles, lemma_of, stops):
-    text = F.col("text")
-    steps = tokens.keep(tokens.look_up(tokens.word_forms(text), lemma_of), stops)
-    rows = articles.select(
-        tokens.kept_lemmas(text, lemma_of, stops).alias("a"), steps.alias("b")
-    ).collect()
-    assert all(r.a == r.b for r in rows)
+def test_as_word_by_word(articles, lemma_of, stops):
+    def by_hand(text):
+        found = [lemma_of.get(form, form) for form in re.split(r"\W+", (text or "").lower(), flags=re.ASCII)]
+        return [w for w in found if re.fullmatch("[a-z]{3,}", w) and w not in stops]
+
+    assert _got(L.lemmatise(articles, lemma_of, stops)) == {i: by_hand(text) for i, text in TEXTS}
 
 
 def test_short_form_with_a_long_lemma(articles):

@@ -1,6 +1,6 @@
 """The same queries in SQL, for DuckDB, over the same tables."""
 
-from themeloom.plans.catalogue import LEMMAS, STOP_WORDS
+from themeloom.plans.catalogue import LEMMAS, STEM, STOP_WORDS
 
 _ARTICLES = r"""
 articles AS (
@@ -149,6 +149,19 @@ _LEMMA_LINES = f"""WITH {_KEPT}
            coalesce(string_agg(k.lemma, ' ' ORDER BY k.pos), '') AS lemmas
     FROM documents d LEFT JOIN kept k ON k.docid = d.doc_id GROUP BY d.doc_id"""
 
+_STEMMED = rf"""WITH
+stop_list(word) AS (VALUES {_values((w,) for w in STOP_WORDS)}),
+cut AS (SELECT doc_id AS docid, regexp_split_to_array(lower(text), '\W+') AS words FROM documents),
+forms AS (SELECT docid, unnest(words) AS form, generate_subscripts(words, 1) AS pos FROM cut),
+kept AS (
+  SELECT docid, pos, CASE WHEN length(form) > {STEM} THEN substr(form, 1, {STEM}) ELSE form END AS lemma
+  FROM forms WHERE length(form) >= 3 AND regexp_matches(form, '^[a-z]+$')
+)
+SELECT d.doc_id AS docid, CAST(count(k.lemma) AS INTEGER) AS n_lemmas,
+       coalesce(string_agg(k.lemma, ' ' ORDER BY k.pos), '') AS lemmas
+FROM documents d LEFT JOIN (SELECT * FROM kept WHERE lemma NOT IN (SELECT word FROM stop_list)) k
+  ON k.docid = d.doc_id GROUP BY d.doc_id"""
+
 ORACLE = {
     "publications_in_month": f"WITH {_ARTICLES} SELECT publication FROM articles WHERE month = 6",
     "publication_counts_year": f"""WITH {_ARTICLES}
@@ -178,6 +191,7 @@ ORACLE = {
     "plain_text": r"""SELECT doc_id AS docid,
         array_to_string(regexp_split_to_array(lower(text), '\W+'), ' ') AS plain FROM documents""",
     "kept_lemmas": _LEMMA_LINES,
+    "kept_lemmas_stemmed": _STEMMED,
     "kept_lemmas_joined": _LEMMA_LINES,
     "kept_lemmas_python": _LEMMA_LINES,
     "distinct_lemmas": f"WITH {_KEPT} SELECT DISTINCT docid, lemma FROM kept",

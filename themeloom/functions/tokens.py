@@ -1,11 +1,11 @@
-"""From text to word forms, lemmas and counts, one article per row.
+"""From text to word forms, one article per row.
 
-An article is one row, so its words can be cut, looked up, counted and made
-distinct inside that row. None of these expressions needs a shuffle.
+An article is one row, and its words are cut and picked inside that row. None
+of these expressions needs a shuffle.
 """
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,24 +24,18 @@ def word_forms(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK)
 
 
-def plain_text(text: Column) -> Column:
-    """The word forms joined again by single spaces."""
-    return F.array_join(word_forms(text), " ")
+def kept_words(text: Column) -> Column:
+    """The words that pass the rules for lemmas themselves, picked by one pattern."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(KEPT_WORD), F.lit(0))
 
 
-def look_up(forms: Column, lemma_of: Mapping[str, str]) -> Column:
-    """Replace forms found in a small table by their lemma.
+def is_kept_word(word: str) -> bool:
+    return re.fullmatch(KEPT_WORD, word) is not None
 
-    ``isin`` over literals is a hash set test, so the map is only searched for
-    forms that are in it.
-    """
-    if not lemma_of:
-        return forms
-    table = F.create_map(*[F.lit(word) for pair in lemma_of.items() for word in pair])
-    known = list(lemma_of)
-    return F.transform(
-        forms, lambda form: F.when(form.isin(known), F.element_at(table, form)).otherwise(form)
-    )
+
+def plain_text(text: Column) -> Column:
+    """The word forms joined again by single spaces."""
+    return F.array_join(word_forms(text), " ")
 
 
 def is_kept(lemma: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -52,31 +46,3 @@ def is_kept(lemma: Column, stop_words: Sequence[str] = ()) -> Column:
 
 def keep(lemmas: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(lemmas, lambda lemma: is_kept(lemma, stop_words))
-
-
-def kept_lemmas(
-    text: Column, lemma_of: Mapping[str, str] = {}, stop_words: Sequence[str] = ()
-) -> Column:
-    """Lemmas of a text that are kept, in text order.
-
-    What the word lists do to a form is settled here, before the job: a form
-    is dropped, renamed or left alone. Where only forms that pass the rules
-    for lemmas lead to a kept lemma, the words can be picked out of the text
-    by one pattern, which leaves one hash set test per word for each list.
-    """
-    stops = set(stop_words)
-    leading = {
-        form: lemma
-        for form, lemma in lemma_of.items()
-        if len(lemma) >= MIN_LENGTH and re.search(ONLY_LETTERS, lemma) and lemma not in stops
-    }
-    if not all(re.fullmatch(KEPT_WORD, form) for form in leading):
-        return keep(look_up(word_forms(text), lemma_of), sorted(stops))
-    dropped = sorted((set(lemma_of) - set(leading)) | (stops - set(lemma_of)))
-    renamed = {form: lemma for form, lemma in leading.items() if form != lemma}
-    words = F.regexp_extract_all(
-        F.lower(F.coalesce(text, F.lit(""))), F.lit(KEPT_WORD), F.lit(0)
-    )
-    if dropped:
-        words = F.filter(words, lambda word: ~word.isin(dropped))
-    return look_up(words, renamed)

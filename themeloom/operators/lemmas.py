@@ -1,50 +1,108 @@
 """Articles to lemmas.
 
-Word lists of a bounded size are looked up inside the article's own row, so
-that this step has no shuffle. Larger lists are joined.
+Word lists are sent to every executor, and an article's words are looked up
+inside its own row: there is no shuffle, whatever the length of the lists up
+to ``MOST_FORMS``. Only longer ones are joined.
 """
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom.functions import tokens
-from themeloom.operators.sizes import small
 from themeloom.sources.word_lists import IRREGULAR_LEMMAS
 
-# Largest lists that are written into the expression itself.
-INLINE_LEMMAS = 256
-INLINE_STOP_WORDS = 10_000
+# Longest list that is sent to every executor, and the longest of its words in characters.
+MOST_FORMS = 2_000_000
+LONGEST_FORM = 100
 
-# A larger lemma table is copied this often, to split frequent words.
+# A longer list is copied this often, to split frequent words.
 SALTS = 16
 
 LemmaTable = Mapping[str, str] | DataFrame
 WordList = Iterable[str] | DataFrame
 
 
-def _rows_if_few(table: DataFrame, most: int) -> list | None:
-    """Rows of the table, or None when there are more than ``most``."""
-    rows = table.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+@dataclass(frozen=True)
+class WordLists:
+    """Forms with their lemmas, and stop words, each word once."""
 
+    forms: pa.Array
+    lemmas: pa.Array
+    stops: pa.Array
+
+    def resolve(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The lemma of each word, and whether it is kept."""
+        at = pc.index_in(words, value_set=self.forms)
+        lemmas = pc.coalesce(self.lemmas.take(at), words)
+        kept = pc.match_substring_regex(lemmas, tokens.ONLY_LETTERS)
+        kept = pc.and_(kept, pc.greater_equal(pc.binary_length(lemmas), tokens.MIN_LENGTH))
+        kept = pc.and_(kept, pc.invert(pc.is_in(lemmas, value_set=self.stops)))
+        return lemmas, kept.to_numpy(zero_copy_only=False)
+
+    def forms_that_count(self) -> list[str]:
+        """Listed forms with a lemma that is kept."""
+        lemmas, kept = self.resolve(self.forms)
+        return self.forms.filter(pa.array(kept)).to_pylist()
+
+
+def _lemma_pairs(lemma_of: LemmaTable) -> DataFrame | None:
+    """The different ``form, lemma`` of a table, without nulls."""
+    if not isinstance(lemma_of, DataFrame):
+        return None
+    return lemma_of.select("form", "lemma").dropna().distinct()
 
-def _small_lemmas(lemma_of: LemmaTable) -> Mapping[str, str] | None:
-    if isinstance(lemma_of, DataFrame):
-        rows = _rows_if_few(lemma_of.select("form", "lemma"), INLINE_LEMMAS)
-        return None if rows is None else {r.form: r.lemma for r in rows}
-    return lemma_of if len(lemma_of) <= INLINE_LEMMAS else None
 
+def _only_lemmas(pairs: DataFrame) -> None:
+    """Reject a table that has two lemmas for one form."""
+    twice = pairs.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice:
+        raise ValueError(f"more than one lemma for the form {twice.form!r}")
 
-def _small_stop_words(stop_words: WordList) -> list[str] | None:
+
+def _collected(words: DataFrame) -> pa.Table | None:
+    """The rows of a list, or None if they may be too many or too long."""
+    long = [F.length(column) > LONGEST_FORM for column in words.columns]
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*long, F.lit(False))).alias("long"))
+    found = size.first()
+    return None if found.n > MOST_FORMS or found.long else words.toArrow()
+
+
+def word_lists(lemma_of: LemmaTable, stop_words: WordList) -> WordLists | None:
+    """Both lists on the driver, or None where one is too long for that."""
+    if isinstance(lemma_of, DataFrame):
+        pairs = _lemma_pairs(lemma_of)
+        _only_lemmas(pairs)
+        table = _collected(pairs)
+        if table is None:
+            return None
+        forms, lemmas = (table.column(name).combine_chunks() for name in ("form", "lemma"))
+    else:
+        forms = pa.array(list(lemma_of), pa.string())
+        lemmas = pa.array([lemma_of[form] for form in lemma_of], pa.string())
     if isinstance(stop_words, DataFrame):
-        rows = _rows_if_few(stop_words.select("word").distinct(), INLINE_STOP_WORDS)
-        return None if rows is None else sorted(r.word for r in rows)
-    words = sorted(set(stop_words))
-    return words if len(words) <= INLINE_STOP_WORDS else None
+        table = _collected(stop_words.select("word").dropna().distinct())
+        if table is None:
+            return None
+        stops = table.column("word").combine_chunks()
+    else:
+        stops = pa.array(sorted(set(stop_words)), pa.string())
+    lists = WordLists(*(words.cast(pa.string()) for words in (forms, lemmas, stops)))
+    return lists if max(len(lists.forms), len(lists.stops)) <= MOST_FORMS else None
+
+
+def _cut(body: Column, lists: WordLists) -> Column:
+    """Words that may lead to a kept lemma; all words if a listed form is of another kind."""
+    listed = lists.forms_that_count()
+    plain = all(map(tokens.is_kept_word, listed))
+    return tokens.kept_words(body) if plain else tokens.word_forms(body)
 
 
 def lemmatise(
@@ -56,14 +114,37 @@ def lemmatise(
     """Replace the ``body`` column by ``lemmas``, an array in text order.
 
     ``lemma_of`` maps word forms to lemmas, as a mapping or as a table
-    ``form, lemma`` with one row per form; ``stop_words`` is a list or a
-    table ``word``. Articles without a kept lemma stay, with an empty array.
+    ``form, lemma``; a form with two lemmas is an error. ``stop_words`` is a
+    list or a table ``word``. Articles without a kept lemma stay, with an
+    empty array, and so do repeated rows.
     """
-    small_lemmas, small_stops = _small_lemmas(lemma_of), _small_stop_words(stop_words)
-    if small_lemmas is None or small_stops is None:
+    lists = word_lists(lemma_of, stop_words)
+    if lists is None:
         return lemmatise_by_join(articles, lemma_of, stop_words, body)
-    kept = tokens.kept_lemmas(F.col(body), small_lemmas, small_stops)
-    return articles.withColumn("lemmas", kept).drop(body)
+    shared = articles.sparkSession.sparkContext.broadcast(lists)
+    carried = [field for field in articles.schema.fields if field.name != body]
+    names = [field.name for field in carried]
+    schema = T.StructType([*carried, T.StructField("lemmas", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = kept_lemmas(batch.column(len(names)), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*names, "lemmas"])
+
+    words = _cut(F.col(body), lists).alias("words")
+    return articles.select(*names, words).mapInArrow(run, schema)
+
+
+def kept_lemmas(words: pa.ListArray, lists: WordLists) -> pa.ListArray:
+    """The kept lemmas of each row; every different word of the batch is looked up once."""
+    coded = words.flatten().dictionary_encode()
+    lemmas, kept = lists.resolve(coded.dictionary.cast(pa.string()))
+    codes = coded.indices.to_numpy()
+    stays = kept[codes] if len(kept) else np.zeros(0, bool)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    before = np.concatenate([[0], np.cumsum(stays)])
+    offsets = before[np.concatenate([[0], ends]).astype(np.int64)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), lemmas.take(pa.array(codes[stays])))
 
 
 def lemmatise_by_join(
@@ -79,26 +160,29 @@ def lemmatise_by_join(
     word that makes up much of all text is spread over as many tasks.
     """
     spark = articles.sparkSession
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    pairs = _lemma_pairs(lemma_of)
+    if pairs is None:
+        pairs = spark.createDataFrame(list(lemma_of.items()), "form string, lemma string")
+    else:
+        _only_lemmas(pairs)
+    if isinstance(stop_words, DataFrame):
+        stops = stop_words.select("word").dropna().distinct()
+    else:
+        stops = spark.createDataFrame([(word,) for word in set(stop_words)], "word string")
 
-    def salted(words: WordList | LemmaTable, schema: str) -> DataFrame:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        if isinstance(words, DataFrame):
-            columns = [part.split(" ")[0] for part in schema.split(", ")]
-            return words.select(columns).distinct().select("*", salts)
-        rows = list(words.items()) if isinstance(words, Mapping) else [(w,) for w in set(words)]
-        return small(spark.createDataFrame(rows, schema).select("*", salts), len(rows) * SALTS, 2)
-
+    # Rows are told apart by their place, as ids may repeat.
     carried = [c for c in articles.columns if c != body]
-    forms = articles.select(
-        *carried, F.posexplode(tokens.word_forms(F.col(body))).alias("at", "form")
-    ).withColumn("salt", F.col("at") % SALTS)
-    found = forms.join(salted(lemma_of, "form string, lemma string"), ["form", "salt"], "left")
-    lemmas = found.select(*carried, "at", "salt", F.coalesce("lemma", "form").alias("word"))
-    stops = salted(stop_words, "word string").withColumn("is_stop", F.lit(True))
-    marked = lemmas.join(stops, ["word", "salt"], "left").withColumnRenamed("word", "lemma")
-    kept = tokens.is_kept(F.col("lemma")) & F.col("is_stop").isNull()
-    in_order = F.sort_array(F.collect_list(F.when(kept, F.struct("at", "lemma"))))
-    return marked.groupBy(*carried).agg(in_order.getField("lemma").alias("lemmas"))
+    numbered = articles.select("*", F.monotonically_increasing_id().alias("_row"))
+    words = F.posexplode(tokens.word_forms(F.col(body))).alias("_at", "form")
+    forms = numbered.select(*carried, "_row", words).withColumn("salt", F.col("_at") % SALTS)
+    found = forms.join(pairs.select("form", "lemma", salts), ["form", "salt"], "left")
+    lemma = F.coalesce("lemma", "form").alias("word")
+    listed = stops.select("word", salts, F.lit(True).alias("_is_stop"))
+    marked = found.select(*carried, "_row", "_at", "salt", lemma).join(listed, ["word", "salt"], "left")
+    kept = tokens.is_kept(F.col("word")) & F.col("_is_stop").isNull()
+    in_order = F.sort_array(F.collect_list(F.when(kept, F.struct("_at", "word"))))
+    return marked.groupBy("_row", *carried).agg(in_order.getField("word").alias("lemmas")).drop("_row")
 
 
 def lemmatise_with(

@@ -28,6 +28,7 @@ from themeloom.operators.sizes import small
 from themeloom.plans import staging, themes
 from themeloom.plans.staging import staged
 from themeloom.sources import articles as sources
+from themeloom.sources import words
 from themeloom.sources.word_lists import IRREGULAR_LEMMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,9 @@ STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from")
 
 GIVEN_CLUSTERS = range(10)
 
+# Letters of a stem.
+STEM = 4
+
 # Digits that are compared where another engine sums in another order.
 DIGITS = 9
 DISTANCE_DIGITS = 6
@@ -236,6 +240,22 @@ def _lemma_lines(table: DataFrame) -> DataFrame:
     )
 
 
+def _stems(texts: DataFrame) -> DataFrame:
+    """A lemma table of the articles' own words: the first letters of each longer word."""
+    words = texts.select(F.explode(F.array_distinct(tokens.kept_words(F.col("text")))).alias("form"))
+    stem = F.substring("form", 1, STEM).alias("lemma")
+    return words.distinct().where(F.length("form") > STEM).select("form", stem)
+
+
+def kept_lemmas_stemmed(spark, folder):
+    """With a lemma table of many thousand forms, and stop words out of a file."""
+    texts = sources.spread(_articles(spark, folder).select("docid", "text"))
+    path = staging.new_path(spark, "stop-words")
+    spark.createDataFrame([(word,) for word in STOP_WORDS * 2], "value string").write.text(path)
+    stop_words = words.read_stop_words(spark, path)
+    return _lemma_lines(lemmas.lemmatise(texts, _stems(texts), stop_words))
+
+
 def kept_lemmas_joined(spark, folder):
     """The same by joins, as for long word lists."""
     texts = sources.spread(_articles(spark, folder).select("docid", "text"))
@@ -561,6 +581,7 @@ QUERIES: tuple[Query, ...] = (
     csv_publication_counts,
     plain_text,
     kept_lemmas,
+    kept_lemmas_stemmed,
     kept_lemmas_joined,
     kept_lemmas_python,
     distinct_lemmas,
