@@ -1,9 +1,11 @@
 import glob
 import os
+import subprocess
+import sys
+import tempfile
 
 import numpy as np
 import pytest
-from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -38,11 +40,11 @@ def test_clusters_are_numbered_by_size(spark, table, points, tmp_path):
     assert [labels[i] for i in range(75)] == [0] * 40 + [1] * 25 + [2] * 10
     centres = fitted.centres(spark).where("cluster = 1").orderBy("pos").collect()
     assert [r.value for r in centres] == pytest.approx(points[40:65].mean(axis=0))
-    fitted.save(str(tmp_path / "model"))
-    fitted.save(str(tmp_path / "model"))
-    loaded = clusters.load_model(str(tmp_path / "model"))
-    assert isinstance(loaded, KMeansModel)
-    assert np.allclose(loaded.clusterCenters(), fitted.model.clusterCenters())
+    fitted.save(spark, str(tmp_path / "model"))
+    fitted.save(spark, str(tmp_path / "model"))
+    loaded = clusters.load_themes(spark, str(tmp_path / "model"))
+    assert (loaded.matrix == fitted.matrix).all() and loaded.cost == fitted.cost
+    assert _labels(loaded.assign(table)) == labels
 
 
 def test_fit_repeats_whatever_the_order(table):
@@ -51,9 +53,59 @@ def test_fit_repeats_whatever_the_order(table):
     assert one == again
 
 
+def test_equal_labels_with_two_and_eight_cores(tables):
+    """A fit in two processes, with other cores and other partitions."""
+    code = (
+        "import sys; from bench import session; spark = session(sys.argv[1]);"
+        "from __spark_entry__ import queries; import hashlib;"
+        "spark.sparkContext.setCheckpointDir(sys.argv[3]);"
+        "rows = [queries()[q](spark, sys.argv[2]).collect() for q in ('kmeans_terms',)];"
+        "print('DIGEST', hashlib.sha256(repr(rows).encode()).hexdigest())"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = set()
+    for cores in ("2", "8"):
+        with tempfile.TemporaryDirectory() as folder:
+            done = subprocess.run(
+                [sys.executable, "-c", code, cores, tables, folder],
+                cwd=root, capture_output=True, text=True,
+            )
+        seen.add(done.stdout.split("DIGEST ")[1].strip())
+    assert len(seen) == 1
+
+
+def test_equal_fits_to_the_last_bit(spark, points):
+    """However the rows are cut, and with a row far larger than the others."""
+    rng = np.random.default_rng(3)
+    made = np.concatenate([points, rng.normal(size=(200, 2)) * 1e-3, [[1e6, -1e6]]])
+    rows = [(i, Vectors.dense(p)) for i, p in enumerate(made)]
+    fits = [
+        clusters.fit_themes(spark.createDataFrame(rows[::turn], ["docid", "features"]).repartition(n), k=5)
+        for turn, n in ((1, 1), (-1, 7), (1, 70))
+    ]
+    assert all((f.matrix == fits[0].matrix).all() and f.cost == fits[0].cost for f in fits)
+    far = ((made[:, None, :] - fits[0].matrix[None]) ** 2).sum(axis=2)
+    assert fits[0].cost == pytest.approx(far.min(axis=1).sum(), rel=1e-3)
+
+
+def test_fewer_different_rows_than_clusters(spark):
+    rows = [(i, Vectors.sparse(3, [i % 2], [1.0])) for i in range(10)] + [(10, Vectors.sparse(3, [], []))]
+    fitted = clusters.fit_themes(spark.createDataFrame(rows, ["docid", "features"]), k=6)
+    assert len(fitted.matrix) <= 3 and fitted.cost == pytest.approx(0.0, abs=1e-9)
+    with pytest.raises(ValueError):
+        clusters.fit_themes(spark.createDataFrame(rows, ["docid", "features"]).limit(0))
+
+
+def test_as_good_as_another_k_means(spark, table, points):
+    from pyspark.ml.clustering import KMeans
+
+    theirs = min(KMeans(k=3, seed=s).fit(table).summary.trainingCost for s in range(3))
+    assert clusters.fit_themes(table, k=3, runs=3).cost == pytest.approx(theirs, rel=1e-3)
+
+
 def test_more_runs_are_never_worse(table):
-    one = clusters.fit_themes(table, k=6).model.summary.trainingCost
-    five = clusters.fit_themes(table, k=6, runs=5).model.summary.trainingCost
+    one = clusters.fit_themes(table, k=6).cost
+    five = clusters.fit_themes(table, k=6, runs=5).cost
     assert five <= one
 
 

@@ -4,21 +4,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from themeloom import schemas
+from themeloom import schemas, sinks
 from themeloom.functions import arrays
-from themeloom.operators import products
+from themeloom.operators import kmeans, products
 from themeloom.operators.sizes import small
+from themeloom.plans.staging import release, staged
 
 # Settings of the fit and lengths of the lists.
 CLUSTERS = 10
 MAX_ITERATIONS = 1000
-INIT_MODE = "k-means||"
 SEED = 0
 TOP_TERMS = 10
 NEAREST_ARTICLES = 10
@@ -27,36 +26,44 @@ TERMS_PER_ARTICLE = 5
 
 @dataclass(frozen=True)
 class Themes:
-    """A fitted K-means model with stable cluster numbers.
+    """Centres of a K-means fit as rows, with stable numbers, and the cost of the fit.
 
     Cluster 0 is the largest; equal sizes are ordered by smallest docid.
-    ``order[i]`` is the model's own number of cluster ``i``.
     """
 
-    model: KMeansModel
-    order: Sequence[int]
-
-    def assign(self, table: DataFrame, keep_features: bool = False) -> DataFrame:
-        """The table with ``cluster`` in place of its features."""
-        renumbered = [self.order.index(i) for i in range(len(self.order))]
-        numbers = F.array(*[F.lit(n) for n in renumbered])
-        cluster = F.element_at(numbers, F.col("model_cluster") + 1).cast("int")
-        labelled = self.model.transform(table).withColumn("cluster", cluster)
-        unneeded = () if keep_features else (self.model.getFeaturesCol(),)
-        return labelled.drop("model_cluster", *unneeded)
+    matrix: np.ndarray
+    cost: float = 0.0
+
+    def assign(
+        self, table: DataFrame, keep_features: bool = False, features: str = "features"
+    ) -> DataFrame:
+        """The table with ``cluster``, the nearest centre, in place of its features."""
+        norms = (self.matrix * self.matrix).sum(axis=1)
+        carried = [c for c in table.columns if keep_features or c != features]
+        found = products.times(
+            table, self.matrix.T, features, "_near", carried, after=lambda p: norms - 2 * p
+        )
+        cluster = F.array_position("_near", F.array_min("_near")) - 1
+        return found.select(*carried, cluster.cast("int").alias("cluster"))
 
     def centres(self, spark: SparkSession) -> DataFrame:
         """``cluster, pos, value``, clusters times columns rows."""
-        centres = self.model.clusterCenters()
         rows = [
             (cluster, pos, float(x))
-            for cluster, own in enumerate(self.order)
-            for pos, x in enumerate(centres[own])
+            for cluster, own in enumerate(self.matrix)
+            for pos, x in enumerate(own)
         ]
         return spark.createDataFrame(rows, schemas.CENTRES)
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row per cluster, over whatever is there."""
+        rows = [(c, [float(x) for x in own], self.cost) for c, own in enumerate(self.matrix)]
+        sinks.write_table(spark.createDataFrame(rows, schemas.SAVED_THEMES), path)
+
+
+def load_themes(spark: SparkSession, path: str) -> Themes:
+    rows = spark.read.schema(schemas.SAVED_THEMES).parquet(path).orderBy("cluster").collect()
+    return Themes(np.array([row.centre for row in rows]), rows[0].cost)
 
 
 def fit_themes(
@@ -70,43 +77,28 @@ def fit_themes(
 ) -> Themes:
     """K-means on an ML vector column of a table keyed by docid.
 
-    Spark has ignored its own ``runs`` setting since 2.0, so one run is the
-    default; with more, the cheapest of several seeds is kept. The rows are
-    put in a fixed order, in at least one partition per core, so that a fit
-    repeats. Give a table as it was read, as its partitions are counted.
+    One run is the default; with more, the cheapest of several seeds is kept.
+    The rows are written out once and read by every pass. Equal rows give
+    equal themes, in whatever order and number of partitions they come.
     """
-    spark = table.sparkSession
     rows = table.select("docid", features)
     if normalise:
         rows = unit_length(rows, features)
-    partitions = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    rows = rows.repartition(partitions, "docid").sortWithinPartitions("docid").persist()
-    try:
-        best = None
-        for run_seed in range(seed, seed + runs):
-            fitted = KMeans(
-                k=k,
-                maxIter=max_iterations,
-                seed=run_seed,
-                initMode=INIT_MODE,
-                featuresCol=features,
-                predictionCol="model_cluster",
-            ).fit(rows)
-            cost = fitted.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, fitted)
-        model = best[1]
-        sizes = (
-            model.transform(rows)
-            .groupBy("model_cluster")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("docid").alias("first"))
-            .collect()
-        )
-    finally:
-        rows.unpersist()
-    seen = [r.model_cluster for r in sorted(sizes, key=lambda r: (-r.n, r.first))]
-    unseen = [i for i in range(len(model.clusterCenters())) if i not in seen]
-    return Themes(model, seen + unseen)
+    rows = staged(rows, "rows-to-cluster")
+    prepared = kmeans.rows_of(rows, features)
+    fits = [kmeans.fit(prepared, k, max_iterations, s) for s in range(seed, seed + runs)]
+    centres, cost = min(fits, key=lambda fit: fit[1])
+    sizes = (
+        Themes(centres)
+        .assign(rows, features=features)
+        .groupBy("cluster")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("docid").alias("first"))
+        .collect()
+    )
+    release(rows)
+    seen = [r.cluster for r in sorted(sizes, key=lambda r: (-r.n, r.first))]
+    unseen = [i for i in range(len(centres)) if i not in seen]
+    return Themes(centres[seen + unseen], cost)
 
 
 def unit_length(table: DataFrame, features: str) -> DataFrame:
@@ -114,10 +106,6 @@ def unit_length(table: DataFrame, features: str) -> DataFrame:
     return scaled.drop(features).withColumnRenamed("unit", features)
 
 
-def load_model(path: str) -> KMeansModel:
-    return KMeansModel.load(path)
-
-
 def mean_centres(table: DataFrame, labels: DataFrame, numbered: Column) -> DataFrame:
     """Centres of given labels: ``cluster, pos, value``.
 

@@ -502,7 +502,7 @@ def kmeans_doc_vectors(spark, folder):
 def theme_nearest_terms(spark, folder):
     terms, vecs, _, fitted = _vector_themes(spark, folder)
     near = themes.nearest_of(fitted, vecs)
-    most = len(fitted.order) * clusters.NEAREST_ARTICLES
+    most = len(fitted.matrix) * clusters.NEAREST_ARTICLES
     best = clusters.terms_of_articles(
         terms.weighted(), near, terms.table, most, digits=DIGITS
     )

@@ -156,7 +156,7 @@ def _way(
 def nearest_of(themes: clusters.Themes, vecs: DataFrame, n: int = clusters.NEAREST_ARTICLES):
     """Articles nearest to each centre of a fitted model."""
     centres = themes.centres(vecs.sparkSession)
-    distances = clusters.squared_distances(vecs, centres, range(len(themes.order)))
+    distances = clusters.squared_distances(vecs, centres, range(len(themes.matrix)))
     return clusters.nearest_articles(distances, n)
 
 

@@ -35,3 +35,11 @@ CENTRES = T.StructType(
         T.StructField("value", T.DoubleType(), False),
     ]
 )
+
+SAVED_THEMES = T.StructType(
+    [
+        T.StructField("cluster", T.IntegerType(), False),
+        T.StructField("centre", T.ArrayType(T.DoubleType()), False),
+        T.StructField("cost", T.DoubleType(), False),
+    ]
+)
