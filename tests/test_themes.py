@@ -241,6 +241,38 @@ def test_staged_tables_go_to_the_shared_folder(spark, table):
     assert staging.shared_folder(spark).rstrip("/") in copy.inputFiles()[0]
 
 
+class _Session:
+    """As much of a session as the choice of a folder asks for."""
+
+    def __init__(self, master, warehouse, default="file:///"):
+        self.master, self.conf, self.sparkContext, self._jsc = master, self, self, self
+        self.settings = {"spark.sql.warehouse.dir": warehouse, "fs.defaultFS": default}
+
+    def get(self, name, *default):
+        return self.settings.get(name, *default)
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return None
+
+    def hadoopConfiguration(self):
+        return self
+
+
+def test_a_folder_of_the_driver_alone_is_refused():
+    for place in ("file:/home/a/spark-warehouse", "/home/a/spark-warehouse"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            staging.shared_folder(_Session("spark://host:7077", place))
+        with pytest.raises(ValueError):
+            staging.shared_folder(_Session("local-cluster[2,1,1024]", place))
+        assert staging.shared_folder(_Session("local[8]", place)) == place
+    shared = _Session("yarn", "/user/hive/warehouse", "hdfs://names")
+    assert staging.shared_folder(shared) == "/user/hive/warehouse"
+    assert staging.shared_folder(_Session("yarn", "s3a://bucket/w/")) == "s3a://bucket/w"
+
+
 def test_both_ways_end_to_end(spark, tables, tmp_path):
     from themeloom.plans.catalogue import LEMMAS, STOP_WORDS, _articles, _word_vectors
 

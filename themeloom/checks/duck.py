@@ -188,6 +188,48 @@ ORACLE = {
         SELECT docid, date, title AS body FROM articles""",
     "csv_publication_counts": f"""WITH {_ARTICLES}
         SELECT publication, count(*) AS n FROM articles WHERE year = 2016 GROUP BY publication""",
+    "xml_nested_fields": f"""WITH {_ARTICLES}
+        SELECT docid, date, title || ' ' || text AS body FROM articles""",
+    "xml_corrupt_records": """SELECT doc_id AS docid, doc_id % 7 = 0 AS is_corrupt,
+        CAST(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE length(text) END AS INTEGER) AS n_text FROM documents""",
+    "csv_typed_articles": f"WITH {_ARTICLES} SELECT docid, publication, date, n_chars FROM articles",
+    "describe_all_columns": f"WITH {_ARTICLES}, texts AS (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM articles) "
+    + " UNION ALL ".join(
+        _text_row(c).replace("FROM articles", "FROM texts")
+        for c in ("docid", "publication", "title", "text", "n_chars", "date", "year", "month")
+    ),
+    "article_schema": """SELECT * FROM (VALUES ('docid', 'bigint'), ('publication', 'string'),
+        ('title', 'string'), ('text', 'string'), ('n_chars', 'bigint'), ('date', 'date'), ('year', 'int'),
+        ('month', 'int')) AS t(col_name, data_type)""",
+    "article_bodies": f"WITH {_ARTICLES} SELECT docid, text AS body FROM articles",
+    "saved_word_vectors": f"""WITH {_EMBEDDED}
+        SELECT 'w' || vec_id AS word, pos, {_round('x', 6, 'value')} FROM long""",
+    "vector_lines": f"""WITH {_vectors()}
+        SELECT CAST(count(*) AS INTEGER) AS n, {_round('sum(value)', 6, 'total')} FROM vecs GROUP BY docid""",
+    "label_lines": "SELECT CAST(doc_id % 10 AS VARCHAR) AS value FROM documents",
+    "svd_certificate": f"""WITH {_WEIGHTS}
+        SELECT (SELECT count(*) FROM documents) AS n, {_round('sum(weight * weight)', 6, 'squares')},
+               true AS kept_is_squared_values, true AS no_row_grows, true AS vectors_are_eigenvectors,
+               true AS vectors_are_orthonormal FROM weights""",
+    "pca_certificate": f"""WITH {_vectors()},
+        spread AS (SELECT pos, stddev_samp(value) AS s FROM vecs GROUP BY pos)
+        SELECT (SELECT count(*) FROM documents) AS n,
+               round(CAST(count(*) FILTER (WHERE s > 0) AS DOUBLE), 5) AS variance, true AS uncorrelated,
+               true AS explain_their_shares, true AS largest_first FROM spread""",
+    "kmeans_terms_certificate": f"""WITH {_WEIGHTS},
+        by_term AS (
+          SELECT sum(weight * weight) - sum(weight) * sum(weight) / (SELECT count(*) FROM documents) AS s
+          FROM weights GROUP BY term_id
+        )
+        SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM documents) AS n_at_nearest,
+               true AS centres_are_means, {_round('sum(s)', 4, 'all_squares')}, true AS cost_is_within
+        FROM by_term""",
+    "kmeans_vectors_certificate": f"""WITH {_vectors()},
+        by_position AS (SELECT var_pop(value) * count(*) AS s FROM vecs GROUP BY pos)
+        SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM documents) AS n_at_nearest,
+               true AS centres_are_means, {_round('sum(s)', 4, 'all_squares')}, true AS cost_is_within
+        FROM by_position""",
+    "saved_themes": "SELECT doc_id AS docid, true AS same FROM documents",
     "plain_text": r"""SELECT doc_id AS docid,
         array_to_string(regexp_split_to_array(lower(text), '\W+'), ' ') AS plain FROM documents""",
     "kept_lemmas": _LEMMA_LINES,

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The part of a date field that is read, and how.
-DATE = r"^(\d{1,4}-\d{1,2}-\d{1,2})"
+DATE = r"^(\d{1,4}-\d{1,2}-\d{1,2})(?!\d)"
 DATE_PATTERN = "y-M-d"
 
 
@@ -30,7 +30,7 @@ def date_field(name: str, strict: bool = False) -> Column:
     """Timestamp at midnight of a date field; an empty one is null.
 
     Months and days may have one digit; a time of day behind the date is
-    dropped. An unreadable date is null, or stops the job if ``strict``.
+    dropped, but not a further digit. An unreadable date is null, or stops the job if ``strict``.
     """
     text = F.trim(string_field(name))
     day = F.try_to_timestamp(F.regexp_extract(text, DATE, 1), F.lit(DATE_PATTERN))

@@ -7,9 +7,11 @@ negative zero into zero.
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom import sinks
 from themeloom.functions import arrays, fields, tokens
@@ -18,6 +20,7 @@ from themeloom.operators import (
     compare,
     docvectors,
     explore,
+    kmeans,
     lemmas,
     matrix,
     records,
@@ -153,6 +156,21 @@ def describe_text_columns(spark, folder):
     )
 
 
+def describe_all_columns(spark, folder):
+    """Every column as text, as a table without types would be described."""
+    table = _articles(spark, folder)
+    texts = table.select(*[F.col(c).cast("string") for c in table.columns])
+    return explore.describe_columns(texts, texts.columns, numeric=False)
+
+
+def article_schema(spark, folder):
+    return explore.schema_table(_articles(spark, folder))
+
+
+def article_bodies(spark, folder):
+    return records.without_date(_dated(records.article_records(_raw_records(spark, folder))))
+
+
 def article_preview(spark, folder):
     return explore.preview(_articles(spark, folder))
 
@@ -210,10 +228,55 @@ def xml_articles(spark, folder):
 
 
 def xml_titles_any_depth(spark, folder):
-    raw = sources.read_xml(spark, _as_xml(spark, folder), inner_markup=True)
+    raw = sources.read_xml(spark, _as_xml(spark, folder))
     return _dated(records.titles(raw))
 
 
+def _as_nested_xml(spark: SparkSession, folder: str, broken: Column) -> str:
+    """Titles deep inside and with markup; records that are ``broken`` lack an end tag."""
+    table = sources.spread(_raw_records(spark, folder))
+    head = F.concat(
+        F.lit("<head>"), _escaped("docid"), F.lit("<when>"), _escaped("date"), F.lit("</when>"),
+        F.replace(_escaped("title"), F.lit("</title>"), F.lit("<b/></title>")), F.lit("</head>"),
+    )
+    body = F.concat(F.lit("<body><part>"), _escaped("text"), F.lit("</part></body>"))
+    lines = F.concat(
+        F.lit("<document>"), F.when(broken, F.lit("<open>")).otherwise(""), head, body,
+        F.lit("</document>"),
+    )
+    path = staging.new_path(spark, "nested-xml")
+    table.select(lines.alias("value")).write.text(path)
+    return path
+
+
+def xml_nested_fields(spark, folder):
+    raw = sources.read_xml(spark, _as_nested_xml(spark, folder, F.lit(False)))
+    return raw.select(
+        F.col("docid").cast("long").alias("docid"), fields.date_field("date").cast("date").alias("date"),
+        fields.title_and_text().alias("body"),
+    )
+
+
+def xml_corrupt_records(spark, folder):
+    """Every seventh record is broken: kept as it stands, beside those that are whole."""
+    path = _as_nested_xml(spark, folder, F.col("docid").cast("long") % 7 == 0)
+    raw = sources.read_xml(spark, path, mode="PERMISSIVE")
+    in_record = F.regexp_extract(sources.CORRUPT, "<docid>([0-9]+)</docid>", 1)
+    bad = F.col(sources.CORRUPT).isNotNull()
+    return raw.select(
+        F.when(bad, in_record).otherwise(F.col("docid")).cast("long").alias("docid"),
+        bad.alias("is_corrupt"), F.coalesce(F.length("text"), F.lit(0)).alias("n_text"),
+    )
+
+
+def csv_typed_articles(spark, folder):
+    """Written as CSV and read again under a declared schema."""
+    path = staging.new_path(spark, "typed-csv")
+    table = _articles(spark, folder).select("docid", "publication", "date", "n_chars")
+    table.write.csv(path, header=True, sep=sources.CSV_SEPARATOR)
+    return sources.read_csv(spark, path, schema=table.schema)
+
+
 def csv_publication_counts(spark, folder):
     path = staging.new_path(spark, "articles-csv")
     table = _articles(spark, folder).select("docid", "publication", "title", "year", "month")
@@ -458,6 +521,209 @@ def labelled_lines(spark, folder):
     return spark.read.text(path)
 
 
+def _saved_word_vectors(spark: SparkSession, folder: str) -> str:
+    """The embeddings as a word-vector model keeps them: float vectors below ``data``."""
+    path = staging.new_path(spark, "word-vectors")
+    table = _table(spark, folder, "embeddings")
+    word = F.concat(F.lit("w"), F.col("vec_id")).alias("word")
+    table.select(word, F.col("embedding").alias("vector")).write.parquet(path + "/data")
+    return path
+
+
+def saved_word_vectors(spark, folder):
+    vectors = words.read_word_vectors(spark, _saved_word_vectors(spark, folder))
+    rows = vectors.select("word", F.posexplode("vector").alias("pos", "value"))
+    return rows.select("word", "pos", _rounded("value", 6).alias("value"))
+
+
+def vector_lines(spark, folder):
+    """Article vectors as lines, read back as numbers."""
+    path = staging.new_path(spark, "vector-lines")
+    vecs = _vectors(spark, folder, _terms(spark, folder))
+    for _ in range(2):  # the second replaces the first
+        sinks.write_vectors(vecs, "vec", path)
+    numbers = F.split("value", sinks.SEPARATOR).cast("array<double>")
+    return spark.read.text(path).select(
+        F.size(numbers).alias("n"),
+        _rounded(F.aggregate(numbers, F.lit(0.0), lambda total, x: total + x), 6).alias("total"),
+    )
+
+
+def label_lines(spark, folder):
+    path = staging.new_path(spark, "label-lines")
+    sinks.write_labels(_given_labels(_articles(spark, folder)), path)
+    return spark.read.text(path)
+
+
+# Certificates of fitted steps: what must hold of a right result, in figures that SQL can state.
+
+
+def _holds(condition: Column, name: str) -> Column:
+    return F.coalesce(condition, F.lit(False)).alias(name)
+
+
+def _beside(*tables: DataFrame) -> DataFrame:
+    """Tables of one row, such as totals, side by side."""
+    fields_of = [field for table in tables for field in table.schema.fields]
+    row = tuple(value for table in tables for value in table.first())
+    return tables[0].sparkSession.createDataFrame([row], T.StructType(fields_of))
+
+
+def svd_certificate(spark, folder):
+    """What the projection keeps and what it leaves add up to all squares; ``A'A v = s2 v``."""
+    terms = _terms(spark, folder, stage=True)
+    weighted = terms.weighted()
+    svd, projection = themes.lsa_projection(terms)
+    k = len(svd.values)
+    squares = F.aggregate(
+        arrays.entries(F.col("features")), F.lit(0.0),
+        lambda total, e: total + e.getField("value") * e.getField("value"),
+    )
+    entry = F.explode_outer(arrays.entries(F.col("features"))).alias("entry")
+    rows = weighted.select("docid", "features").join(projection, "docid")
+    rows = staged(rows.select("docid", squares.alias("squares"), "projection", "features"), "svd-rows")
+    laid_out = rows.select("projection", entry).where(F.col("entry").isNotNull())
+    turned = laid_out.groupBy("entry.term_id").agg(
+        *[F.sum(F.col("entry.value") * F.get("projection", i)).alias(f"c{i}") for i in range(k)]
+    )
+    basis = matrix.basis_table(spark, svd.basis)
+    residuals = turned.join(basis, "term_id").agg(
+        *[
+            F.max(F.abs(F.col(f"c{i}") - float(svd.values[i] ** 2) * F.get("loadings", i))).alias(f"r{i}")
+            for i in range(k)
+        ]
+    ).select(F.greatest(*[F.col(f"r{i}") for i in range(k)], F.lit(0.0)).alias("residual"))
+    kept = F.aggregate("projection", F.lit(0.0), lambda total, x: total + x * x)
+    energy = float((svd.values**2).sum())
+    figures = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("squares").alias("squares"), F.sum(kept).alias("kept"),
+        F.min(F.col("squares") - kept).alias("least_left"),
+    )
+    orthonormal = float(abs(svd.basis.T @ svd.basis - np.eye(k)).max())
+    return _beside(figures, residuals).select(
+        "n", _rounded("squares", 6).alias("squares"),
+        _holds(F.abs(F.col("kept") - energy) < 1e-9 * energy, "kept_is_squared_values"),
+        _holds(F.col("least_left") > -1e-9, "no_row_grows"),
+        _holds(F.col("residual") < 1e-9 * energy, "vectors_are_eigenvectors"),
+        F.lit(orthonormal < 1e-9).alias("vectors_are_orthonormal"),
+    )
+
+
+def pca_certificate(spark, folder):
+    """Components of standardised vectors are uncorrelated and explain their shares."""
+    vecs = staged(_vectors(spark, folder, _terms(spark, folder)), "article-vectors")
+    components, projection = themes.pca_projection(vecs)
+    k = len(components.explained)
+    projection = staged(projection, "pca-rows")
+    size = vecs.select(F.size("vec").alias("n")).first().n
+    total = reduce.standardise(vecs).select(vector_to_array("features").alias("z")).select(
+        F.explode("z").alias("x")
+    ).agg(F.sum(F.col("x") * F.col("x")).alias("all_squares"), (F.count("x") / size).alias("n"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    moments = projection.agg(
+        *[F.covar_samp(F.get("projection", i), F.get("projection", j)).alias(f"v{i}_{j}") for i, j in pairs]
+    )
+    crossed = F.greatest(*[F.abs(F.col(f"v{i}_{j}")) for i, j in pairs if i != j])
+    gaps = [
+        F.abs(F.col(f"v{i}_{i}") / (F.col("all_squares") / (F.col("n") - 1)) - float(share))
+        for i, share in enumerate(components.explained)
+    ]
+    falls = [F.col(f"v{i}_{i}") >= F.col(f"v{i + 1}_{i + 1}") - 1e-9 for i in range(k - 1)]
+    in_order = falls[0]
+    for fall in falls[1:]:
+        in_order = in_order & fall
+    return _beside(total, moments).select(
+        F.col("n").cast("long").alias("n"), _rounded(F.col("all_squares") / (F.col("n") - 1), 5).alias("variance"),
+        _holds(crossed < 1e-8, "uncorrelated"), _holds(F.greatest(*gaps) < 1e-9, "explain_their_shares"),
+        _holds(in_order, "largest_first"),
+    )
+
+
+def _kmeans_certificate(spark: SparkSession, folder: str, way: str) -> DataFrame:
+    """Labels are nearest centres, centres are means, and squares add up.
+
+    The squared distances to the own centre, and those of the centres to the
+    mean of all, weighted by their sizes, are together those of all rows to
+    the mean.
+    """
+    terms = _terms(spark, folder, stage=True)
+    if way == "terms":
+        features = terms.weighted().select("docid", "features")
+        width = len(terms.vocabulary.terms)
+    else:
+        vecs = staged(_vectors(spark, folder, terms), "article-vectors")
+        features = vecs.select("docid", matrix.as_features("vec").alias("features"))
+        width = vecs.select(F.size("vec").alias("n")).first().n
+    fitted = clusters.fit_themes(features)
+    labels = staged(fitted.assign(features), "labels")
+    entries = staged(
+        features.select("docid", F.explode_outer(arrays.entries(F.col("features"))).alias("entry"))
+        .where(F.col("entry").isNotNull()).select("docid", F.col("entry.term_id").alias("pos"), "entry.value"),
+        "entries",
+    )
+    centres = fitted.centres(spark)
+    lengths = centres.groupBy("cluster").agg(F.sum(F.col("value") * F.col("value")).alias("length"))
+    squares = entries.groupBy("docid").agg(F.sum(F.col("value") * F.col("value")).alias("squares"))
+    dots = entries.join(small(centres.withColumnRenamed("value", "c"), width * clusters.CLUSTERS, 3), "pos")
+    dots = dots.groupBy("docid", "cluster").agg(F.sum(F.col("value") * F.col("c")).alias("dot"))
+    given = F.explode(F.array(*[F.lit(c) for c in range(len(fitted.matrix))])).alias("cluster")
+    every = labels.select("docid", F.col("cluster").alias("own"), given)
+    every = every.join(small(lengths, clusters.CLUSTERS), "cluster")
+    far = every.join(dots, ["docid", "cluster"], "left").join(squares, "docid", "left").select(
+        "docid", "own", "cluster",
+        (F.coalesce("squares", F.lit(0.0)) - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("length")).alias("d"),
+    )
+    rows = far.groupBy("docid", "own").agg(
+        F.min("d").alias("least"), F.max(F.when(F.col("cluster") == F.col("own"), F.col("d"))).alias("d")
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("d").alias("within"),
+        F.count(F.when(F.col("d") <= F.col("least") + 1e-9, 1)).alias("n_at_nearest"),
+    )
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    means = entries.join(labels.select("docid", "cluster"), "docid").groupBy("cluster", "pos").agg(
+        F.sum("value").alias("total")
+    )
+    held = centres.join(sizes, "cluster").join(means, ["cluster", "pos"], "left").select(
+        "pos", "size", "value", (F.coalesce("total", F.lit(0.0)) / F.col("size")).alias("mean")
+    )
+    overall = held.groupBy("pos").agg(
+        (F.sum(F.col("size") * F.col("mean")) / F.sum("size")).alias("centre"),
+        F.sum(F.col("size") * F.col("mean") * F.col("mean")).alias("squares"),
+        F.sum("size").alias("size"), F.max(F.abs(F.col("value") - F.col("mean"))).alias("gap"),
+    ).agg(
+        F.sum(F.col("squares") - F.col("size") * F.col("centre") * F.col("centre")).alias("between"),
+        F.max("gap").alias("gap"),
+    )
+    return _beside(rows, overall).select(
+        "n", "n_at_nearest",
+        # A fit ends when centres move less than the tolerance.
+        _holds(F.col("gap") < kmeans.TOLERANCE, "centres_are_means"),
+        _rounded(F.col("within") + F.col("between"), 4).alias("all_squares"),
+        _holds(F.abs(F.col("within") - fitted.cost) < 1e-6 * F.col("within"), "cost_is_within"),
+    )
+
+
+def kmeans_terms_certificate(spark, folder):
+    return _kmeans_certificate(spark, folder, "terms")
+
+
+def kmeans_vectors_certificate(spark, folder):
+    return _kmeans_certificate(spark, folder, "vectors")
+
+
+def saved_themes(spark, folder):
+    """Themes that were saved and loaded again label every article as before."""
+    weighted = _terms(spark, folder, stage=True).weighted()
+    fitted = clusters.fit_themes(weighted)
+    path = staging.new_path(spark, "themes")
+    fitted.save(spark, path)
+    again = clusters.load_themes(spark, path)
+    both = fitted.assign(weighted).join(
+        again.assign(weighted).select("docid", F.col("cluster").alias("again")), "docid"
+    )
+    return both.select("docid", (F.col("cluster") == F.col("again")).alias("same"))
+
+
 # Fitted steps.
 
 
@@ -571,6 +837,9 @@ QUERIES: tuple[Query, ...] = (
     describe_articles,
     describe_text_columns,
     article_preview,
+    describe_all_columns,
+    article_schema,
+    article_bodies,
     article_records,
     article_titles,
     article_summaries,
@@ -578,6 +847,9 @@ QUERIES: tuple[Query, ...] = (
     has_letters,
     xml_articles,
     xml_titles_any_depth,
+    xml_nested_fields,
+    xml_corrupt_records,
+    csv_typed_articles,
     csv_publication_counts,
     plain_text,
     kept_lemmas,
@@ -612,6 +884,14 @@ QUERIES: tuple[Query, ...] = (
     compare_agreement,
     term_index_lines,
     labelled_lines,
+    saved_word_vectors,
+    vector_lines,
+    label_lines,
+    svd_certificate,
+    pca_certificate,
+    kmeans_terms_certificate,
+    kmeans_vectors_certificate,
+    saved_themes,
     lsa_singular_values,
     lsa_projection,
     pca_projection,

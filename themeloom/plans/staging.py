@@ -1,5 +1,6 @@
 """Intermediate tables in the shared folder of the cluster."""
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,29 @@ WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for checkpoints, else its warehouse.
 
-    Both are shared by all executors of a cluster. Nothing is ever put in a
-    temporary folder of one machine.
+    Both are shared by all executors of a cluster. A warehouse on the driver's
+    own disk is not, and is refused unless the executors are on that machine
+    too. Nothing is ever put in a temporary folder of one machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get(FOLDER_SETTING, None) or context.getConf().get(FOLDER_SETTING)
-    folder = folder or context.getCheckpointDir() or spark.conf.get(WAREHOUSE_SETTING)
+    folder = folder or context.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get(WAREHOUSE_SETTING)
+        on_one_disk = folder.startswith(("file:", "/")) and not _default_is_shared(spark, folder)
+        if on_one_disk and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {FOLDER_SETTING} to a folder that all executors share")
     return folder.rstrip("/")
 
 
+def _default_is_shared(spark: SparkSession, folder: str) -> bool:
+    """Whether a path without a scheme lies in a file system of the cluster."""
+    if folder.startswith("file:"):
+        return False
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return not conf.get("fs.defaultFS", "file:///").startswith("file:")
+
+
 def run_folder(spark: SparkSession) -> str:
     """The folder of all tables that this application stages."""
     return f"{shared_folder(spark)}/themeloom/{spark.sparkContext.applicationId}"

@@ -1,4 +1,12 @@
-"""Text and parquet outputs. Every writer replaces what is there."""
+"""Text and parquet outputs.
+
+Every writer replaces what is there, but only once the new output is whole: it
+is written beside the old one, which stays if the job fails, and then takes
+its place.
+"""
+
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -6,8 +14,30 @@ from pyspark.sql import functions as F
 SEPARATOR = ","
 
 
+def replace(table: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Write beside ``path`` and swap; ``write(table, folder)`` writes to a new folder."""
+    spark, place, mark = table.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old, here = (hadoop(name) for name in (f"{place}.new-{mark}", f"{place}.old-{mark}", place))
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(table, f"{place}.new-{mark}")
+    except BaseException:
+        files.delete(new, True)
+        raise
+    was_there = files.exists(here)
+    if was_there and not files.rename(here, old):
+        raise OSError(f"cannot move the old output of {path}")
+    if not files.rename(new, here):
+        if was_there:
+            files.rename(old, here)
+        raise OSError(f"cannot put the new output at {path}")
+    if was_there:
+        files.delete(old, True)
+
+
 def _lines(table: DataFrame, line: Column, path: str) -> None:
-    table.select(line.alias("value")).write.mode("overwrite").text(path)
+    replace(table.select(line.alias("value")), path, lambda lines, to: lines.write.text(to))
 
 
 def number_line(vector: str) -> Column:
@@ -43,4 +73,4 @@ def write_labelled(labelled: DataFrame, path: str) -> None:
 
 def write_table(table: DataFrame, path: str) -> None:
     """Parquet, with the docid that the text outputs lack."""
-    table.write.mode("overwrite").parquet(path)
+    replace(table, path, lambda rows, to: rows.write.parquet(to))

@@ -1,7 +1,12 @@
 """Articles from XML, CSV and parquet."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeloom import schemas
 
@@ -9,42 +14,120 @@ from themeloom import schemas
 ROW_TAG = "document"
 CSV_SEPARATOR = ";"
 
+# The column that holds a record or line which could not be read.
+CORRUPT = "corrupt_record"
+
+
+def _fields_of(record: str, names: list[str]) -> dict[str, str] | None:
+    """Text of the named elements at any depth, None if the record is no XML.
+
+    A field that occurs several times gives the texts one after another, also
+    where one stands inside another; one that does not occur is null.
+    """
+    try:
+        tree = ElementTree.fromstring(record)
+    except ElementTree.ParseError:
+        return None
+    found: dict[str, str] = {}
+    for element in tree.iter():
+        name = element.tag.rpartition("}")[2]
+        if name in names:
+            found[name] = found.get(name, "") + "".join(element.itertext())
+    return found
 
-def read_xml(
-    spark: SparkSession, path: str, row_tag: str = ROW_TAG, inner_markup: bool = False
-) -> DataFrame:
-    """One row per article element, fields as text.
+
+def xml_records(spark: SparkSession, path: str, row_tag: str = ROW_TAG) -> DataFrame:
+    """``record``: the text of each article element.
 
     The file is cut at the end tags by the text source, which splits a large
-    file over many tasks; the XML source reads each file in one. A record is
-    then parsed once and gives its direct children, markup inside them
-    included. With ``inner_markup`` a field is found at any depth and only
-    the text inside its markup is kept; that parses the record per field.
+    file over many tasks; the XML source reads each file in one.
     """
     start, end = f"<{row_tag}>", f"</{row_tag}>"
     pieces = spark.read.option("lineSep", end).text(path).where(F.col("value").contains(start))
     # From the first start tag on: one inside the text is part of it.
     inside = F.expr(f"substring(value, locate('{start}', value) + {len(start)})")
-    records = pieces.select(F.concat(F.lit(start), inside, F.lit(end)).alias("record"))
-    if inner_markup:
-        texts = {
-            name: F.array_join(F.xpath("record", F.lit(f"//{name}//text()")), "")
-            for name in schemas.DECLARED_ARTICLE.names
-        }
-        return records.select(*[text.alias(name) for name, text in texts.items()])
-    options = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
-    parsed = F.from_xml("record", schemas.DECLARED_ARTICLE.simpleString(), options)
-    return records.select(parsed.alias("article")).select("article.*")
+    return pieces.select(F.concat(F.lit(start), inside, F.lit(end)).alias("record"))
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = CSV_SEPARATOR) -> DataFrame:
-    """CSV with a header; every column is text, as nothing is inferred."""
-    return spark.read.csv(path, header=True, sep=separator)
+def read_xml(
+    spark: SparkSession,
+    path: str,
+    row_tag: str = ROW_TAG,
+    mode: str = "FAILFAST",
+    schema: T.StructType = schemas.DECLARED_ARTICLE,
+    counted: Observation | None = None,
+) -> DataFrame:
+    """One row per article element, with the text of each field of ``schema``.
+
+    A record is parsed once, which gives all fields: elements of that name at
+    any depth, without the markup inside them. A record that is no XML stops
+    the job in mode ``FAILFAST``; ``DROPMALFORMED`` leaves it out, and
+    ``PERMISSIVE`` gives null fields and the record itself in a further
+    column, ``corrupt_record``. ``counted`` gets ``n_records`` and
+    ``n_corrupt`` in the same pass, whatever the mode.
+    """
+    if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
+        raise ValueError(f"no such mode: {mode}")
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = batch.column(0).to_pylist()
+            parsed = [_fields_of(record, names) for record in records]
+            columns = [[own.get(name) if own else None for own in parsed] for name in names]
+            columns.append([None if own is not None else r for own, r in zip(parsed, records)])
+            arrays = [pa.array(column, pa.string()) for column in columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, CORRUPT])
+
+    texts = [T.StructField(name, T.StringType()) for name in [*names, CORRUPT]]
+    table = xml_records(spark, path, row_tag).mapInArrow(run, T.StructType(texts))
+    bad = F.col(CORRUPT).isNotNull()
+    if counted is not None:
+        table = table.observe(
+            counted,
+            F.count(F.lit(1)).alias("n_records"),
+            F.count(F.when(bad, 1)).alias("n_corrupt"),
+        )
+    if mode == "PERMISSIVE":
+        return table
+    if mode == "DROPMALFORMED":
+        return table.where(~bad).drop(CORRUPT)
+    complaint = F.concat(F.lit("a record is no XML: "), F.substring(CORRUPT, 1, 200))
+    checked = [
+        F.when(bad, F.raise_error(complaint).cast("string")).otherwise(F.col(name)).alias(name)
+        for name in names
+    ]
+    return table.select(*checked)
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    separator: str = CSV_SEPARATOR,
+    schema: T.StructType | None = None,
+    mode: str = "FAILFAST",
+) -> DataFrame:
+    """CSV with a header. Without a schema every column is text; nothing is inferred.
+
+    With one, the header must name its columns, and values must be of its
+    types; a line that fails is treated by ``mode`` as Spark does, and in mode
+    ``PERMISSIVE`` it is kept in ``corrupt_record``.
+    """
+    if schema is None:
+        return spark.read.csv(path, header=True, sep=separator)
+    options = {"header": True, "sep": separator, "enforceSchema": False, "mode": mode}
+    if mode == "PERMISSIVE":
+        options["columnNameOfCorruptRecord"] = CORRUPT
+        if CORRUPT not in schema.names:
+            schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+            # The header has no such column, so names cannot be checked against it.
+            options["enforceSchema"] = True
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def with_numbers(table: DataFrame, *columns: str) -> DataFrame:
-    """The named text columns as whole numbers; unreadable values are null."""
-    return table.withColumns({c: F.trim(F.col(c)).try_cast("int") for c in columns})
+    """The named text columns as 64-bit whole numbers; unreadable values are null."""
+    return table.withColumns({c: F.trim(F.col(c)).try_cast("bigint") for c in columns})
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
