@@ -8,8 +8,8 @@ until the cells hold enough entries; those are ranked again by the inner
 product of the original vectors.
 
 - Only the centroids are fitted on a sample: ``SAMPLE`` vectors with the
-  smallest hash. Every vector is indexed. The number of centroids grows with
-  the root of the number of entries, so cells keep their size.
+  smallest hash. Every vector is indexed. The number of centroids grows slowly
+  with the number of entries.
 - Equal vectors are one entry with the smallest of their ids, as many as a
   query can return; the rest of the ids cannot be among the nearest, as ties
   go to smaller ids. A vector that fills the table is thus one entry.
@@ -19,8 +19,9 @@ product of the original vectors.
   rounds of ``FAN_IN`` blocks.
 
 How many entries a query must rank depends on the vectors. Vectors spread
-evenly over the sphere have no near cells: to find nine in ten of the nearest,
-``SHARE`` of all entries are ranked. Pass a lower share where vectors gather.
+evenly over the sphere have no near cells: to find 19 in 20 of the nearest,
+half of some 50,000 entries are ranked, and a falling share of more
+(``share_for``). Pass a lower share where vectors gather.
 
 Defined results: vectors that are null, zero, hold null or a value that is not
 finite, or have another length than most, take no part; neither do null ids.
@@ -44,16 +45,32 @@ SAMPLE = 20_000
 ITERATIONS = 12
 SEED = 11
 
-# Entries per cell on average; the most centroids of a half; the share of the
-# entries that a query ranks, and the least number; rows of a block; blocks merged at a time.
-CELL_ENTRIES = 6
-MOST_CENTROIDS = 1024
-SHARE = 0.48
-LEAST = 2000
-BLOCK = 2048
+# Centroids of a half for one entry, and how they grow with the number of entries.
+CENTROIDS = 24
+GROWTH = 0.1
+
+# Share of the entries that a query ranks, and how it falls with their number.
+SHARE = 0.95
+FALL = 0.06
+
+# Entries or queries of a block, queries of a block ranked at once and probed by a task, and
+# blocks merged at a time.
+BLOCK = 8192
+RANKED_AT_ONCE = 256
+PROBED = 128
 FAN_IN = 64
 
 
+def centroids_for(n: int) -> int:
+    """Centroids of each half of ``n`` entries."""
+    return max(1, round(CENTROIDS * n**GROWTH))
+
+
+def share_for(n: int) -> float:
+    """Share of ``n`` entries that a query ranks."""
+    return min(1.0, SHARE * n**-FALL)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, vec array<double>`` of the rows that take part."""
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -151,22 +168,25 @@ class Index:
         """
         a, b = self.left @ vec[: self.half], self.right @ vec[self.half :]
         by_a, by_b = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        a, b = a[by_a], b[by_b]
-        a, b, sizes = a.tolist(), b.tolist(), self.sizes[by_a][:, by_b].tolist()
-        heap, held = [(-(a[0] + b[0]), 0, 0)], 0
-        ranked: list[tuple[int, int]] = []
+        # Farness from the nearest pair, which stands first.
+        a, b = (a[by_a[0]] - a[by_a]).tolist(), (b[by_b[0]] - b[by_b]).tolist()
+        sizes = self.sizes[by_a][:, by_b].ravel().tolist()
+        rows, columns = len(a), len(b)
+        heap, held, ranked = [(0.0, 0)], 0, []
+        pop, push = heapq.heappop, heapq.heappush
         while heap and held < candidates:
-            _, i, j = heapq.heappop(heap)
-            ranked.append((i, j))
-            held += sizes[i][j]
+            _, pair = pop(heap)
+            ranked.append(pair)
+            held += sizes[pair]
+            i, j = divmod(pair, columns)
             # Each pair has one parent: down a column from its top, else along a row.
-            if i + 1 < len(a) and j == 0:
-                heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
-            if j + 1 < len(b):
-                heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
+            if not j and i + 1 < rows:
+                push(heap, (a[i + 1], pair + columns))
+            if j + 1 < columns:
+                push(heap, (a[i] + b[j + 1], pair + 1))
         wanted = np.zeros(self.sizes.shape, bool)
-        rows, columns = np.array(ranked).T
-        wanted[by_a[rows], by_b[columns]] = True
+        found = np.array(ranked, np.int64)
+        wanted[by_a[found // columns], by_b[found % columns]] = True
         return wanted
 
 
@@ -175,7 +195,7 @@ def build_index(table: DataFrame, n: int) -> Index:
     rows = table.orderBy("entry").select("vec").limit(SAMPLE).collect()
     points = np.array([row.vec for row in rows], np.float64)
     half = points.shape[1] // 2
-    k = int(min(MOST_CENTROIDS, max(1, round((n / CELL_ENTRIES) ** 0.5))))
+    k = centroids_for(n)
     return Index(
         centroids(points[:, :half], k, SEED), centroids(points[:, half:], k, SEED + 1)
     )
@@ -186,21 +206,29 @@ def exact_products(query: np.ndarray, vecs: np.ndarray) -> np.ndarray:
     return np.cumsum(vecs * query, axis=1)[:, -1]
 
 
-def _best(queries: np.ndarray, vecs: np.ndarray, wanted: np.ndarray, firsts: np.ndarray, n: int):
-    """Scores and places of the best ``n`` wanted entries of each query."""
-    rough = np.where(wanted, queries @ vecs.T, -np.inf)
-    # A few more than asked for, as the last digits may differ from the exact ones.
-    most = min(n + 4, rough.shape[1])
-    places = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-    for query, own, row in zip(queries, places, rough):
-        own = own[row[own] > -np.inf]
-        scores = exact_products(query, vecs[own]) if len(own) else np.empty(0)
-        order = np.lexsort((firsts[own], -scores))[:n]
-        yield scores[order], own[order]
+def _best(
+    queries: np.ndarray, vecs: np.ndarray, bits: np.ndarray, place: np.ndarray, firsts: np.ndarray, n: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scores and places of the best ``n`` wanted entries of each query.
+
+    ``bits`` has the wanted cells of each query, ``place`` the cell of each entry.
+    """
+    for begin in range(0, len(queries), RANKED_AT_ONCE):
+        some = queries[begin : begin + RANKED_AT_ONCE]
+        cells = np.unpackbits(bits[begin : begin + RANKED_AT_ONCE], axis=1)
+        rough = np.where(cells[:, place].astype(bool), some @ vecs.T, -np.inf)
+        # A few more than asked for, as the last digits may differ from the exact ones.
+        most = min(n + 4, rough.shape[1])
+        places = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+        for query, own, row in zip(some, places, rough):
+            own = own[row[own] > -np.inf]
+            scores = exact_products(query, vecs[own]) if len(own) else np.empty(0)
+            order = np.lexsort((firsts[own], -scores))[:n]
+            yield scores[order], own[order]
 
 
 def search(
-    vectors: DataFrame, every: int = 20, nearest: int = NEAREST, share: float = SHARE
+    vectors: DataFrame, every: int = 20, nearest: int = NEAREST, share: float | None = None
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ids divisible by ``every``."""
     spark = vectors.sparkSession
@@ -211,6 +239,8 @@ def search(
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = build_index(table, n)
+    # Never fewer than can be returned.
+    candidates = max(most, (share_for(n) if share is None else share) * n)
     fitted = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +250,7 @@ def search(
 
     entry_schema = "entry long, vec array<double>, ids array<long>, cell long"
     placed = staged(table.mapInPandas(assign, entry_schema), "placed-entries")
-    # One count per cell that is not empty: at most MOST_CENTROIDS squared.
+    # One count per cell that is not empty.
     for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         index.sizes[row.cell // len(index.right), row.cell % len(index.right)] = row.n
     index.deal()
@@ -228,7 +258,9 @@ def search(
 
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
     asking = staged(asked.select(F.xxhash64("vec").alias("query"), "vec").distinct(), "queries")
-    query_blocks = -(-asking.count() // BLOCK)
+    n_queries = asking.count()
+    query_blocks = -(-n_queries // BLOCK)
+    asking = asking.repartition(-(-n_queries // PROBED) or 1, "query")
 
     def to_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,7 +272,7 @@ def search(
         plan = dealt.value
         for batch in batches:
             for query, vec in zip(batch["query"], batch.vec):
-                wanted = plan.probe(np.array(vec), max(LEAST, share * n))
+                wanted = plan.probe(np.array(vec), candidates)
                 cells = [np.packbits(wanted[own]).tobytes() for own in plan.lefts]
                 met = [b for b, own in enumerate(plan.lefts) if wanted[own].any()]
                 yield pd.DataFrame(
@@ -270,8 +302,7 @@ def search(
             cells = some.cell.to_numpy()
             place = np.searchsorted(own, cells // width) * width + cells % width
             bits = np.frombuffer(b"".join(queries.cells), np.uint8).reshape(len(queries), -1)
-            wanted = np.unpackbits(bits, axis=1)[:, place].astype(bool)
-            lists = _best(np.array(queries.vec.tolist()), vecs, wanted, firsts, most)
+            lists = _best(np.array(queries.vec.tolist()), vecs, bits, place, firsts, most)
             for query, (scores, at) in zip(queries["query"], lists):
                 found["block"].append(key[0])
                 found["query"].append(query)
