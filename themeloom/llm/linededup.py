@@ -6,8 +6,9 @@
    ``once = a | b`` and ``twice = ta | tb | (a & b)``.
 2. Only lines whose bits are all in the twice-seen filter are suspected
    repeats. They alone are shuffled, as digests, to be counted exactly.
-3. Confirmed repeats go back to the documents that hold them, and all but the
-   largest doc_id lose them.
+3. Confirmed repeats with the doc_id that keeps each go to the documents, and
+   all others lose them. Up to ``MOST_SENT`` of them (some 20 MB) are
+   broadcast, so texts stay where they are; more are joined to the documents.
 
 The broadcast twice-seen filter has ``2 ** filter_bits`` bits whatever the
 input (16 MiB by default). When it fills up, more lines are suspected and
@@ -41,6 +42,9 @@ FILTER_BITS = 27
 SEGMENT_BITS = 18
 PROBES = 3
 
+# Confirmed repeats that are sent to every executor, at most.
+MOST_SENT = 200_000
+
 # A hot line is joined in this many parts.
 SALTS = 64
 
@@ -81,6 +85,11 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(key) for key in keys], dtype=np.uint64)
 
 
+def key_mark(key: bytes) -> int:
+    """A hash that costs little, as a signed number."""
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+
+
 def _filter_parts(docs: DataFrame, min_chars: int, filter_bits: int) -> DataFrame:
     """``segment, once, twice``: the bits that one task has set, as int32 positions."""
 
@@ -176,10 +185,10 @@ def repeats(
     min_documents: int = MIN_DOCUMENTS,
     filter_bits: int = FILTER_BITS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Suspected repeats ``doc_id, digest``, and confirmed ones.
+    """Suspected repeats ``doc_id, digest, mark``, and confirmed ones.
 
-    The confirmed table is ``digest, n_documents, keeper``. Digests are
-    SHA-256, so that equal ones are equal lines.
+    The confirmed table is ``digest, n_documents, keeper, mark``. Digests are
+    SHA-256, so that equal ones are equal lines; marks are quick hashes.
     """
     spark = docs.sparkSession
     filters = spark.sparkContext.broadcast(twice_seen(docs, min_chars, filter_bits))
@@ -188,19 +197,26 @@ def repeats(
         twice = filters.value
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids, digests = [], []
+            ids, digests, marks = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for key in suspected(list(keys_of(text, min_chars)), twice, filter_bits):
                     ids.append(doc_id)
                     digests.append(hashlib.sha256(key).digest())
-            return {"doc_id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary())}
+                    marks.append(key_mark(key))
+            return {
+                "doc_id": pa.array(ids, pa.int64()),
+                "digest": pa.array(digests, pa.binary()),
+                "mark": pa.array(marks, pa.int64()),
+            }
 
         return work
 
-    schema = "doc_id long, digest binary"
+    schema = "doc_id long, digest binary, mark long"
     seen = staged(map_batches(docs.select("doc_id", "text"), schema, make), "suspected-lines")
     counted = seen.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n_documents"), F.max("doc_id").alias("keeper")
+        F.count(F.lit(1)).alias("n_documents"),
+        F.max("doc_id").alias("keeper"),
+        F.min("mark").alias("mark"),
     )
     return seen, counted.where(F.col("n_documents") >= min_documents)
 
@@ -216,6 +232,40 @@ def dedup_lines(
     ``docs`` has ``doc_id, text`` and any other columns.
     """
     seen, confirmed = repeats(docs, min_chars, min_documents, filter_bits)
+    confirmed = staged(confirmed, "confirmed-lines")
+    sent = confirmed.select("mark", "digest", "keeper").limit(MOST_SENT + 1).collect()
+    if len(sent) <= MOST_SENT:
+        keepers: dict[int, list[tuple[bytes, int | None]]] = {}
+        for row in sent:
+            keepers.setdefault(row.mark, []).append((bytes(row.digest), row.keeper))
+        return _without_sent(docs, keepers, min_chars)
+    return _without_joined(docs, seen, confirmed, min_chars)
+
+
+def _without_sent(docs: DataFrame, keepers: dict, min_chars: int) -> DataFrame:
+    """The documents without confirmed repeats, looked up where the texts are."""
+    shared = docs.sparkSession.sparkContext.broadcast(keepers)
+
+    def make():
+        known = shared.value
+
+        def loses(doc_id: int | None, key: bytes | None) -> bool:
+            found = known.get(key_mark(key)) if key else None
+            if not found:
+                return False
+            digest = hashlib.sha256(key).digest()
+            return any(digest == own and doc_id != keeper for own, keeper in found)
+
+        return loses
+
+    ids = F.col("doc_id").cast("long")
+    return _without(docs, docs.select("*", ids.alias(DROPPED)), min_chars, make)
+
+
+def _without_joined(
+    docs: DataFrame, seen: DataFrame, confirmed: DataFrame, min_chars: int
+) -> DataFrame:
+    """The same for any number of confirmed repeats: each document meets those it loses."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     copies = confirmed.select("digest", "keeper", salts)
     own_salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
@@ -230,26 +280,31 @@ def dedup_lines(
     )
     marked = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_loser"]), "left").drop("_loser")
 
+    def make():
+        def loses(gone: list[bytes] | None, key: bytes | None) -> bool:
+            return bool(gone and key) and hashlib.sha256(key).digest() in gone
+
+        return loses
+
+    return _without(docs, marked, min_chars, make)
+
+
+def _without(docs: DataFrame, marked: DataFrame, min_chars: int, make_loses) -> DataFrame:
+    """Drop the lines for which ``loses(value of DROPPED, key)`` holds."""
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     names = [f.name for f in fields]
 
     def make():
+        loses = make_loses()
+
         def work(batch: pa.RecordBatch) -> dict:
             columns = {name: batch.column(i) for i, name in enumerate(names)}
             texts, n_lines, n_dropped = [], [], []
-            losses = batch.column(len(names))
-            for text, lost in zip(columns["text"].to_pylist(), losses.to_pylist()):
+            own_of = batch.column(len(names)).to_pylist()
+            for text, own in zip(columns["text"].to_pylist(), own_of):
                 lines = lines_of(text)
-                kept = lines
-                if lost:
-                    gone = set(lost)
-                    keys = [line_key(line, min_chars) for line in lines]
-                    kept = [
-                        line
-                        for line, key in zip(lines, keys)
-                        if key is None or hashlib.sha256(key).digest() not in gone
-                    ]
+                kept = [line for line in lines if not loses(own, line_key(line, min_chars))]
                 texts.append(b"\n".join(kept).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
