@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -300,7 +301,8 @@ def test_neighbours_as_brute_force(spark, tmp_path):
     folder = write(spark, tmp_path, "embeddings", rows, schema)
     out = [i for i in range(len(made)) if not 20 <= i <= 24]
     for_query = {}
-    for row in neighbours.op2_inverted_multi_index(spark, folder).collect():
+    embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
+    for row in neighbours.search(embeddings, share=1.0).collect():
         for_query.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
     assert sorted(for_query) == [i for i in out if i % 20 == 0]
     for query, found in for_query.items():
@@ -311,6 +313,25 @@ def test_neighbours_as_brute_force(spark, tmp_path):
         assert all(score == pytest.approx(scores[i], abs=1e-12) for _, i, score in found)
 
 
+@pytest.mark.parametrize("n", [600, 6000])
+def test_neighbours_through_the_index(spark, tmp_path, n):
+    """Evenly spread vectors, which have no near cells: 19 in 20 of the nearest, scores exact."""
+    made = np.random.default_rng(n).normal(size=(n, 64))
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    folder = write(spark, tmp_path, "embeddings", list(enumerate(made.tolist())), "vec_id long, embedding array<double>")
+    found = {}
+    for row in neighbours.op2_inverted_multi_index(spark, folder).collect():
+        found.setdefault(row.query_id, []).append(row)
+    assert sorted(found) == list(range(0, n, 20))
+    met = 0
+    for query, rows in found.items():
+        scores = np.cumsum(made * made[query], axis=1)[:, -1]
+        assert len(rows) == 20 and all(row.score == scores[row.vec_id] for row in rows)
+        best = np.lexsort((np.arange(n), -scores))
+        met += len({row.vec_id for row in rows} & set(best[best != query][:20].tolist()))
+    assert neighbours.share_for(n) < 0.7 and met >= 0.93 * 20 * len(found)
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>, score string"
     few = spark.createDataFrame([(0, [1.0, 2.0], "a"), (20, [1.0, 0.5], "b")], schema)
@@ -411,3 +432,38 @@ def test_pipeline_stages_keep_the_columns(spark, tables):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     row = docs.where("text IS NOT NULL").first()
     assert row.n_chars == len(row.text) and len(hashlib.sha256(row.text.encode()).hexdigest()) == 64
+
+
+CLASHING = ("score", "predicted", "top_passage", "N_LINES", "n_dropped", "_loser", "_copy", "Score2", "carried", "a b.c")
+
+
+def test_pipeline_stages_carry_any_columns(spark, tables):
+    """Also with names the operators use themselves, nulls and repeated rows."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(60)
+    docs = docs.union(docs.limit(5)).union(
+        spark.createDataFrame([(None, None, None, None, None), (None, "", "x", None, 0)], docs.schema)
+    )
+    docs = docs.withColumns({name: F.col("doc_id") + i for i, name in enumerate(CLASHING)})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, tables)
+        assert docs.columns == columns
+        for row in docs.collect():
+            assert all(row[name] == (row.doc_id + i if row.doc_id is not None else None) for i, name in enumerate(CLASHING))
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, tables)
+    assert packed.count() >= docs.count() > 0
+
+
+def test_pipeline_stages_take_an_empty_table(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, tables).count() == 0
+
+
+def test_lines_lost_by_look_up_and_by_join(spark, monkeypatch):
+    rows = some_documents() + [(None, f"{SHARED}\nmore"), (None, SHARED), (7, SHARED)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    sent = by_row(map(tuple, linededup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(linededup, "MOST_SENT", 0)
+    joined = by_row(map(tuple, linededup.dedup_lines(docs).collect()))
+    assert sent == joined == by_row(dedup_brute(rows))

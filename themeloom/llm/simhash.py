@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -266,17 +266,29 @@ def near_duplicates(
     )
 
 
+def _same_row(text_key: Column) -> Column:
+    """One number for an id, null or not, and a text."""
+    id_ = F.col("doc_id").cast("long")
+    return F.xxhash64(F.coalesce(id_, F.lit(0).cast("long")), id_.isNull(), text_key)
+
+
 def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One document of each group: the smallest doc_id, ties by text."""
     own = near_duplicates(docs, words, radius)
     in_group = W.partitionBy("group_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
     first = own.withColumn("_rank", F.row_number().over(in_group)).where("_rank = 1")
-    first = first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    key = F.xxhash64("text")
-    met = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (key == first["_key"]), "left_semi")
+    # One number for id and text: texts are then dealt out once, to meet and to be told apart.
+    first = first.select(
+        _same_row(F.col("text_key")).alias("_same"),
+        F.col("doc_id").alias("_id"),
+        F.col("text_key").alias("_key"),
+    )
+    met = docs.withColumn("_same", _same_row(F.xxhash64("text"))).join(first, "_same")
+    met = met.where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
     # Repeated rows with one doc_id and text: one of them.
-    same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return met.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    copies = W.partitionBy("_same", "_id", "_key").orderBy("_id")
+    one = met.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
+    return one.select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
