@@ -4,10 +4,14 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written and read again as the next one's ``docs``. All but the last return
 the columns of ``documents``.
 
-Extra columns of ``docs`` are carried along. Empty tables pass through; what
-each stage does with nulls, ties and repeated rows stands with its operator.
+Extra columns of ``docs`` are carried along as they are, whatever their names:
+an operator sees ``doc_id``, ``text`` and one column that holds all the others.
+Empty tables pass through; what each stage does with nulls, ties and repeated
+rows stands with its operator.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,30 +20,49 @@ from themeloom.llm.bpe import vocabulary_path
 from themeloom.plans.staging import staged
 
 
+CARRIED = "carried"
+
+
+def _carrying(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ids and texts, with all other columns beside them untouched."""
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
+    parts = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(others)]
+    packed = F.struct(*parts, F.lit(0).alias("none")).alias(CARRIED)
+    done = work(docs.select("doc_id", "text", packed))
+    at = {name: f"c{i}" for i, name in enumerate(others)}
+    return done.select(
+        *[
+            F.col(CARRIED).getField(at[name]).alias(name) if name in at else F.col(name)
+            for name in docs.columns
+        ]
+    )
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as label 1; the others go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score_documents(docs, quality.fit(docs, labels))
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    return _carrying(docs, lambda own: quality.score_documents(own, model).where("predicted = 1"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them share; ``n_chars`` is counted anew."""
-    kept = linededup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        kept = kept.withColumn("n_chars", length)
-    return kept.select(*docs.columns)
+    kept = _carrying(docs, linededup.dedup_lines)
+    if "n_chars" not in docs.columns:
+        return kept
+    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select(*[length if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.keep_first(docs, simhash.WORDS, simhash.RADIUS).select(*docs.columns)
+    return _carrying(docs, lambda own: simhash.keep_first(own, simhash.WORDS, simhash.RADIUS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences."""
-    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
+    texts = docs.select("doc_id", "text")
+    return packing.pack_documents(texts, vocabulary_path("word_bpe_49k.json"))
 
 
 STAGES = [
