@@ -13,6 +13,9 @@ import numpy as np
 # Longest word that a trie takes, in symbols; longer ones are the caller's.
 LONGEST = 64
 
+# Highest bits of a hash by which a table is laid out: a few drawers for each string.
+DRAWER_BITS = 17
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(LONGEST + 1, np.uint64)
 with np.errstate(over="ignore"):
@@ -53,13 +56,24 @@ class Table:
             raise ValueError("two strings have one hash")
         self.lengths = set(lengths.tolist())
         self.longest = int(lengths.max(initial=0))
+        # Where the hashes with each value of their highest bits begin.
+        high = (self.hashes >> np.uint64(64 - DRAWER_BITS)).astype(np.int64)
+        counts = np.bincount(high, minlength=1 << DRAWER_BITS)
+        self.drawers = np.concatenate([[0], np.cumsum(counts)])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers, or -1 where there is no such string."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+        drawers = (hashes >> np.uint64(64 - DRAWER_BITS)).astype(np.int64)
+        begins, ends = self.drawers[drawers], self.drawers[drawers + 1]
+        found = np.full(len(hashes), -1, np.int64)
+        left = np.flatnonzero(begins < ends)
+        at, ends = begins[left], ends[left]
+        while len(left):
+            hit = self.hashes[at] == hashes[left]
+            found[left[hit]] = self.numbers[at[hit]]
+            more = ~hit & (at + 1 < ends)
+            left, at, ends = left[more], at[more] + 1, ends[more]
+        return found
 
 
 class Trie:
