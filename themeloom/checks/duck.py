@@ -1,6 +1,6 @@
 """The same queries in SQL, for DuckDB, over the same tables."""
 
-from themeloom.plans.catalogue import LEMMAS, STEM, STOP_WORDS
+from themeloom.plans.catalogue import LEMMAS, PMI_SHIFT, STEM, STOP_WORDS, WIDE_TERMS
 
 _ARTICLES = r"""
 articles AS (
@@ -85,6 +85,28 @@ nearest AS (
 )"""
 )
 
+_PAIRS = (
+    _WEIGHTS
+    + """,
+placed AS (SELECT docid, lemma, row_number() OVER (PARTITION BY docid ORDER BY pos) AS place FROM kept),
+near AS (
+  SELECT a.docid, a.lemma AS a, b.lemma AS b
+  FROM (SELECT docid, place, lemma, unnest([1, 2, 3, 4, 5]) AS far FROM placed) a
+  JOIN placed b ON b.docid = a.docid AND b.place = a.place + a.far
+),
+counts AS (
+  SELECT word, context, count(*) AS n
+  FROM (SELECT a AS word, b AS context FROM near UNION ALL SELECT b, a FROM near)
+  WHERE word IN (SELECT term FROM vocab) AND context IN (SELECT term FROM vocab)
+  GROUP BY word, context
+),
+sides AS (SELECT word, CAST(sum(n) AS DOUBLE) AS own FROM counts GROUP BY word),
+informed AS (
+  SELECT c.word, c.context, ln(c.n * (SELECT sum(own) FROM sides) / (s.own * o.own)) AS pmi
+  FROM counts c JOIN sides s ON s.word = c.word JOIN sides o ON o.word = c.context
+)"""
+)
+
 _PROJECTION = (
     _WEIGHTS
     + """,
@@ -211,6 +233,14 @@ ORACLE = {
         SELECT (SELECT count(*) FROM documents) AS n, {_round('sum(weight * weight)', 6, 'squares')},
                true AS kept_is_squared_values, true AS no_row_grows, true AS vectors_are_eigenvectors,
                true AS vectors_are_orthonormal FROM weights""",
+    "wide_svd_certificate": f"""WITH {_WEIGHTS.replace("LIMIT 1000", f"LIMIT {WIDE_TERMS}")}
+        SELECT (SELECT count(*) FROM documents) AS n, {_round('sum(weight * weight)', 6, 'squares')},
+               true AS kept_is_squared_values, true AS no_row_grows, true AS vectors_are_eigenvectors,
+               true AS vectors_are_orthonormal FROM weights""",
+    "counted_vectors_certificate": f"""WITH {_PAIRS}
+        SELECT count(*) AS n_pairs, count(DISTINCT word) AS n_words, {_round('sum(pmi * pmi)', 5, 'squares')},
+               true AS columns_are_orthogonal, true AS largest_first, true AS vectors_are_eigenvectors
+        FROM informed WHERE pmi > 0""",
     "pca_certificate": f"""WITH {_vectors()},
         spread AS (SELECT pos, stddev_samp(value) AS s FROM vecs GROUP BY pos)
         SELECT (SELECT count(*) FROM documents) AS n,
@@ -243,6 +273,10 @@ ORACLE = {
         FROM documents d LEFT JOIN kept k ON k.docid = d.doc_id GROUP BY d.doc_id""",
     "doc_frequency": f"WITH {_WEIGHTS} SELECT term, df FROM frequencies",
     "doc_frequency_top": f"WITH {_WEIGHTS} SELECT term, df FROM vocab",
+    "doc_frequency_heavy": f"WITH {_WEIGHTS} SELECT term, df FROM vocab",
+    "cooccurrence_counts": f"WITH {_PAIRS} SELECT word, context, n FROM counts",
+    "positive_pmi": f"""WITH {_PAIRS} SELECT word, context, {_round(f'pmi - ln({PMI_SHIFT})', 6, 'pmi')}
+        FROM informed WHERE pmi - ln({PMI_SHIFT}) > 0""",
     "term_index_lines": f"WITH {_WEIGHTS} SELECT '(' || term_id || ',' || term || ')' AS value FROM vocab",
     "labelled_lines": f"""WITH {_ARTICLES}
         SELECT docid || ',' || CAST(date AS VARCHAR) || ',' || (docid % 10) AS value FROM articles""",

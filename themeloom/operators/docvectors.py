@@ -1,6 +1,6 @@
 """Article vectors: weighted means of word vectors."""
 
-from collections.abc import Collection
+from collections.abc import Collection, Sequence
 
 import numpy as np
 from pyspark.ml.feature import Word2Vec, Word2VecModel
@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
-from themeloom.operators import products
+from themeloom.operators import cooccurrence, products
 from themeloom.operators.sizes import small
 from themeloom.operators.weights import Vocabulary, weight_rows
+from themeloom.plans.staging import staged
 
 # Length of trained vectors and seed.
 VECTOR_SIZE = 100
@@ -45,6 +46,28 @@ def train_word_vectors(
     return trainer.fit(lemmas.select("lemmas"))
 
 
+def counted_word_vectors(
+    lemmas: DataFrame,
+    words: Sequence[str],
+    vector_size: int = VECTOR_SIZE,
+    window: int = cooccurrence.WINDOW,
+    shift: float = 1.0,
+) -> DataFrame:
+    """``word, vector array<double>`` of the listed words, from counts and an SVD.
+
+    What the driver holds follows from the number of words and ``vector_size``,
+    and nothing depends on how the articles are split. A word that is never
+    near another more often than by chance has no vector.
+    """
+    counts = cooccurrence.cooccurrences(lemmas, words, window)
+    counts = staged(counts, "word-pairs")
+    pairs = cooccurrence.positive_pmi(counts, len(words), shift)
+    rows = staged(cooccurrence.rows_of(pairs), "word-rows")
+    vectors = cooccurrence.factorised(rows, len(words), vector_size)
+    named = lemmas.sparkSession.createDataFrame(list(enumerate(words)), "word_id int, word string")
+    return vectors.join(small(named, len(words)), "word_id").select("word", "vector")
+
+
 def vectors_of(model: Word2VecModel) -> DataFrame:
     """``word, vector array<double>`` of a trained model."""
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
-from themeloom.operators import products
+from themeloom.operators import products, wide
 
 # Fixed value: how many singular values or components are kept.
 RANK = 10
@@ -37,10 +37,14 @@ def orient(columns: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TruncatedSVD:
-    """Singular values, largest first, and right singular vectors as columns."""
+    """Singular values, largest first, and right singular vectors as columns.
+
+    ``residual`` is what the solver ``randomised`` leaves open.
+    """
 
     values: np.ndarray
     basis: np.ndarray
+    residual: float = 0.0
 
     def values_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, float(s)) for i, s in enumerate(self.values)]
@@ -55,22 +59,27 @@ def truncated_svd(
     The solver ``gram`` adds up the Gram matrix in one pass, whose eigenvectors
     are the basis; the driver holds width times width numbers. ``iterative``
     is Spark's own, for wide matrices: it passes over the data many times and
-    never holds the Gram matrix. Either squares the values, so that those
-    below the root of ``width`` rounding errors are noise; both leave them out.
+    never holds the Gram matrix. ``randomised`` takes whole blocks of vectors
+    at a time and so a few passes; see ``wide``. All square the values, so that
+    those below the root of ``width`` rounding errors are noise and left out.
     """
-    matrix = row_matrix(table, width)
-    if solver == "iterative":
-        svd = matrix.computeSVD(k)
+    residual = 0.0
+    if solver == "randomised":
+        squares, basis, residual = wide.leading_eigenvectors(table, width, k)
+        values = np.sqrt(np.maximum(squares, 0.0))
+    elif solver == "iterative":
+        svd = row_matrix(table, width).computeSVD(k)
         values, basis = svd.s.toArray(), svd.V.toArray()
     elif solver == "gram":
-        squares, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        gram = row_matrix(table, width).computeGramianMatrix()
+        squares, vectors = np.linalg.eigh(gram.toArray())
         top = np.argsort(squares)[::-1][:k]
         values, basis = np.sqrt(np.maximum(squares[top], 0.0)), vectors[:, top]
     else:
         raise ValueError(f"no such solver: {solver}")
     noise = np.sqrt(width * np.finfo(float).eps)
     rank = int((values > values[0] * noise).sum()) if len(values) and values[0] > 0 else 0
-    return TruncatedSVD(values[:rank], orient(basis[:, :rank]))
+    return TruncatedSVD(values[:rank], orient(basis[:, :rank]), residual)
 
 
 def basis_table(spark: SparkSession, basis: np.ndarray) -> DataFrame:

@@ -36,6 +36,11 @@ def stored_entries(vector: Column) -> tuple[Column, Column]:
     return F.when(raw.getField("type") == 0, raw.getField("indices")).otherwise(every), values
 
 
+def entries_of(vector: str | tuple[Column, Column]) -> tuple[Column, Column]:
+    """Positions and values of an ML vector column, or as they are given."""
+    return stored_entries(F.col(vector)) if isinstance(vector, str) else vector
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of a list column, and the length of each row; a null row is empty."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -118,7 +123,7 @@ def _by_batch(
 def times(
     table: DataFrame,
     dense: np.ndarray,
-    vector: str = "features",
+    vector: str | tuple[Column, Column] = "features",
     out: str = "product",
     carried: tuple[str, ...] = ("docid",),
     before: Callable[[np.ndarray], np.ndarray] | None = None,
@@ -126,6 +131,7 @@ def times(
 ) -> DataFrame:
     """Every row's ML vector times ``dense``: the carried columns and ``out``.
 
+    Instead of a vector there may be two columns, its positions and values.
     ``before`` changes the stored values of a batch, ``after`` its products.
     """
     shared = table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(dense, dtype=float))
@@ -137,7 +143,7 @@ def times(
         products = sums_by_row(at, values, lengths, shared.value)
         return after(products) if after else products
 
-    return _by_batch(table, list(stored_entries(F.col(vector))), list(carried), out, work)
+    return _by_batch(table, list(entries_of(vector)), list(carried), out, work)
 
 
 def distances(

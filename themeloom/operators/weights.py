@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from themeloom import schemas
 from themeloom.functions import arrays
+from themeloom.operators import heavy
 from themeloom.operators.sizes import small
 
 # Fixed value: how many terms are kept unless told otherwise.
@@ -91,8 +92,20 @@ class Vocabulary:
         return spark.createDataFrame(rows, schemas.TERM_TABLE)
 
 
-def build_vocabulary(lemmas: DataFrame, num_terms: int = NUM_TERMS) -> Vocabulary:
-    """The ``num_terms`` terms found in most articles, ties by term."""
+def build_vocabulary(
+    lemmas: DataFrame, num_terms: int = NUM_TERMS, counters: int | None = None
+) -> Vocabulary:
+    """The ``num_terms`` terms found in most articles, ties by term.
+
+    With ``counters``, each task keeps only so many before the exact count of
+    the terms that can be among them (see ``heavy``); the result is the same.
+    It pays where the different terms are many times those that are kept.
+    """
+    if counters is not None:
+        n_docs, found = heavy.most_frequent(lemmas, num_terms, counters)
+        if not found:
+            raise ValueError("no article has a kept lemma")
+        return Vocabulary(n_docs, [term for term, _ in found], [df for _, df in found])
     ranked = _counted(lemmas).orderBy(F.col("term").isNotNull(), F.desc("df"), "term")
     rows = ranked.limit(num_terms + 1).collect()
     if len(rows) < 2:

@@ -18,6 +18,7 @@ from themeloom.functions import arrays, fields, tokens
 from themeloom.operators import (
     clusters,
     compare,
+    cooccurrence,
     docvectors,
     explore,
     kmeans,
@@ -45,6 +46,12 @@ GIVEN_CLUSTERS = range(10)
 # Letters of a stem.
 STEM = 4
 
+# Terms of a wide matrix, counters of a task, and word vectors from counts.
+WIDE_TERMS = 5000
+HEAVY_COUNTERS = 2000
+PMI_SHIFT = 1.5
+COUNTED_SIZE = 16
+
 # Digits that are compared where another engine sums in another order.
 DIGITS = 9
 DISTANCE_DIGITS = 6
@@ -357,6 +364,37 @@ def doc_frequency_top(spark, folder):
     return vocabulary.table(spark).select("term", "df")
 
 
+def doc_frequency_heavy(spark, folder):
+    """The same by bounded counters and an exact count of the terms that remain."""
+    vocabulary = weights.build_vocabulary(_lemmas(spark, folder), counters=HEAVY_COUNTERS)
+    return vocabulary.table(spark).select("term", "df")
+
+
+def _pair_counts(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    return staged(cooccurrence.cooccurrences(_lemmas(spark, folder), names), "word-pairs")
+
+
+def _named_pairs(terms: themes.Terms, pairs: DataFrame) -> DataFrame:
+    """Both words of a pair by their name."""
+    named = small(terms.table.select("term_id", "term"), len(terms.vocabulary.terms))
+    for key, name in (("word_id", "word"), ("context_id", "context")):
+        pairs = pairs.join(named.toDF(key, name), key).drop(key)
+    return pairs
+
+
+def cooccurrence_counts(spark, folder):
+    terms = _terms(spark, folder)
+    counts = _pair_counts(spark, folder, terms.vocabulary.terms)
+    return _named_pairs(terms, counts).select("word", "context", "n")
+
+
+def positive_pmi(spark, folder):
+    terms = _terms(spark, folder)
+    names = terms.vocabulary.terms
+    pairs = cooccurrence.positive_pmi(_pair_counts(spark, folder, names), len(names), PMI_SHIFT)
+    return _named_pairs(terms, pairs).select("word", "context", _rounded("pmi", 6).alias("pmi"))
+
+
 def term_index(spark, folder):
     vocabulary = weights.build_vocabulary(_lemmas(spark, folder))
     return vocabulary.table(spark).withColumn("idf", _rounded("idf", 9))
@@ -569,11 +607,10 @@ def _beside(*tables: DataFrame) -> DataFrame:
     return tables[0].sparkSession.createDataFrame([row], T.StructType(fields_of))
 
 
-def svd_certificate(spark, folder):
+def _svd_certificate(spark: SparkSession, terms: themes.Terms, solver: str) -> DataFrame:
     """What the projection keeps and what it leaves add up to all squares; ``A'A v = s2 v``."""
-    terms = _terms(spark, folder, stage=True)
     weighted = terms.weighted()
-    svd, projection = themes.lsa_projection(terms)
+    svd, projection = themes.lsa_projection(terms, solver=solver)
     k = len(svd.values)
     squares = F.aggregate(
         arrays.entries(F.col("features")), F.lit(0.0),
@@ -609,6 +646,52 @@ def svd_certificate(spark, folder):
     )
 
 
+def svd_certificate(spark, folder):
+    return _svd_certificate(spark, _terms(spark, folder, stage=True), "gram")
+
+
+def wide_svd_certificate(spark, folder):
+    """The same for five times as many terms and the randomised solver."""
+    terms = themes.prepare(_articles(spark, folder), LEMMAS, STOP_WORDS, WIDE_TERMS)
+    return _svd_certificate(spark, terms, "randomised")
+
+
+def counted_vectors_certificate(spark, folder):
+    """Columns of the word vectors are orthogonal, and ``A A' w = s2 w`` for each."""
+    terms = _terms(spark, folder)
+    names = terms.vocabulary.terms
+    pairs = staged(cooccurrence.positive_pmi(_pair_counts(spark, folder, names), len(names)), "pairs")
+    rows = staged(cooccurrence.rows_of(pairs), "word-rows")
+    made = cooccurrence.factorised(rows, len(names), COUNTED_SIZE, passes=20, tolerance=1e-12)
+    made = staged(made, "word-vectors")
+    ks = range(COUNTED_SIZE)
+    sums = {(i, j): F.sum(F.get("vector", i) * F.get("vector", j)) for i in ks for j in ks if i <= j}
+    moments = made.agg(*[total.alias(f"v{i}_{j}") for (i, j), total in sums.items()]).first()
+    values = [moments[f"v{i}_{i}"] for i in ks]
+    largest = max(values)
+    crossed = max(abs(moments[f"v{i}_{j}"]) for i, j in sums if i != j)
+
+    def turned(vectors: DataFrame, key: str, other: str) -> DataFrame:
+        met = pairs.join(small(vectors.withColumnRenamed("word_id", key), len(names), COUNTED_SIZE), key)
+        parts = [F.sum(F.col("pmi") * F.get("vector", i)) for i in ks]
+        return met.groupBy(F.col(other).alias("word_id")).agg(F.array(*parts).alias("vector"))
+
+    back = turned(turned(made, "word_id", "context_id"), "context_id", "word_id")
+    both = back.withColumnRenamed("vector", "image").join(made, "word_id")
+    off = [F.abs(F.get("image", i) - values[i] ** 2 * F.get("vector", i)) for i in ks]
+    residual = both.agg(F.max(F.greatest(*off)).alias("residual"))
+    squares = pairs.agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("word_id").alias("n_words"),
+        F.sum(F.col("pmi") * F.col("pmi")).alias("squares"),
+    )
+    return _beside(squares, residual).select(
+        "n_pairs", "n_words", _rounded("squares", 5).alias("squares"),
+        F.lit(crossed < 1e-9 * largest).alias("columns_are_orthogonal"),
+        F.lit(values == sorted(values, reverse=True)).alias("largest_first"),
+        _holds(F.col("residual") < 1e-6 * largest**2, "vectors_are_eigenvectors"),
+    )
+
+
 def pca_certificate(spark, folder):
     """Components of standardised vectors are uncorrelated and explain their shares."""
     vecs = staged(_vectors(spark, folder, _terms(spark, folder)), "article-vectors")
@@ -824,6 +907,14 @@ def doc_vectors_trained(spark, folder):
     return themes.vectors_of_articles(terms, trained, docvectors.VECTOR_SIZE)
 
 
+def doc_vectors_counted(spark, folder):
+    """Article vectors from word vectors that were counted and factorised."""
+    cut = staged(_lemmas(spark, folder), "lemmas")
+    terms = themes.prepare_lemmas(cut, stage=False)
+    counted = docvectors.counted_word_vectors(cut, terms.vocabulary.terms)
+    return themes.vectors_of_articles(terms, counted, docvectors.VECTOR_SIZE)
+
+
 def train_word_vectors(spark, folder):
     model = docvectors.train_word_vectors(_lemmas(spark, folder))
     return docvectors.vectors_of(model)
@@ -861,6 +952,9 @@ QUERIES: tuple[Query, ...] = (
     kept_in_article,
     doc_frequency,
     doc_frequency_top,
+    doc_frequency_heavy,
+    cooccurrence_counts,
+    positive_pmi,
     term_index,
     term_weights,
     term_weights_binary,
@@ -888,6 +982,8 @@ QUERIES: tuple[Query, ...] = (
     vector_lines,
     label_lines,
     svd_certificate,
+    wide_svd_certificate,
+    counted_vectors_certificate,
     pca_certificate,
     kmeans_terms_certificate,
     kmeans_vectors_certificate,
@@ -905,5 +1001,6 @@ QUERIES: tuple[Query, ...] = (
     compare_ways_agreement,
     theme_silhouettes,
     doc_vectors_trained,
+    doc_vectors_counted,
     train_word_vectors,
 )

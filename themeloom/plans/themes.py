@@ -75,10 +75,12 @@ def prepare_lemmas(lemmas: DataFrame, num_terms: int = NUM_TERMS, stage: bool =
     return Terms(vocabulary, staged(counts, "term-matrix") if stage else counts)
 
 
-def lsa_projection(terms: Terms, k: int = matrix.RANK) -> tuple[matrix.TruncatedSVD, DataFrame]:
+def lsa_projection(
+    terms: Terms, k: int = matrix.RANK, solver: str = "gram"
+) -> tuple[matrix.TruncatedSVD, DataFrame]:
     """SVD of the weights, and ``docid, projection``."""
     width = len(terms.vocabulary.terms)
-    svd = matrix.truncated_svd(terms.weighted(), width, k)
+    svd = matrix.truncated_svd(terms.weighted(), width, k, solver)
     basis = matrix.basis_table(terms.matrix.sparkSession, svd.basis)
     return svd, matrix.project(terms.weighted(), basis, width, len(svd.values))
 
