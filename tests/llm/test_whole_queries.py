@@ -241,6 +241,45 @@ def test_packing_is_optimal_on_small_input():
         assert found == fewest(lengths, 20), lengths
 
 
+def fewest_by_subsets(lengths, capacity):
+    """Sequences needed, by the fewest sequences and least fill of every subset."""
+    best = [(1, 0)] + [None] * (2 ** len(lengths) - 1)
+    for subset in range(1, len(best)):
+        ways = []
+        for i, n in enumerate(lengths):
+            if subset >> i & 1:
+                bins, fill = best[subset ^ 1 << i]
+                ways.append((bins, fill + n) if fill + n <= capacity else (bins + 1, n))
+        best[subset] = min(ways)
+    return best[-1][0]
+
+
+def test_packing_is_optimal_where_the_bound_is_not_met():
+    known = [58, 50, 44, 34, 25, 22, 20, 19, 17, 11]
+    assert packing._bins(packing.complete(dict(Counter(known)), 100)) == 3
+    rng, open_ones = np.random.default_rng(5), 0
+    for i in range(600):
+        low, high = ((8, 65), (15, 50))[i % 2]
+        lengths = rng.integers(low, high, rng.integers(6, 14)).tolist()
+        counts = dict(Counter(lengths))
+        found = packing.complete(counts, 100)
+        assert Counter(n for f in found for n in f.lengths * f.times) == counts
+        assert all(sum(f.lengths) <= 100 for f in found)
+        if packing._bins(found) > packing.lower_bound(counts, 100):
+            open_ones += 1
+            assert packing._bins(found) == fewest_by_subsets(lengths, 100), lengths
+    assert open_ones > 10
+
+
+def test_all_undominated_fillings_are_found():
+    ways = set(packing.fillings(100, {60: 1, 41: 2, 40: 1, 30: 2, 29: 1, 10: 1}))
+    assert {(60, 40), (41, 30, 29), (41, 41, 10)} <= ways
+    # A longer one takes the place of one, of two, or of none.
+    assert not {(60, 29, 10), (60, 30, 10), (40, 30, 30), (41, 41)} & ways
+    assert list(packing.fillings(100, {100: 1, 60: 1, 40: 1})) == [(100,)]
+    assert list(packing.fillings(5, {6: 3})) == [()]
+
+
 def check_packed(rows, packed):
     theirs = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
     theirs.no_truncation()

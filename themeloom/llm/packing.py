@@ -10,10 +10,12 @@ The search (after Korf, 2002) takes the largest piece left and enumerates the
 undominated fillings of the room beside it, fullest first. It prunes where
 the waste so far, or the pieces left, cannot lead to fewer sequences than the
 best packing known. Those incumbents come from best fit on what is left. A
-filling is used as often as the counts allow, so the depth follows from the
-lengths and not from the number of documents. The search ends when the bound
-is met, which proves the packing optimal, or after ``most_steps`` fillings; the
-packing is complete either way.
+filling is first used as often as the counts allow, so the depth follows from
+the lengths and not from the number of documents, and then once. The search
+ends when the bound is met or nothing is left to try, which proves the packing
+optimal, or after ``most_steps`` fillings and parts of fillings. Only then may
+it be beaten, by ``_bins(packing) - lower_bound(...)`` sequences at most; every
+piece has its place either way.
 
 Defined results: a null or empty text is one piece of one token; repeated
 rows are packed each on their own; pieces with the same length are ranked by
@@ -21,8 +23,12 @@ doc_id (nulls first) and place; an empty table gives an empty table; other
 columns are not read.
 """
 
+import itertools
 import math
+import sys
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +45,15 @@ from themeloom.plans.staging import staged
 CAPACITY = 2048
 SEPARATOR = 0
 
-# Fillings that the search may try, and those kept for one room.
-MOST_STEPS = 20_000
-MOST_FILLINGS = 8
-MOST_PARTS = 4
+# Steps of the search, and fillings that are put in order at a time.
+MOST_STEPS = 400_000
+SORTED = 16
+
+# Steps for the fillings of one room in the first of two rounds.
+PATIENCE = 100
+
+# With so few different lengths left, states are bounded one by one and met only once.
+FEW_LENGTHS = 64
 
 # Pieces of one length are ranked in this many parts.
 BUCKETS = 1024
@@ -112,64 +123,100 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return [Filling(lengths, times) for groups in rooms.values() for lengths, times in groups]
 
 
-def fillings(room: int, counts: dict[int, int], at_least: int = 0) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the room, fullest first.
+class Steps:
+    """How many fillings and parts of fillings the search may still look at."""
+
+    def __init__(self, most: int, whole: "Steps | None" = None) -> None:
+        self.left = most
+        self.whole = whole
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0 and (self.whole is None or self.whole.take())
 
-    A set of lengths is dominated when one length of another way, or the same
-    with a longer piece that still fits, takes its place. At most
-    MOST_FILLINGS are returned, of at most MOST_PARTS pieces and then as many
-    of one length as still fit, with a total of ``at_least``.
+
+def _is_dominated(way: tuple[int, ...], waste: int, ascending: list[int], free: Counter) -> bool:
+    """Whether one free length could take the place of none, one or two of the way.
+
+    The pieces it replaces fit where it was, so the way with it is no worse.
     """
-    lengths = np.array(sorted(n for n, c in counts.items() if c > 0 and n <= room), np.int64)
-    found: set[tuple[int, ...]] = set()
-
-    def largest(space: int, most: int) -> int:
-        at = np.searchsorted(lengths, min(space, most), side="right") - 1
-        return int(lengths[at]) if at >= 0 else 0
-
-    def extend(chosen: tuple[int, ...], space: int, most: int) -> None:
-        if len(found) >= 4 * MOST_FILLINGS:
-            return
-        top = largest(space, most)
-        if not top:
-            if not any(n > 0 and n <= space and chosen.count(n) < counts[n] for n in lengths[:1]):
-                found.add(chosen)
-            return
-        if len(chosen) >= MOST_PARTS:
-            for n in lengths[::-1]:
-                n = int(n)
-                while n <= space and chosen.count(n) < counts[n]:
-                    chosen, space = (*chosen, n), space - n
-            found.add(tuple(sorted(chosen, reverse=True)))
-            return
-        at, tried = np.searchsorted(lengths, top, side="right") - 1, 0
-        while at >= 0 and tried < 3:
-            n = int(lengths[at])
-            if chosen.count(n) < counts[n]:
-                extend((*chosen, n), space - n, n)
-                tried += 1
-            at -= 1
-
-    if len(lengths):
-        exact = largest(room, room)
-        if exact == room:
-            return [(room,)]
-        # Two pieces that fill the room exactly, if there are any.
-        other = lengths[np.isin(room - lengths, lengths)]
-        for n in other[::-1].tolist():
-            m = room - n
-            if n >= m and (n != m or counts[n] > 1):
-                found.add((n, m))
-                if len(found) >= MOST_FILLINGS:
-                    break
-        if not found:
-            extend((), room, room)
-    else:
-        found.add(())
-    ways = [way for way in found if sum(way) >= at_least]
-    singles = {way[0] for way in ways if len(way) == 1}
-    ways = [w for w in ways if len(w) == 1 or not any(s >= sum(w) for s in singles)]
-    return sorted(ways, key=lambda w: (-sum(w), len(w), [-n for n in w]))[:MOST_FILLINGS]
+    parts = {0} | set(way) | {a + b for a, b in itertools.combinations(way, 2)}
+    for replaced in parts:
+        # One piece is only replaced by a longer one.
+        least = replaced + 1 if replaced == 0 or replaced in way else replaced
+        for i in range(bisect_left(ascending, least), len(ascending)):
+            if ascending[i] > replaced + waste:
+                break
+            if free[ascending[i]] > 0:
+                return True
+    return False
+
+
+def _in_order(
+    room: int, counts: dict[int, int], at_least: int, steps: Steps
+) -> Iterator[tuple[int, ...]]:
+    ascending = sorted(n for n, c in counts.items() if c > 0 and n <= room)
+    if not ascending:
+        if at_least <= 0:
+            yield ()
+        return
+    if ascending[-1] == room:
+        # All that fits in the room would fit in the place of this one piece.
+        yield (room,)
+        return
+    lengths = np.array(ascending, np.int64)
+    # Two pieces that fill the room exactly come first.
+    pairs = set()
+    for n in lengths[np.isin(room - lengths, lengths)][::-1].tolist():
+        m = room - n
+        if (n > m or (n == m and counts[n] > 1)) and steps.take():
+            pairs.add((n, m))
+            yield (n, m)
+    descending = ascending[::-1]
+    free = Counter({n: counts[n] for n in ascending})
+    # What all lengths from a place on add up to.
+    rest = list(itertools.accumulate((n * counts[n] for n in ascending)))[::-1]
+    chosen: list[int] = []
+    # Places in ``descending`` that are still to be tried, for each piece chosen.
+    places = [0]
+    space = room
+    extended = [False]
+    while places and steps.take():
+        at = max(places[-1], bisect_left(descending, -space, key=lambda n: -n))
+        while at < len(descending) and not free[descending[at]]:
+            at += 1
+        if at < len(descending) and room - space + min(space, rest[at]) >= at_least:
+            n = descending[at]
+            places[-1], extended[-1] = at + 1, True
+            chosen.append(n)
+            free[n] -= 1
+            space -= n
+            places.append(at)
+            extended.append(False)
+            continue
+        if not extended[-1] and room - space >= at_least:
+            way = tuple(chosen)
+            if way not in pairs and not _is_dominated(way, space, ascending, free):
+                yield way
+        places.pop()
+        extended.pop()
+        if chosen:
+            n = chosen.pop()
+            free[n] += 1
+            space += n
+
+
+def fillings(
+    room: int, counts: dict[int, int], at_least: int = 0, steps: Steps | None = None
+) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill the room with a total of ``at_least``.
+
+    All of them, unless ``steps`` come to an end: the longest pieces first, and
+    the fullest first among every SORTED of them.
+    """
+    ways = _in_order(room, counts, at_least, steps or Steps(sys.maxsize))
+    while some := list(itertools.islice(ways, SORTED)):
+        yield from sorted(some, key=lambda way: (-sum(way), len(way), [-n for n in way]))
 
 
 def _bins(packing: list[Filling]) -> int:
@@ -177,48 +224,84 @@ def _bins(packing: list[Filling]) -> int:
 
 
 def complete(counts: dict[int, int], capacity: int, most_steps: int = MOST_STEPS) -> list[Filling]:
-    """The best packing found; see the module's text."""
+    """The best packing found; see the module's text.
+
+    A first round soon gives up on a room, which finds good packings of many
+    lengths; the second tries every filling, so that its end proves the best.
+    """
     counts = {n: c for n, c in counts.items() if c > 0}
-    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    steps = 0
-    # Each entry: counts left, tokens left, fillings so far as a linked list,
-    # sequences so far. Ways are pushed worst first, so the fullest is next.
-    total = sum(n * c for n, c in counts.items())
-    stack = [(counts, total, None, 0)]
-    while stack and _bins(best) > bound and steps < most_steps:
-        left, tokens, chain, used = stack.pop()
-        if used + math.ceil(tokens / capacity) >= _bins(best):
-            continue
-        if not left:
-            best = _unchained(chain)
-            continue
-        steps += 1
-        if steps % 64 == 0:
-            rest = best_fit(left, capacity)
-            if used + _bins(rest) < _bins(best):
-                best = _unchained(chain) + rest
+    for steps, patience in ((most_steps // 2, PATIENCE), (most_steps - most_steps // 2, None)):
+        if _bins(best) > lower_bound(counts, capacity):
+            best = search(counts, capacity, best, Steps(steps), patience)
+    return best
+
+
+def search(
+    counts: dict[int, int],
+    capacity: int,
+    best: list[Filling],
+    steps: Steps,
+    patience: int | None = None,
+) -> list[Filling]:
+    """A packing better than ``best`` if one is found; ``patience`` limits each room's fillings."""
+    bound, n_best = lower_bound(counts, capacity), _bins(best)
+    seen: set[tuple] = set()
+    tried = 0
+
+    def children(left: dict[int, int], tokens: int, used: int) -> Iterator[tuple]:
+        """Counts and tokens left after each filling around the largest piece."""
         top = max(left)
         # Room that may be wasted in all if the best is to be improved on.
-        spare = (_bins(best) - 1 - used) * capacity - tokens
+        spare = (n_best - 1 - used) * capacity - tokens
         beside = dict(left)
         beside[top] -= 1
-        for way in reversed(fillings(capacity - top, beside, capacity - top - spare)):
+        own_steps = steps if patience is None else Steps(patience, steps)
+        for way in fillings(capacity - top, beside, capacity - top - spare, own_steps):
             lengths = (top, *way)
-            need = {n: lengths.count(n) for n in set(lengths)}
-            times = min(left[n] // k for n, k in need.items())
+            need = Counter(lengths)
             waste = capacity - sum(lengths)
+            most = min(left[n] // k for n, k in need.items())
             if waste:
-                times = min(times, spare // waste)
-            if times < 1:
+                most = min(most, spare // waste)
+            # As often as it can be, then once, after which it may come again.
+            for times in sorted({most, min(most, 1)}, reverse=True):
+                if times < 1:
+                    continue
+                after = dict(left)
+                for n, k in need.items():
+                    after[n] -= k * times
+                    if not after[n]:
+                        del after[n]
+                yield after, tokens - sum(lengths) * times, Filling(lengths, times)
+
+    # Each entry: its children, its fillings as a linked list, its sequences.
+    total = sum(n * c for n, c in counts.items())
+    stack = [(children(counts, total, 0), None, 0)] if counts else []
+    while stack and n_best > bound and steps.left > 0:
+        ways, chain, used = stack[-1]
+        found = next(ways, None)
+        if found is None:
+            stack.pop()
+            continue
+        left, tokens, filling = found
+        own, used = (filling, chain), used + filling.times
+        if used + math.ceil(tokens / capacity) >= n_best:
+            continue
+        if not left:
+            best, n_best = _unchained(own), used
+            continue
+        if len(left) <= FEW_LENGTHS:
+            state = (used, *sorted(left.items()))
+            if state in seen or used + lower_bound(left, capacity) >= n_best:
                 continue
-            after = dict(left)
-            for n, k in need.items():
-                after[n] -= k * times
-                if not after[n]:
-                    del after[n]
-            taken = sum(lengths) * times
-            stack.append((after, tokens - taken, (Filling(lengths, times), chain), used + times))
+            seen.add(state)
+        tried += 1
+        if tried % 64 == 0 or len(left) <= FEW_LENGTHS:
+            rest = best_fit(left, capacity)
+            if used + _bins(rest) < n_best:
+                best, n_best = _unchained(own) + rest, used + _bins(rest)
+        stack.append((children(left, tokens, used), own, used))
     return best
 
 
