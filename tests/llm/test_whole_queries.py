@@ -241,6 +241,25 @@ def test_packing_is_optimal_on_small_input():
         assert found == fewest(lengths, 20), lengths
 
 
+@pytest.mark.parametrize(
+    "source", ["<div>x" * 40_000, "<b>x" * 40_000, "<i><h1>x" * 20_000, "<div></span>x" * 40_000]
+)
+def test_deep_pages_are_read_in_linear_memory(source):
+    # A quadratic parser would need minutes and gigabytes for these.
+    page = htmltext.parse(source)
+    assert sum(len(block.text) for block in page.blocks) == source.count("x")
+    path = page.paths.text(page.elements[-1].path)
+    assert page.paths.find(path) == page.elements[-1].path
+    assert htmltext.extract(source, [path]).endswith("x")
+
+
+def test_quotes_in_bare_attribute_values():
+    assert htmltext.extract("<p class=it's>one</p><p>it's two</p>", []) == "one\nit's two"
+    assert htmltext.extract("<p title='a>b' id = \"c>d\">one</p>", []) == "one"
+    assert htmltext.parse('<div class="a>b">x</div>').paths.find(">div.a#b") is not None
+    assert htmltext.parse("").paths.find(">div") is None
+
+
 def fewest_by_subsets(lengths, capacity):
     """Sequences needed, by the fewest sequences and least fill of every subset."""
     best = [(1, 0)] + [None] * (2 ** len(lengths) - 1)

@@ -25,7 +25,7 @@ empty table gives an empty table; other columns are not read.
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,11 +75,11 @@ JUNK_WORDS = frozenset(
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>?",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(
-    r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
+    r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?"
 )
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 DIGITS = re.compile(r"\d+")
@@ -96,12 +96,19 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
+# The same from the other side: which open elements a new one may end.
+MAY_CLOSE: dict[str, list[str]] = {}
+for _open, _ends in CLOSED_BY.items():
+    for _tag in _ends:
+        MAY_CLOSE.setdefault(_tag, []).append(_open)
 
 
 @dataclass(slots=True)
 class Element:
+    """An element, its parent's number, and its path's number in ``Paths``."""
+
     tag: str
-    path: str
+    path: int
     parent: int
     junk: bool
     in_section: bool
@@ -110,11 +117,50 @@ class Element:
 
 @dataclass(slots=True)
 class Block:
-    """Text of one block, and the elements it stands in, from the root down."""
+    """Text of one block, and the innermost element that was open at its end."""
 
     text: str
     linked: int
-    inside: tuple[int, ...]
+    inside: int
+
+
+class Paths:
+    """The different paths of a page, each as its last step below another path."""
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.numbers: dict[tuple[int, str], int] = {}
+
+    def below(self, path: int, step: str) -> int:
+        number = self.numbers.setdefault((path, step), len(self.steps))
+        if number == len(self.steps):
+            self.steps.append((path, step))
+        return number
+
+    def text(self, path: int) -> str:
+        found = []
+        while path:
+            path, step = self.steps[path]
+            found.append(f">{step}")
+        return "".join(reversed(found))
+
+    def find(self, text: str) -> int | None:
+        """The number of a path that the page has."""
+        path: int | None = 0
+        for step in text.split(">")[1:]:
+            path = self.numbers.get((path, step))
+            if path is None:
+                break
+        return path
+
+
+@dataclass(slots=True)
+class Page:
+    """All elements, parents before children, and the blocks that are not left out."""
+
+    elements: list[Element]
+    blocks: list[Block]
+    paths: Paths
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -141,12 +187,14 @@ def _is_junk(tag: str, attributes: dict[str, str], in_section: bool) -> bool:
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
     classes = sorted(set(attributes.get("class", "").split()))
-    return DIGITS.sub("#", ".".join([tag, *classes]))
+    return DIGITS.sub("#", ".".join([tag, *classes])).replace(">", "#")
 
 
-def parse(source: str) -> tuple[list[Element], list[Block]]:
-    """All elements of a page, and its blocks that are not left out."""
-    elements = [Element("", "", -1, False, False, False)]
+def parse(source: str) -> Page:
+    """The page, in time and memory that grow with its length, however deep it is."""
+    paths = Paths()
+    elements = [Element("", 0, -1, False, False, False)]
+    open_tags: dict[str, int] = defaultdict(int)
     blocks: list[Block] = []
     stack = [0]
     pieces: list[str] = []
@@ -157,7 +205,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                blocks.append(Block(text, min(linked, len(text)), tuple(stack)))
+                blocks.append(Block(text, min(linked, len(text)), stack[-1]))
             pieces.clear()
         linked = 0
 
@@ -172,6 +220,8 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
     def close(at: int) -> None:
         if any(elements[i].tag in BLOCKS for i in stack[at:]):
             end_block()
+        for i in stack[at:]:
+            open_tags[elements[i].tag] -= 1
         del stack[at:]
 
     at, n = 0, len(source)
@@ -189,7 +239,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             continue
         tag = name.lower()
         if found[1]:
-            places = range(len(stack) - 1, 0, -1)
+            places = range(len(stack) - 1, 0, -1) if open_tags[tag] else ()
             open_at = next((i for i in places if elements[stack[i]].tag == tag), 0)
             if open_at:
                 close(open_at)
@@ -203,7 +253,8 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             continue
         attributes = _attributes(found[3]) if found[3].strip(" /") else {}
         # Elements whose end tag may be left out.
-        for i in range(len(stack) - 1, 0, -1):
+        may_close = tag in MAY_CLOSE and any([open_tags[other] for other in MAY_CLOSE[tag]])
+        for i in range(len(stack) - 1, 0, -1) if may_close else ():
             open_tag = elements[stack[i]].tag
             if tag in CLOSED_BY.get(open_tag, ()):
                 close(i)
@@ -219,7 +270,7 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
         parent = elements[stack[-1]]
         path = parent.path
         if tag in CONTAINERS or tag == "html":
-            path = f"{path}>{_step(tag, attributes)}"
+            path = paths.below(path, _step(tag, attributes))
         elements.append(
             Element(
                 tag,
@@ -241,40 +292,54 @@ def parse(source: str) -> tuple[list[Element], list[Block]]:
             at = end.end() if end else n
             continue
         stack.append(len(elements) - 1)
+        open_tags[tag] += 1
     end_block()
-    return elements, blocks
+    return Page(elements, blocks, paths)
 
 
-def best_container(elements: list[Element], blocks: list[Block]) -> int:
+def best_container(page: Page) -> int:
     """The innermost container that holds most of the page's text outside links."""
-    held: Counter = Counter()
-    depth: dict[int, int] = {}
-    for block in blocks:
-        weight = len(block.text) - block.linked
-        for i, element in enumerate(block.inside):
-            if elements[element].tag in CONTAINERS:
-                held[element] += weight
-                depth[element] = i
-    if not held:
+    elements = page.elements
+    held = [0] * len(elements)
+    has_block = [False] * len(elements)
+    for block in page.blocks:
+        held[block.inside] += len(block.text) - block.linked
+        has_block[block.inside] = True
+    # Children come after their parents, so they are added up from the end.
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
+        has_block[elements[i].parent] |= has_block[i]
+    containers = [i for i, e in enumerate(elements) if has_block[i] and e.tag in CONTAINERS]
+    if not containers:
         return 0
-    whole = max(held.values())
-    enough = [e for e, weight in held.items() if weight >= MOST_OF_TEXT * whole]
-    return max(enough, key=lambda e: (depth[e], held[e], -e))
+    depth = [0] * len(elements)
+    for i in range(1, len(elements)):
+        depth[i] = depth[elements[i].parent] + 1
+    whole = max(held[i] for i in containers)
+    enough = [i for i in containers if held[i] >= MOST_OF_TEXT * whole]
+    return max(enough, key=lambda i: (depth[i], held[i], -i))
 
 
-def text_of(blocks: list[Block], containers: set[int]) -> str:
-    return "\n".join(b.text for b in blocks if containers.intersection(b.inside))
+def text_of(page: Page, containers: set[int]) -> str:
+    """The blocks that stand in any of the containers."""
+    within = [False] * len(page.elements)
+    for i, element in enumerate(page.elements):
+        within[i] = i in containers or (i > 0 and within[element.parent])
+    return "\n".join(block.text for block in page.blocks if within[block.inside])
 
 
 def extract(source: str | None, winners: list[str]) -> str:
     """The text at the first winning path that has any, else of the best container."""
-    elements, blocks = parse(source or "")
-    for path in winners:
-        at = {i for i, e in enumerate(elements) if e.path == path and e.tag in CONTAINERS}
-        text = text_of(blocks, at)
+    page = parse(source or "")
+    for winner in winners:
+        path = page.paths.find(winner)
+        if path is None:
+            continue
+        at = {i for i, e in enumerate(page.elements) if e.path == path and e.tag in CONTAINERS}
+        text = text_of(page, at)
         if text:
             return text
-    return text_of(blocks, {best_container(elements, blocks)})
+    return text_of(page, {best_container(page)})
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -303,9 +368,10 @@ def votes(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                elements, blocks = parse(source or "")
-                if blocks:
-                    held[host, elements[best_container(elements, blocks)].path] += 1
+                page = parse(source or "")
+                if page.blocks:
+                    best = page.elements[best_container(page)]
+                    held[host, page.paths.text(best.path)] += 1
                 if len(held) > MOST_HELD:
                     yield sent()
         yield sent()
