@@ -260,6 +260,21 @@ def test_quotes_in_bare_attribute_values():
     assert htmltext.parse("").paths.find(">div") is None
 
 
+def test_quality_fit_is_bounded(spark):
+    long_text = " ".join(f"w{i}" for i in range(64 * 1000))
+    rows = [(1, f"text {i}") for i in range(50)] + [(2, long_text), (3, None), (3, "x"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    sample = quality.training_sample(docs, labels).collect()
+    kept = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(row["_id"] for row in sample) == kept
+    assert [r["_id"] for r in quality.training_sample(docs, labels).collect()].count(1) <= 1
+    bag = quality.passages(long_text)
+    some = quality.spaced(bag)
+    assert len(bag) == 1000 and len(some) == quality.MOST_PASSAGES and some[0] == bag[0]
+    assert quality.spaced(bag[:7]) == bag[:7]
+
+
 def fewest_by_subsets(lengths, capacity):
     """Sequences needed, by the fewest sequences and least fill of every subset."""
     best = [(1, 0)] + [None] * (2 ** len(lengths) - 1)
