@@ -72,9 +72,72 @@ def test_language_model_base_and_counts(spark, tmp_path):
         assert row.score < 0 and math.isfinite(row.score)
 
 
-def test_language_model_beats_single_words_on_held_out(spark, tables):
-    """On 1000 documents; the 200 of the smallest tables are too few for class pairs."""
-    tables = tables.replace("sf0.001", "sf0.01")
+def test_language_model_scores_by_the_classes(spark):
+    rows = some_documents()
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model, _, _ = classlm.fit(docs)
+    classes = dict(zip(model.words, model.classes.tolist()))
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    tokens = {i: [*words(text), classlm.END] for i, text in rows}
+    counts = Counter(t for i, own in tokens.items() if not held[i] for t in own)
+    assert {w for w, c in classes.items() if c < classlm.CLASSES} == {w for w, n in counts.items() if n >= 3}
+
+    def class_of(word):
+        return classes.get(word, classlm.ending(word))
+
+    size, vocabulary, pairs = Counter(), Counter(), Counter()
+    for word, n in counts.items():
+        size[class_of(word)] += n
+        vocabulary[class_of(word)] += 1
+    for i, own in tokens.items():
+        if not held[i]:
+            pairs.update(zip(map(class_of, [classlm.END, *own]), map(class_of, own)))
+    share = {c: size[c] + 0.5 for c in range(classlm.SIZE)}
+    share = {c: n / sum(share.values()) for c, n in share.items()}
+    followers, sums = Counter(c for c, _ in pairs), Counter()
+    for (c, _), n in pairs.items():
+        sums[c] += n
+
+    def score(before, word):
+        c, d, n = class_of(before), class_of(word), counts[word]
+        s = followers[c] + 1
+        move = (pairs[c, d] + s * share[d]) / (sums[c] + s)
+        word_in = n / size[d] if d < classlm.CLASSES else (n + 0.5) / (size[d] + 0.5 * (vocabulary[d] + 1))
+        return math.log10(move) + math.log10(word_in)
+
+    for row in classlm.score_documents(docs).collect():
+        own = tokens[row.doc_id]
+        assert row.score == pytest.approx(sum(map(score, [classlm.END, *own], own)), rel=1e-9)
+
+
+def test_gain_of_a_move_is_the_change_of_the_likelihood(monkeypatch):
+    monkeypatch.setattr(classlm, "SIZE", 6)
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 9, 400)
+    classes = rng.integers(0, 6, 9)
+
+    def pairs_under(of):
+        made = np.zeros((6, 6))
+        np.add.at(made, (of[text[:-1]], of[text[1:]]), 1)
+        return made
+
+    before_move = classlm.likelihood(pairs_under(classes))
+    for word in range(9):
+        ahead, behind = np.zeros(6), np.zeros(6)
+        left, right = text[:-1], text[1:]
+        np.add.at(ahead, classes[right[(left == word) & (right != word)]], 1)
+        np.add.at(behind, classes[left[(right == word) & (left != word)]], 1)
+        twice = float(((left == word) & (right == word)).sum())
+        got = classlm.gains(int(classes[word]), ahead, behind, twice, pairs_under(classes))
+        for c in range(6):
+            moved = classes.copy()
+            moved[word] = c
+            assert got[c] == pytest.approx(classlm.likelihood(pairs_under(moved)) - before_move, abs=1e-6)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_language_model_beats_single_words_on_held_out(spark, tables, scale):
+    tables = tables.replace("sf0.001", scale)
     rows = [row for row in classlm.op3_class_lm(spark, tables).collect() if row.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 

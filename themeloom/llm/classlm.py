@@ -8,24 +8,26 @@ documents that are not held out.
    one per word).
 2. The ``HEAD`` most frequent words get numbers. Documents are written once as
    numbers, with the rarer words beside them.
-3. The ``CLUSTERED`` most frequent words are put into ``CLASSES`` classes by
-   exchange: in each round every word of one half is moved, in parallel, to
-   the class that raises the likelihood of all class pairs most (after
-   Uszkoreit and Brants, 2008). The contexts of a word are one row; a round
-   passes over these rows with the present classes. The rarer words are put
-   into ``ENDINGS`` classes by their endings, as there is too little of their
-   contexts.
+3. Words of the head with at least ``FEWEST`` tokens are put into ``CLASSES``
+   classes by exchange: in each round every word of one half is moved, in
+   parallel, to the class that raises the likelihood of all class pairs most
+   (after Uszkoreit and Brants, 2008). The contexts of a word are one row, with
+   all words beside it; a round passes over these rows with the present
+   classes. All other words are in ``ENDINGS`` classes by their endings: put
+   where their one or two contexts fit best, they score worse on other texts.
 4. Class pairs are counted over all training documents.
 5. A document is scored from its numbers; only counts of its rarer words are
    joined, so the table of counts is never broadcast.
 
-What goes through the driver follows from settings alone: HEAD words,
-CLUSTERED classes, and the square of the number of classes.
+What goes through the driver follows from settings alone: HEAD words with
+their classes, and the square of the number of classes.
 
 Probabilities: a word in an exchanged class has its share of the class. In a
 class by ending it has ``(c + 0.5) / (n + 0.5 (v + 1))``, where the class has n
 tokens and v words; a word without a count stands for the one unseen word. A
-class after another has ``(pairs + S p) / (n + S)`` with p the class's share.
+class after another has ``(pairs + S p) / (n + S)`` with p the class's share
+and S one more than the different classes that follow the other (Witten and
+Bell, 1991), so that few documents lean on shares and many on pairs.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 counts as the text ``null``; repeated rows are counted and scored each; without
@@ -51,14 +53,16 @@ from themeloom.plans.staging import staged
 END = "\n"
 
 HEAD = 150_000
-CLUSTERED = 6_000
+FEWEST = 3
 CLASSES = 64
 ENDINGS = 64
+SIZE = CLASSES + ENDINGS
 ROUNDS = 8
-SMOOTH = 5.0
 
 # Different words that a task holds before it sends their counts.
 MOST_HELD = 300_000
+# Tokens whose pairs are counted at once; a longer document is taken by itself.
+MOST_TOKENS = 4_000_000
 
 
 def is_held_out(doc_id):
@@ -117,13 +121,19 @@ class Model:
     class_words: np.ndarray = field(default_factory=lambda: np.zeros(0))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def numbers(self) -> dict[str, int]:
-        return {word: i for i, word in enumerate(self.words)}
+    def end(self) -> int:
+        """The number of the end token, which stands before every first word."""
+        return self.words.index(END) if END in self.words else len(self.words) + ending(END)
+
+    def class_of_id(self) -> np.ndarray:
+        """Classes of the head, then of the ids that stand for classes."""
+        return np.concatenate([self.classes, np.arange(SIZE)]).astype(np.int64)
 
     def log_moves(self) -> np.ndarray:
         """log10 of the probability of a class (column) after another (row)."""
         share = (self.class_tokens + 0.5) / (self.class_tokens + 0.5).sum()
-        after = self.pairs + SMOOTH * share
+        followers = (self.pairs > 0).sum(axis=1, keepdims=True) + 1.0
+        after = self.pairs + followers * share
         return np.log10(after / after.sum(axis=1, keepdims=True))
 
     def log_rarer(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -181,41 +191,58 @@ def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
     return staged(made, "numbered-documents")
 
 
-def neighbours(documents: DataFrame, clustered: int) -> DataFrame:
-    """``word, sides``: what stands beside each clustered word, and how often.
+def token_runs(batch: pa.RecordBatch, end: int) -> Iterator[np.ndarray]:
+    """Ids of many documents in a row. Each ends with the end token, so that
+    one stands before every document once another opens the run."""
+    opening = np.array([end], "<i4").tobytes()
+    some, size = [opening], 0
+    for ids in batch.column(0).to_pylist():
+        some.append(ids)
+        size += len(ids) // 4
+        if size >= MOST_TOKENS:
+            yield np.frombuffer(b"".join(some), "<i4")
+            some, size = [opening], 0
+    if size:
+        yield np.frombuffer(b"".join(some), "<i4")
+
+
+def _counts(keys: np.ndarray, name: str) -> pa.RecordBatch:
+    at, n = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_pydict(
+        {name: pa.array(at.astype(np.int64)), "n": pa.array(n.astype(np.int64))}
+    )
+
 
-    ``sides`` has at most two entries per other clustered word: number, times
-    as the next word, times as the word before.
+def neighbours(documents: DataFrame, model: Model, exchanged: int) -> DataFrame:
+    """``word, sides``: what stands beside each exchanged word, and how often.
+
+    ``sides`` has at most two entries per neighbour: its number, times as the
+    next word, times as the word before. A word that is not exchanged has the
+    number ``exchanged`` plus its place among the classes by ending.
     """
+    of_id = model.class_of_id() - CLASSES + exchanged
+    of_id[:exchanged] = np.arange(exchanged)
+    shared = documents.sparkSession.sparkContext.broadcast(of_id)
+    end, numbers = model.end(), exchanged + ENDINGS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for ids in batch.column(0).to_pylist():
-                own = np.frombuffer(ids, "<i4").astype(np.int64)
+            for ids in token_runs(batch, end):
+                own = shared.value[ids]
                 left, right = own[:-1], own[1:]
-                both = (left < clustered) & (right < clustered)
-                parts.append(left[both] * clustered + right[both])
-            keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else ([], [])
-            keys = np.asarray(keys, np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "word": pa.array(keys // clustered, pa.int64()),
-                    "next": pa.array(keys % clustered, pa.int64()),
-                    "n": pa.array(np.asarray(n, np.int64), pa.int64()),
-                }
-            )
+                either = (left < exchanged) | (right < exchanged)
+                yield _counts(left[either] * numbers + right[either], "pair")
 
     train = documents.where("NOT held_out").select("ids")
-    pairs = train.mapInArrow(run, "word long, next long, n long")
-    pairs = staged(pairs.groupBy("word", "next").agg(F.sum("n").alias("n")), "word-pairs")
+    pairs = train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    left, right = F.expr(f"pair div {numbers}"), F.expr(f"pair % {numbers}")
     zero = F.lit(0).cast("long")
-    ahead = pairs.select("word", F.col("next").alias("other"), "n", zero.alias("m"))
-    behind = pairs.select(
-        F.col("next").alias("word"), F.col("word").alias("other"), zero.alias("n"), F.col("n").alias("m")
-    )
-    sides = F.collect_list(F.struct("other", "n", "m")).alias("sides")
-    return staged(ahead.union(behind).groupBy("word").agg(sides), "word-neighbours")
+    ahead = F.struct(left.alias("word"), right.alias("other"), "n", zero.alias("m"))
+    behind = F.struct(right.alias("word"), left.alias("other"), zero.alias("n"), F.col("n").alias("m"))
+    both = pairs.select(F.explode(F.array(ahead, behind)).alias("side")).select("side.*")
+    lists = F.collect_list(F.struct(F.col("other").cast("int").alias("other"), "n", "m"))
+    rows = both.where(F.col("word") < exchanged).groupBy("word").agg(lists.alias("sides"))
+    return staged(rows, "word-neighbours")
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -229,27 +256,39 @@ def gains(
 
     ``after[c]`` and ``before[c]`` count words of class c beside it, without
     itself; ``twice`` counts it beside itself; ``pairs`` has all class pairs.
+    Only the columns and rows of classes beside the word are looked at.
     """
-    rest = pairs.astype(np.float64).copy()
-    rest[own, :] -= after
-    rest[:, own] -= before
-    rest[own, own] -= twice
+    next_to, last_to = np.flatnonzero(after), np.flatnonzero(before)
+    # The class pairs without the word.
+    right = pairs[:, next_to].astype(np.float64)
+    right[own] -= after[next_to]
+    right[:, next_to == own] -= before[:, None]
+    right[own, next_to == own] -= twice
+    left = pairs[last_to].astype(np.float64)
+    left[:, own] -= before[last_to]
+    left[last_to == own] -= after
+    left[last_to == own, own] -= twice
+    n_after, n_before = after.sum() + twice, before.sum() + twice
+    rows, columns = pairs.sum(axis=1) - before, pairs.sum(axis=0) - after
+    rows[own] -= n_after
+    columns[own] -= n_before
+    corner = np.diag(pairs).astype(np.float64)
+    corner[own] -= after[own] + before[own] + twice
     # Likelihood with the word in class c, up to terms that are the same for all c.
-    rows, columns = rest.sum(axis=1), rest.sum(axis=0)
-    row_gain = (_x_log_x(rest + after) - _x_log_x(rest)).sum(axis=1)
-    column_gain = (_x_log_x(rest + before[:, None]) - _x_log_x(rest)).sum(axis=0)
-    at = np.diag(rest)
-    corner = (
-        _x_log_x(at + after + before + twice)
-        - _x_log_x(at + after)
-        - _x_log_x(at + before)
-        + _x_log_x(at)
+    row_gain = (_x_log_x(right + after[next_to]) - _x_log_x(right)).sum(axis=1)
+    column_gain = (_x_log_x(left + before[last_to, None]) - _x_log_x(left)).sum(axis=0)
+    both = (
+        _x_log_x(corner + after + before + twice)
+        - _x_log_x(corner + after)
+        - _x_log_x(corner + before)
+        + _x_log_x(corner)
     )
-    n_after, n_before = after.sum() + twice, before.sum() + twice
+    # Its neighbours' rows and columns have the word again, whatever its class.
+    rows, columns = rows + before, columns + after
     loss = (
         _x_log_x(rows + n_after) - _x_log_x(rows) + _x_log_x(columns + n_before) - _x_log_x(columns)
     )
-    value = row_gain + column_gain + corner - loss
+    value = row_gain + column_gain + both - loss
     return value - value[own]
 
 
@@ -258,115 +297,119 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_x_log_x(pairs).sum() - _x_log_x(rows).sum() - _x_log_x(columns).sum())
 
 
-def exchange(sides: DataFrame, clustered: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each clustered word.
+def _side_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Words, where their entries end, and the three columns of all entries."""
+    lists = batch.column(1)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    return (
+        batch.column(0).to_numpy(),
+        offsets[1:] - offsets[0],
+        *(flat.field(i).to_numpy() for i in range(3)),
+    )
+
+
+def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
+    """``word, best`` of words that another class suits better; at most HEAD rows."""
+    shared = sides.sparkSession.sparkContext.broadcast((of, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, all_pairs = shared.value
+        for batch in batches:
+            words, ends, others, n, m = _side_arrays(batch)
+            moved, begin = [], 0
+            for word, end in zip(words.tolist(), ends.tolist()):
+                o, a, b = others[begin:end], n[begin:end], m[begin:end]
+                begin = end
+                other = o != word
+                twice = float(a[~other].sum())
+                near = classes[o[other]]
+                after, before = np.bincount(near, a[other], SIZE), np.bincount(near, b[other], SIZE)
+                value = gains(int(classes[word]), after, before, twice, all_pairs)
+                best = int(value[:CLASSES].argmax())
+                if value[best] > 1e-9:
+                    moved.append((word, best))
+            word, best = zip(*moved) if moved else ((), ())
+            yield pa.RecordBatch.from_pydict(
+                {"word": pa.array(word, pa.int64()), "best": pa.array(best, pa.int64())}
+            )
+
+    return sides.mapInArrow(run, "word long, best long").collect()
+
+
+def pairs_of_sides(sides: DataFrame, of: np.ndarray, exchanged: int) -> np.ndarray:
+    """Class pairs with at least one exchanged word under the classes ``of``."""
+    shared = sides.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, counted = shared.value, np.zeros(SIZE * SIZE)
+        for batch in batches:
+            words, ends, others, n, m = _side_arrays(batch)
+            own = classes[np.repeat(words, np.diff(ends, prepend=0))]
+            near = classes[others]
+            counted += np.bincount(own * SIZE + near, n, SIZE * SIZE)
+            # Other words have no row, so their pairs are counted from here too.
+            no_row = others >= exchanged
+            counted += np.bincount((near * SIZE + own)[no_row], m[no_row], SIZE * SIZE)
+        yield _pair_counts(counted)
+
+    return _collected(sides.mapInArrow(run, "at long, n long"))
+
+
+def _pair_counts(counted: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(counted)
+    return pa.RecordBatch.from_pydict(
+        {"at": pa.array(at, pa.int64()), "n": pa.array(counted[at].astype(np.int64), pa.int64())}
+    )
+
+
+def _collected(parts: DataFrame) -> np.ndarray:
+    """Sums of counts of class pairs, as a square."""
+    made = np.zeros(SIZE * SIZE)
+    for row in parts.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        made[row["at"]] = row.n
+    return made.reshape(SIZE, SIZE)
+
+
+def exchange(sides: DataFrame, exchanged: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The class of each exchanged word.
 
     It starts from words dealt by rank. Words move in halves, so that two that
     attract each other do not change places; a round that does not raise the
     likelihood is taken back.
     """
-    spark = sides.sparkSession
-    classes = np.arange(clustered) % CLASSES
-
-    def pass_over(own: np.ndarray, pairs: np.ndarray | None, half: int) -> tuple:
-        """Class pairs under ``own``, and better classes for words of the half."""
-        shared = spark.sparkContext.broadcast((own, pairs))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, all_pairs = shared.value
-            counted = np.zeros((CLASSES, CLASSES), np.int64)
-            moved = []
-            for batch in batches:
-                words, lists = batch.column(0).to_pylist(), batch.column(1)
-                flat = lists.flatten()
-                ends = np.diff(lists.offsets.to_numpy())
-                ends = np.cumsum(ends)
-                others = flat.field(0).to_numpy()
-                n, m = flat.field(1).to_numpy(), flat.field(2).to_numpy()
-                begin = 0
-                for word, end in zip(words, ends.tolist()):
-                    o, a, b = others[begin:end], n[begin:end], m[begin:end]
-                    begin = end
-                    after = np.bincount(of[o], a, CLASSES)
-                    if all_pairs is None:
-                        counted[of[word]] += after.astype(np.int64)
-                        continue
-                    if word % 2 != half:
-                        continue
-                    before = np.bincount(of[o], b, CLASSES)
-                    same = float(a[o == word].sum())
-                    after[of[word]] -= same
-                    before[of[word]] -= same
-                    value = gains(int(of[word]), after, before, same, all_pairs)
-                    best = int(value.argmax())
-                    if value[best] > 1e-9:
-                        moved.append((word, best, 0))
-            if all_pairs is None:
-                at = np.flatnonzero(counted)
-                moved = [(-1, int(i), int(counted.flat[i])) for i in at]
-            word, best, n = zip(*moved) if moved else ((), (), ())
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "word": pa.array(word, pa.int64()),
-                    "best": pa.array(best, pa.int64()),
-                    "n": pa.array(n, pa.int64()),
-                }
-            )
-
-        # At most CLUSTERED moves, or the pairs of classes: settings, not data.
-        found = sides.mapInArrow(run, "word long, best long, n long")
-        if pairs is not None:
-            return found.collect()
-        rows = found.groupBy("best").agg(F.sum("n").alias("n")).collect()
-        made = np.zeros(CLASSES * CLASSES)
-        for row in rows:
-            made[row.best] = row.n
-        return made.reshape(CLASSES, CLASSES)
-
-    pairs = pass_over(classes, None, 0)
+    endings = CLASSES + np.arange(ENDINGS)
+    of = np.concatenate([np.arange(exchanged) % CLASSES, endings])
+    pairs = pairs_of_sides(sides, of, exchanged)
     value = likelihood(pairs)
     for step in range(rounds):
-        new = classes.copy()
-        for row in pass_over(classes, pairs, step % 2):
+        half = sides.where(F.col("word") % 2 == step % 2)
+        new = of.copy()
+        for row in better_classes(half, of, pairs):
             new[row.word] = row.best
-        if (new == classes).all():
+        if (new == of).all():
             continue
-        new_pairs = pass_over(new, None, 0)
+        new_pairs = pairs_of_sides(sides, new, exchanged)
         new_value = likelihood(new_pairs)
         if new_value > value:
-            classes, pairs, value = new, new_pairs, new_value
-    return classes
+            of, pairs, value = new, new_pairs, new_value
+    return of[:exchanged]
 
 
 def class_pairs(documents: DataFrame, model: Model) -> np.ndarray:
     """How often each class follows each, over all training documents."""
-    size = CLASSES + ENDINGS
-    n_head = len(model.words)
-    end = model.numbers().get(END)
-    first = int(model.classes[end]) if end is not None else ending(END)
-    shared = documents.sparkSession.sparkContext.broadcast(model.classes)
+    shared = documents.sparkSession.sparkContext.broadcast(model.class_of_id())
+    end = model.end()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.concatenate([shared.value, np.arange(size)])
-        counted = np.zeros(size * size, np.int64)
+        counted = np.zeros(SIZE * SIZE)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.frombuffer(ids, "<i4")
-                of = np.where(own < n_head, classes[own], own - n_head).astype(np.int64)
-                before = np.concatenate([[first], of[:-1]])
-                at, n = np.unique(before * size + of, return_counts=True)
-                counted[at] += n
-        at = np.flatnonzero(counted)
-        yield pa.RecordBatch.from_pydict(
-            {"at": pa.array(at, pa.int64()), "n": pa.array(counted[at], pa.int64())}
-        )
+            for ids in token_runs(batch, end):
+                of = shared.value[ids]
+                counted += np.bincount(of[:-1] * SIZE + of[1:], minlength=SIZE * SIZE)
+        yield _pair_counts(counted)
 
     train = documents.where("NOT held_out").select("ids")
-    rows = train.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    made = np.zeros(size * size)
-    for row in rows.collect():
-        made[row["at"]] = row.n
-    return made.reshape(size, size)
+    return _collected(train.mapInArrow(run, "at long, n long"))
 
 
 def class_sizes(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -374,19 +417,18 @@ def class_sizes(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray
     shared = counts.sparkSession.sparkContext.broadcast(
         dict(zip(model.words, model.classes.tolist()))
     )
-    size = CLASSES + ENDINGS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        tokens, words = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        tokens, words = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
         for batch in batches:
             names = batch.column(0).to_pylist()
             of = np.array([known[w] if w in known else ending(w) for w in names], np.int64)
-            tokens += np.bincount(of, batch.column(1).to_numpy(), size).astype(np.int64)
-            words += np.bincount(of, minlength=size)
+            tokens += np.bincount(of, batch.column(1).to_numpy(), SIZE).astype(np.int64)
+            words += np.bincount(of, minlength=SIZE)
         yield pa.RecordBatch.from_pydict(
             {
-                "class": pa.array(np.arange(size), pa.int64()),
+                "class": pa.array(np.arange(SIZE), pa.int64()),
                 "tokens": pa.array(tokens, pa.int64()),
                 "words": pa.array(words, pa.int64()),
             }
@@ -394,7 +436,7 @@ def class_sizes(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray
 
     rows = counts.mapInArrow(run, "class long, tokens long, words long")
     rows = rows.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
-    tokens, words = np.zeros(size), np.zeros(size)
+    tokens, words = np.zeros(SIZE), np.zeros(SIZE)
     for row in rows.collect():
         tokens[row["class"]], words[row["class"]] = row.tokens, row.words
     return tokens, words
@@ -408,17 +450,13 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     head = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
     words = [row.word for row in head]
     documents = numbered(docs, words)
-    clustered = min(CLUSTERED, len(words))
-    classes = np.array([ending(word) for word in words], np.int64)
-    if clustered:
-        classes[:clustered] = exchange(neighbours(documents, clustered), clustered)
-    model = Model(
-        words,
-        np.array([row.n for row in head], np.float64),
-        classes,
-        int(sums.total or 0),
-        int(sums.different),
-    )
+    n_of = np.array([row.n for row in head], np.float64)
+    endings = np.array([ending(word) for word in words], np.int64)
+    model = Model(words, n_of, endings, int(sums.total or 0), int(sums.different))
+    exchanged = int((n_of >= FEWEST).sum())
+    if exchanged:
+        sides = neighbours(documents, model, exchanged)
+        model.classes[:exchanged] = exchange(sides, exchanged)
     model.class_tokens, model.class_words = class_sizes(counts, model)
     model.pairs = class_pairs(documents, model)
     return model, documents, counts
@@ -427,14 +465,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
 def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     model, documents, counts = fit(docs)
-    n_head = len(model.words)
-    size = CLASSES + ENDINGS
-    end = model.numbers().get(END)
-    first = int(model.classes[end]) if end is not None else ending(END)
+    n_head, end = len(model.words), model.end()
     tables = (
-        model.classes,
-        np.concatenate([model.log_head(), np.zeros(size)]),
-        np.concatenate([model.log_base(model.counts), np.zeros(size)]),
+        model.class_of_id(),
+        np.concatenate([model.log_head(), np.zeros(SIZE)]),
+        np.concatenate([model.log_base(model.counts), np.zeros(SIZE)]),
         model.log_moves(),
     )
     shared = docs.sparkSession.sparkContext.broadcast(tables)
@@ -442,8 +477,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(weight)
 
     def make():
-        classes, emit, base, moves = shared.value
-        of_id = np.concatenate([classes, np.arange(size)]).astype(np.int64)
+        of_id, emit, base, moves = shared.value
+        first = int(of_id[end])
 
         def work(batch: pa.RecordBatch) -> dict:
             n, known, bases, scores = [], [], [], []
