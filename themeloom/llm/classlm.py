@@ -214,11 +214,13 @@ def _counts(keys: np.ndarray, name: str) -> pa.RecordBatch:
 
 
 def neighbours(documents: DataFrame, model: Model, exchanged: int) -> DataFrame:
-    """``word, sides``: what stands beside each exchanged word, and how often.
+    """``word, after, n_after, before, n_before``: what stands beside a word.
 
-    ``sides`` has at most two entries per neighbour: its number, times as the
-    next word, times as the word before. A word that is not exchanged has the
-    number ``exchanged`` plus its place among the classes by ending.
+    One row per exchanged word: the numbers of the next words and how often
+    each is next, and the same for the words before. Each is packed into one
+    binary value (int32 numbers, int64 counts), as the rows are read in every
+    round. A word that is not exchanged has the number ``exchanged`` plus its
+    place among the classes by ending.
     """
     of_id = model.class_of_id() - CLASSES + exchanged
     of_id[:exchanged] = np.arange(exchanged)
@@ -236,13 +238,30 @@ def neighbours(documents: DataFrame, model: Model, exchanged: int) -> DataFrame:
     train = documents.where("NOT held_out").select("ids")
     pairs = train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     left, right = F.expr(f"pair div {numbers}"), F.expr(f"pair % {numbers}")
-    zero = F.lit(0).cast("long")
-    ahead = F.struct(left.alias("word"), right.alias("other"), "n", zero.alias("m"))
-    behind = F.struct(right.alias("word"), left.alias("other"), zero.alias("n"), F.col("n").alias("m"))
+    ahead = F.struct(left.alias("word"), F.lit(True).alias("is_next"), right.alias("other"), "n")
+    behind = F.struct(right.alias("word"), F.lit(False).alias("is_next"), left.alias("other"), "n")
     both = pairs.select(F.explode(F.array(ahead, behind)).alias("side")).select("side.*")
-    lists = F.collect_list(F.struct(F.col("other").cast("int").alias("other"), "n", "m"))
+    lists = F.collect_list(F.struct("is_next", F.col("other").cast("int").alias("other"), "n"))
     rows = both.where(F.col("word") < exchanged).groupBy("word").agg(lists.alias("sides"))
-    return staged(rows, "word-neighbours")
+
+    def make():
+        return _packed
+
+    schema = "word long, after binary, n_after binary, before binary, n_before binary"
+    return staged(map_batches(rows, schema, make), "word-neighbours")
+
+
+def _packed(batch: pa.RecordBatch) -> dict:
+    flat, offsets = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+    is_next = flat.field(0).to_numpy(zero_copy_only=False)
+    others, n = flat.field(1).to_numpy().astype("<i4"), flat.field(2).to_numpy().astype("<i8")
+    spans = [slice(a, b) for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0])]
+    made: dict = {"word": batch.column(0)}
+    for name, met in [("after", is_next), ("before", ~is_next)]:
+        for column, values in [(name, others), (f"n_{name}", n)]:
+            own = [values[span][met[span]].tobytes() for span in spans]
+            made[column] = pa.array(own, pa.binary())
+    return made
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -297,15 +316,13 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_x_log_x(pairs).sum() - _x_log_x(rows).sum() - _x_log_x(columns).sum())
 
 
-def _side_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Words, where their entries end, and the three columns of all entries."""
-    lists = batch.column(1)
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-    return (
-        batch.column(0).to_numpy(),
-        offsets[1:] - offsets[0],
-        *(flat.field(i).to_numpy() for i in range(3)),
-    )
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _ends(column: pa.Array) -> list[int]:
+    """Where the numbers of each row end."""
+    return np.cumsum([len(own) // 4 for own in column.to_pylist()]).tolist()
 
 
 def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
@@ -315,16 +332,19 @@ def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, all_pairs = shared.value
         for batch in batches:
-            words, ends, others, n, m = _side_arrays(batch)
-            moved, begin = [], 0
-            for word, end in zip(words.tolist(), ends.tolist()):
-                o, a, b = others[begin:end], n[begin:end], m[begin:end]
-                begin = end
-                other = o != word
-                twice = float(a[~other].sum())
-                near = classes[o[other]]
-                after, before = np.bincount(near, a[other], SIZE), np.bincount(near, b[other], SIZE)
-                value = gains(int(classes[word]), after, before, twice, all_pairs)
+            words = batch.column(0).to_pylist()
+            after, n_after = _joined(batch.column(1), "<i4"), _joined(batch.column(2), "<i8")
+            before, n_before = _joined(batch.column(3), "<i4"), _joined(batch.column(4), "<i8")
+            # Classes beside the words; a word beside itself is counted apart.
+            near_after, near_before = classes[after], classes[before]
+            moved, i, j = [], 0, 0
+            for word, k, m in zip(words, _ends(batch.column(1)), _ends(batch.column(3))):
+                other, o = after[i:k] != word, before[j:m] != word
+                twice = float(n_after[i:k][~other].sum())
+                ahead = np.bincount(near_after[i:k][other], n_after[i:k][other], SIZE)
+                behind = np.bincount(near_before[j:m][o], n_before[j:m][o], SIZE)
+                i, j = k, m
+                value = gains(int(classes[word]), ahead, behind, twice, all_pairs)
                 best = int(value[:CLASSES].argmax())
                 if value[best] > 1e-9:
                     moved.append((word, best))
@@ -343,13 +363,18 @@ def pairs_of_sides(sides: DataFrame, of: np.ndarray, exchanged: int) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, counted = shared.value, np.zeros(SIZE * SIZE)
         for batch in batches:
-            words, ends, others, n, m = _side_arrays(batch)
-            own = classes[np.repeat(words, np.diff(ends, prepend=0))]
-            near = classes[others]
-            counted += np.bincount(own * SIZE + near, n, SIZE * SIZE)
+            own = classes[batch.column(0).to_numpy()] * SIZE
+            lengths = np.diff(_ends(batch.column(1)), prepend=0)
+            near = classes[_joined(batch.column(1), "<i4")]
+            n = _joined(batch.column(2), "<i8")
+            counted += np.bincount(np.repeat(own, lengths) + near, n, SIZE * SIZE)
             # Other words have no row, so their pairs are counted from here too.
-            no_row = others >= exchanged
-            counted += np.bincount((near * SIZE + own)[no_row], m[no_row], SIZE * SIZE)
+            before = _joined(batch.column(3), "<i4")
+            lengths = np.diff(_ends(batch.column(3)), prepend=0)
+            own = np.repeat(own // SIZE, lengths)[before >= exchanged]
+            near = classes[before[before >= exchanged]] * SIZE
+            n = _joined(batch.column(4), "<i8")[before >= exchanged]
+            counted += np.bincount(near + own, n, SIZE * SIZE)
         yield _pair_counts(counted)
 
     return _collected(sides.mapInArrow(run, "at long, n long"))
