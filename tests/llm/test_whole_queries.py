@@ -128,7 +128,7 @@ def test_gain_of_a_move_is_the_change_of_the_likelihood(monkeypatch):
         np.add.at(ahead, classes[right[(left == word) & (right != word)]], 1)
         np.add.at(behind, classes[left[(right == word) & (left != word)]], 1)
         twice = float(((left == word) & (right == word)).sum())
-        got = classlm.gains(int(classes[word]), ahead, behind, twice, pairs_under(classes))
+        got = classlm.gains(int(classes[word]), ahead, behind, twice, classlm.ClassPairs(pairs_under(classes)))
         for c in range(6):
             moved = classes.copy()
             moved[word] = c

@@ -39,6 +39,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.quality import remainder
-from themeloom.llm.rows import map_batches, text_bytes
+from themeloom.llm.rows import map_batches, utf8
 from themeloom.plans.staging import staged
 
 # The end token holds white space, so it is no word.
@@ -69,13 +70,12 @@ def is_held_out(doc_id):
     return remainder(doc_id, 5) == 1
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words with A-Z in lower case, then the end token."""
-    found = text_bytes(text).lower().decode()
-    # The bytes of other white space are part of words, so only ASCII is cut at.
-    for white in "\t\n\x0b\x0c\r":
-        found = found.replace(white, " ")
-    return [*filter(None, found.split(" ")), END]
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8 with A-Z in lower case, then the end token.
+
+    Both methods of bytes know ASCII only, so other white space is part of words.
+    """
+    return [*(text or b"").lower().split(), END.encode()]
 
 
 def ending(word: str) -> int:
@@ -91,14 +91,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             made = {
-                "word": pa.array(list(held.keys()), pa.string()),
+                "word": pa.array(list(held.keys()), pa.binary()).cast(pa.string()),
                 "n": pa.array(list(held.values()), pa.int64()),
             }
             held.clear()
             return pa.RecordBatch.from_pydict(made)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in utf8(batch.column(0)):
                 held.update(words_of(text))
                 if len(held) > MOST_HELD:
                     yield sent()
@@ -163,18 +163,17 @@ def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
     n_head = len(words)
 
     def make():
-        number = {word: i for i, word in enumerate(shared.value)}
+        number = {word.encode(): i for i, word in enumerate(shared.value)}
 
         def work(batch: pa.RecordBatch) -> dict:
             ids, rarer = [], []
-            for text in batch.column(2).to_pylist():
+            for text in utf8(batch.column(2)):
                 tokens = words_of(text)
-                own = list(map(number.get, tokens))
-                rare = []
-                if None in own:
-                    rare = [t for t, i in zip(tokens, own) if i is None]
-                    own = [n_head + ending(t) if i is None else i for t, i in zip(tokens, own)]
-                ids.append(np.array(own, "<i4").tobytes())
+                own = np.array(list(map(number.get, tokens, repeat(-1))), "<i4")
+                at = np.flatnonzero(own < 0)
+                rare = [tokens[i].decode() for i in at.tolist()]
+                own[at] = [n_head + ending(word) for word in rare]
+                ids.append(own.tobytes())
                 rarer.append(rare)
             return {
                 "doc_id": batch.column(0),
@@ -238,76 +237,94 @@ def neighbours(documents: DataFrame, model: Model, exchanged: int) -> DataFrame:
     train = documents.where("NOT held_out").select("ids")
     pairs = train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     left, right = F.expr(f"pair div {numbers}"), F.expr(f"pair % {numbers}")
-    ahead = F.struct(left.alias("word"), F.lit(True).alias("is_next"), right.alias("other"), "n")
-    behind = F.struct(right.alias("word"), F.lit(False).alias("is_next"), left.alias("other"), "n")
+    # Twice the word, and one more for what stands after it.
+    ahead = F.struct((left * 2 + 1).alias("key"), right.alias("other"), "n")
+    behind = F.struct((right * 2).alias("key"), left.alias("other"), "n")
     both = pairs.select(F.explode(F.array(ahead, behind)).alias("side")).select("side.*")
-    lists = F.collect_list(F.struct("is_next", F.col("other").cast("int").alias("other"), "n"))
-    rows = both.where(F.col("word") < exchanged).groupBy("word").agg(lists.alias("sides"))
-
-    def make():
-        return _packed
-
+    own = both.where(F.col("key") < 2 * exchanged)
+    sides = own.repartition(F.expr("key div 2")).sortWithinPartitions("key")
     schema = "word long, after binary, n_after binary, before binary, n_before binary"
-    return staged(map_batches(rows, schema, make), "word-neighbours")
+    return staged(sides.mapInArrow(_pack_words, schema), "word-neighbours")
+
+
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per word of rows ``key, other, n`` in the order of ``key``."""
+    kinds = ("<i8", "<i4", "<i8")
+    held = [np.zeros(0, kind) for kind in kinds]
+    for batch in batches:
+        new = [column.to_numpy().astype(kind) for column, kind in zip(batch.columns, kinds)]
+        held = [np.concatenate(pair) for pair in zip(held, new)]
+        # The last word may go on in the next batch.
+        cut = int(np.searchsorted(held[0], held[0][-1] // 2 * 2)) if len(held[0]) else 0
+        if cut:
+            yield _packed(*(own[:cut] for own in held))
+            held = [own[cut:] for own in held]
+    if len(held[0]):
+        yield _packed(*held)
+
+
+def _packed(keys: np.ndarray, others: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    words = np.unique(keys // 2)
+    made = {"word": pa.array(words)}
+    for name, key in [("after", words * 2 + 1), ("before", words * 2)]:
+        begins, ends = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+        spans = list(map(slice, begins.tolist(), ends.tolist()))
+        made[name] = pa.array([others[span].tobytes() for span in spans], pa.binary())
+        made[f"n_{name}"] = pa.array([n[span].tobytes() for span in spans], pa.binary())
+    return pa.RecordBatch.from_pydict(made)
 
 
-def _packed(batch: pa.RecordBatch) -> dict:
-    flat, offsets = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
-    is_next = flat.field(0).to_numpy(zero_copy_only=False)
-    others, n = flat.field(1).to_numpy().astype("<i4"), flat.field(2).to_numpy().astype("<i8")
-    spans = [slice(a, b) for a, b in zip(offsets - offsets[0], offsets[1:] - offsets[0])]
-    made: dict = {"word": batch.column(0)}
-    for name, met in [("after", is_next), ("before", ~is_next)]:
-        for column, values in [(name, others), (f"n_{name}", n)]:
-            own = [values[span][met[span]].tobytes() for span in spans]
-            made[column] = pa.array(own, pa.binary())
-    return made
+def _x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(x + (x == 0))
 
 
-def _x_log_x(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+class ClassPairs:
+    """Counts of all class pairs, with what the gains of moves are made of."""
+
+    def __init__(self, n: np.ndarray) -> None:
+        self.n, self.logs = n.astype(np.float64), _x_log_x(n)
+        self.rows, self.columns = self.n.sum(axis=1), self.n.sum(axis=0)
+        self.corner = np.diag(self.n)
 
 
 def gains(
-    own: int, after: np.ndarray, before: np.ndarray, twice: float, pairs: np.ndarray
+    own: int, after: np.ndarray, before: np.ndarray, twice: float, pairs: ClassPairs
 ) -> np.ndarray:
-    """Change of the likelihood when a word moves from class ``own`` to each class.
+    """Change of the likelihood when a word moves from class ``own`` to each exchanged class.
 
     ``after[c]`` and ``before[c]`` count words of class c beside it, without
-    itself; ``twice`` counts it beside itself; ``pairs`` has all class pairs.
-    Only the columns and rows of classes beside the word are looked at.
+    itself; ``twice`` counts it beside itself. Only the columns and rows of
+    classes beside the word are looked at.
     """
     next_to, last_to = np.flatnonzero(after), np.flatnonzero(before)
-    # The class pairs without the word.
-    right = pairs[:, next_to].astype(np.float64)
+    a, b = after[:CLASSES], before[:CLASSES]
+    # The class pairs without the word; they change in its own row and column only.
+    right, right_logs = pairs.n[:CLASSES, next_to], pairs.logs[:CLASSES, next_to]
     right[own] -= after[next_to]
-    right[:, next_to == own] -= before[:, None]
+    right[:, next_to == own] -= b[:, None]
     right[own, next_to == own] -= twice
-    left = pairs[last_to].astype(np.float64)
+    right_logs[own] = _x_log_x(right[own])
+    right_logs[:, next_to == own] = _x_log_x(right[:, next_to == own])
+    left, left_logs = pairs.n[last_to, :CLASSES], pairs.logs[last_to, :CLASSES]
     left[:, own] -= before[last_to]
-    left[last_to == own] -= after
+    left[last_to == own] -= a
     left[last_to == own, own] -= twice
+    left_logs[:, own] = _x_log_x(left[:, own])
+    left_logs[last_to == own] = _x_log_x(left[last_to == own])
+    # Its neighbours' rows and columns have the word, whatever its class.
     n_after, n_before = after.sum() + twice, before.sum() + twice
-    rows, columns = pairs.sum(axis=1) - before, pairs.sum(axis=0) - after
+    rows, columns = pairs.rows[:CLASSES].copy(), pairs.columns[:CLASSES].copy()
     rows[own] -= n_after
     columns[own] -= n_before
-    corner = np.diag(pairs).astype(np.float64)
+    corner = pairs.corner[:CLASSES].copy()
     corner[own] -= after[own] + before[own] + twice
     # Likelihood with the word in class c, up to terms that are the same for all c.
-    row_gain = (_x_log_x(right + after[next_to]) - _x_log_x(right)).sum(axis=1)
-    column_gain = (_x_log_x(left + before[last_to, None]) - _x_log_x(left)).sum(axis=0)
-    both = (
-        _x_log_x(corner + after + before + twice)
-        - _x_log_x(corner + after)
-        - _x_log_x(corner + before)
-        + _x_log_x(corner)
-    )
-    # Its neighbours' rows and columns have the word again, whatever its class.
-    rows, columns = rows + before, columns + after
-    loss = (
-        _x_log_x(rows + n_after) - _x_log_x(rows) + _x_log_x(columns + n_before) - _x_log_x(columns)
-    )
-    value = row_gain + column_gain + both - loss
+    row_gain = (_x_log_x(right + after[next_to]) - right_logs).sum(axis=1)
+    column_gain = (_x_log_x(left + before[last_to, None]) - left_logs).sum(axis=0)
+    more = _x_log_x(np.stack([corner + a + b + twice, corner + a, corner + b, corner]))
+    both = more[0] - more[1] - more[2] + more[3]
+    sums = _x_log_x(np.stack([rows + n_after, rows, columns + n_before, columns]))
+    value = row_gain + column_gain + both - (sums[0] - sums[1] + sums[2] - sums[3])
     return value - value[own]
 
 
@@ -327,7 +344,7 @@ def _ends(column: pa.Array) -> list[int]:
 
 def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
     """``word, best`` of words that another class suits better; at most HEAD rows."""
-    shared = sides.sparkSession.sparkContext.broadcast((of, pairs))
+    shared = sides.sparkSession.sparkContext.broadcast((of, ClassPairs(pairs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, all_pairs = shared.value
@@ -345,7 +362,7 @@ def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
                 behind = np.bincount(near_before[j:m][o], n_before[j:m][o], SIZE)
                 i, j = k, m
                 value = gains(int(classes[word]), ahead, behind, twice, all_pairs)
-                best = int(value[:CLASSES].argmax())
+                best = int(value.argmax())
                 if value[best] > 1e-9:
                     moved.append((word, best))
             word, best = zip(*moved) if moved else ((), ())
