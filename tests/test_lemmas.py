@@ -143,3 +143,31 @@ def test_distinct(articles):
 def test_plain_text(spark):
     table = spark.createDataFrame([("Élan, the END.",)], "t string")
     assert table.select(tokens.plain_text(F.col("t"))).first()[0] == " lan the end "
+
+
+def test_longer_lists_are_joined_with_the_words_of_blocks(spark, monkeypatch):
+    from themeloom.plans.staging import staged
+
+    texts = spark.createDataFrame([(i, "cats ran while others ran " * 400) for i in range(60)], "docid int, text string")
+    texts = staged(texts.repartition(2), "texts")
+    table = spark.createDataFrame(list(LEMMA_OF.items()) * 2, "form string, lemma string")
+    monkeypatch.setattr(L, "MOST_FORMS", 1)
+    out = L.lemmatise(texts, table, ["while"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "text#" not in plan
+    assert [r.lemmas for r in out.collect()] == [["cat", "run", "others", "run"] * 400] * 60
+    blocks = L._in_blocks(texts, ["docid"], L.tokens.kept_words(F.col("text")))
+    listed = blocks.where("words is not null")
+    assert listed.selectExpr("sum(size(words))").first()[0] <= 4 * blocks.select("block").distinct().count() < 60
+
+
+def test_pieces_of_batches():
+    import pyarrow as pa
+
+    from themeloom.operators.batches import in_pieces
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000)), "b": [["x" * 10] * 5] * 1000})
+    pieces = list(in_pieces([batch, batch.slice(0, 0), batch.slice(0, 1)], 4000))
+    assert max(piece.nbytes for piece in pieces) <= 4100 and len(pieces) > 10
+    assert pa.Table.from_batches(pieces).to_pydict()["a"] == [*range(1000), 0]
+    assert [piece.num_rows for piece in in_pieces([batch], 1)] == [1] * 1000
