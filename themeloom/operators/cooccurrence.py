@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators import matrix, products, wide
+from themeloom.operators.batches import in_pieces
 from themeloom.operators.sizes import small
 
 # Kept lemmas to either side that count as near, and vectors' usual length.
@@ -56,7 +57,8 @@ def cooccurrences(lemmas: DataFrame, words: Sequence[str], window: int = WINDOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = pa.array(shared.value, pa.string())
-        for batch in batches:
+        # Near lemmas are laid out as pairs, many times the bytes of the lemmas.
+        for batch in in_pieces(batches):
             lists = batch.column(0)
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = pc.index_in(lists.flatten(), value_set=listed, skip_nulls=True)

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.operators.batches import in_pieces
 from themeloom.operators.sizes import small
 from themeloom.plans.staging import release, staged
 
@@ -45,7 +46,7 @@ def summaries(lemmas: DataFrame, counters: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         n_rows = lost = 0
-        for batch in batches:
+        for batch in in_pieces(batches):
             n_rows += batch.num_rows
             met = pc.value_counts(batch.column(0).flatten().drop_null())
             met = zip(met.field("values").to_pylist(), met.field("counts").to_pylist())

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from themeloom.operators.batches import in_pieces
 from themeloom.operators.sizes import BROADCAST_NUMBERS
 
-# Numbers of a product that are laid out at once (16 MiB of doubles).
-AT_ONCE = 2_000_000
+# Numbers of a product that are laid out at once (4 MiB of doubles).
+AT_ONCE = 500_000
 
 
 def fits(rows: int, columns: int) -> bool:
@@ -109,7 +110,7 @@ def _by_batch(
     n = len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             made = as_lists(work(batch.columns[n:]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], made], names=[*carried, out])
 

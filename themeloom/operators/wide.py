@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators import products
+from themeloom.operators.batches import in_pieces
 from themeloom.operators.sizes import BROADCAST_NUMBERS
 
 # Vectors of a block beyond those asked for, passes at most, and when to stop.
@@ -54,7 +55,7 @@ def gram_times(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, size))
-        for batch in batches:
+        for batch in in_pieces(batches):
             at, lengths = products.flat(batch.column(0))
             values, _ = products.flat(batch.column(1))
             rows = products.sums_by_row(at, values, lengths, shared.value)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeloom import schemas
+from themeloom.operators.batches import AT_ONCE, in_pieces
 
 # The element that holds one article, and the CSV separator.
 ROW_TAG = "document"
@@ -71,7 +72,8 @@ def read_xml(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A parsed record takes several times its bytes.
+        for batch in in_pieces(batches, AT_ONCE // 4):
             records = batch.column(0).to_pylist()
             parsed = [_fields_of(record, names) for record in records]
             columns = [[own.get(name) if own else None for own in parsed] for name in names]
