@@ -343,3 +343,18 @@ def test_the_nearest_is_the_nearest_however_close(spark):
     )
     near = {r["rank"]: r.docid for r in clusters.nearest_articles(distances, 2).collect()}
     assert near == {1: 3, 2: 2}
+
+
+def test_passes_read_packed_rows(spark):
+    from pyspark.ml.linalg import Vectors
+    from themeloom.operators import kmeans
+
+    rows = [(i, Vectors.sparse(5, [i % 4, 4], [1.0 + i, -0.5])) for i in range(300)] + [(300, Vectors.sparse(5, [], []))]
+    table = spark.createDataFrame(rows, ["docid", "features"]).coalesce(1)
+    prepared = kmeans.rows_of(table, "features")
+    (packed,) = prepared.packed.collect()
+    lengths, at = np.frombuffer(packed.lengths, np.int64), np.frombuffer(packed["at"], np.int32)
+    assert lengths.tolist() == [2] * 300 + [0] and at.tolist() == [p for i in range(300) for p in (i % 4, 4)]
+    assert np.frombuffer(packed["values"]).tolist() == [x for i in range(300) for x in (1.0 + i, -0.5)]
+    sums, counts, _ = kmeans._totals(prepared, np.zeros((1, 5)), with_sums=True)
+    assert counts.tolist() == [301] and np.ldexp(sums[0].astype(float), -prepared.units.value_bits)[4] == -150.0

@@ -96,6 +96,7 @@ def fit_themes(
         .collect()
     )
     release(rows)
+    release(prepared.packed)
     seen = [r.cluster for r in sorted(sizes, key=lambda r: (-r.n, r.first))]
     unseen = [i for i in range(len(centres)) if i not in seen]
     return Themes(centres[seen + unseen], cost)

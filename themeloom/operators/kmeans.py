@@ -7,7 +7,9 @@ up to the same in any order, so a fit gives equal centres however the rows are
 cut into tasks, on however many cores, and after the loss of an executor.
 
 An iteration is one pass: tasks send a sum per centre and position, which are
-added in groups if there are many tasks.
+added in groups if there are many tasks. The passes read the rows' entries out
+of packed bytes, many rows in one, so that no entry is turned into a value of
+a table again and again.
 """
 
 import math
@@ -19,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.operators.batches import in_pieces
 from themeloom.operators.products import flat, stored_entries, sums_by_row
+from themeloom.plans.staging import staged
 
 # Passes that choose candidates, candidates of a pass per cluster, and local refinements of them.
 ROUNDS = 2
@@ -29,6 +33,9 @@ LOCAL_ITERATIONS = 30
 # A fit ends when no centre moves further than this.
 TOLERANCE = 1e-4
 
+# Bytes of rows that are packed into one.
+PACKED_BYTES = 1 << 20
+
 # Sums of tasks that reach the driver.
 GROUPS = 64
 
@@ -49,9 +56,10 @@ class Units:
 
 @dataclass(frozen=True)
 class Rows:
-    """``docid, at, values`` of the rows to be clustered, and what bounds them."""
+    """``docid, at, values`` of the rows to be clustered, the same packed, and what bounds them."""
 
     table: DataFrame
+    packed: DataFrame
     n: int
     width: int
     units: Units
@@ -77,7 +85,31 @@ def rows_of(table: DataFrame, features: str) -> Rows:
         return 61 - math.ceil(math.log2(most))
 
     units = Units(bits(found.n * largest), bits(found.n * 4 * found.width * largest**2))
-    return Rows(entries, found.n, found.width, units, entries.rdd.getNumPartitions())
+    packed = staged(pack(entries), "packed-rows")
+    return Rows(entries, packed, found.n, found.width, units, packed.rdd.getNumPartitions())
+
+
+def pack(entries: DataFrame) -> DataFrame:
+    """``lengths, at, values`` of many rows as bytes, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches, PACKED_BYTES):
+            at, lengths = flat(batch.column(0))
+            values, _ = flat(batch.column(1))
+            parts = {"lengths": lengths, "at": at.astype(np.int32), "values": values.astype(np.float64)}
+            yield pa.RecordBatch.from_pydict({name: [part.tobytes()] for name, part in parts.items()})
+
+    return entries.select("at", "values").mapInArrow(run, "lengths binary, at binary, values binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lengths, positions and values of each packed row."""
+    for batch in batches:
+        lists = [column.cast(pa.binary()) for column in batch.columns]
+        for row in zip(*lists):
+            yield tuple(
+                np.frombuffer(part.as_buffer(), kind) for part, kind in zip(row, (np.int64, np.int32, np.float64))
+            )
 
 
 def nearest(
@@ -102,9 +134,7 @@ def _totals(rows: Rows, centres: np.ndarray, with_sums: bool) -> tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, cost = np.zeros(size + k, np.int64), 0
-        for batch in batches:
-            at, lengths = flat(batch.column(0))
-            values, _ = flat(batch.column(1))
+        for lengths, at, values in unpacked(batches):
             labels, far = nearest(at, values, lengths, shared.value)
             total[size:] += np.bincount(labels, minlength=k)
             cost += _whole_sum(units.of_distances(far))
@@ -121,7 +151,7 @@ def _totals(rows: Rows, centres: np.ndarray, with_sums: bool) -> tuple[np.ndarra
         yield pa.RecordBatch.from_pydict({"total": [total.tobytes()], "cost": [cost]})
 
     schema = "total binary, cost long"
-    sums = rows.table.select("at", "values").mapInArrow(run, schema)
+    sums = rows.packed.select("lengths", "at", "values").mapInArrow(run, schema)
     if rows.parts > GROUPS:
         sums = sums.repartition(GROUPS).mapInArrow(added, schema)
     found = sums.collect()
@@ -158,7 +188,7 @@ def _candidates(rows: Rows, k: int, seed: int) -> np.ndarray:
         shared = rows.table.sparkSession.sparkContext.broadcast(chosen)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_pieces(batches):
                 at, lengths = flat(batch.column(1))
                 values, _ = flat(batch.column(2))
                 _, far = nearest(at, values, lengths, shared.value)
