@@ -3,13 +3,12 @@
 from collections.abc import Collection, Sequence
 
 import numpy as np
-from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import arrays
-from themeloom.operators import cooccurrence, products
+from themeloom.operators import cooccurrence, products, skipgram
 from themeloom.operators.sizes import small
 from themeloom.operators.weights import Vocabulary, weight_rows
 from themeloom.plans.staging import staged
@@ -25,25 +24,21 @@ def train_word_vectors(
     vector_size: int = VECTOR_SIZE,
     seed: int = SEED,
     min_count: int = 5,
-) -> Word2VecModel:
-    """Word vectors of the articles' own lemmas.
+) -> skipgram.WordVectors:
+    """Word vectors of the articles' own lemmas, trained as Spark's Word2Vec does.
 
-    Spark trains with all vectors on the driver. With ``terms``, those of the
-    vocabulary, which are all that is ever looked up, its share follows from
-    their number and not from the data; other words are left out.
+    With ``terms``, those of the vocabulary, which are all that is ever looked
+    up, other words are left out. What is saved is read by Spark's
+    ``Word2VecModel.load``.
     """
-    if terms is not None:
-        wanted = list(terms)
-        lemmas = lemmas.select(F.filter("lemmas", lambda word: word.isin(wanted)).alias("lemmas"))
-    trainer = Word2Vec(
-        vectorSize=vector_size,
-        minCount=min_count,
-        seed=seed,
-        numPartitions=lemmas.sparkSession.sparkContext.defaultParallelism,
-        inputCol="lemmas",
-        outputCol="vec",
-    )
-    return trainer.fit(lemmas.select("lemmas"))
+    tasks = lemmas.sparkSession.sparkContext.defaultParallelism
+    wanted = None if terms is None else list(terms)
+    table = skipgram.train(lemmas, wanted, vector_size, seed, min_count, tasks)
+    params = {
+        "vectorSize": vector_size, "minCount": min_count, "seed": seed, "numPartitions": tasks,
+        "inputCol": "lemmas", "outputCol": "vec",
+    }
+    return skipgram.WordVectors(table, params)
 
 
 def counted_word_vectors(
@@ -68,7 +63,7 @@ def counted_word_vectors(
     return vectors.join(small(named, len(words)), "word_id").select("word", "vector")
 
 
-def vectors_of(model: Word2VecModel) -> DataFrame:
+def vectors_of(model: skipgram.WordVectors) -> DataFrame:
     """``word, vector array<double>`` of a trained model."""
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
