@@ -135,6 +135,33 @@ def test_gain_of_a_move_is_the_change_of_the_likelihood(monkeypatch):
             assert got[c] == pytest.approx(classlm.likelihood(pairs_under(moved)) - before_move, abs=1e-6)
 
 
+def test_gains_of_many_words_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(classlm, "MOST_LAID_OUT", 3000)
+    rng = np.random.default_rng(5)
+    n_words, size = 60, classlm.SIZE
+    own, twice = rng.integers(0, classlm.CLASSES, n_words), rng.integers(0, 3, n_words).astype(float)
+    ahead, behind = (rng.poisson(rng.random((n_words, 1)) ** 3, (n_words, size)).astype(float) for _ in "ab")
+    ahead[0], behind[1] = 0.0, 0.0
+    pairs = rng.integers(0, 9, (size, size)).astype(float)
+    for word in range(n_words):
+        pairs[own[word]] += ahead[word]
+        pairs[:, own[word]] += behind[word]
+        pairs[own[word], own[word]] += twice[word]
+    together = classlm.gains_of_words(own, ahead, behind, twice, classlm.ClassPairs(pairs))
+    before_move = classlm.likelihood(pairs)
+    for word in range(n_words):
+        without = pairs.copy()
+        without[own[word]] -= ahead[word]
+        without[:, own[word]] -= behind[word]
+        without[own[word], own[word]] -= twice[word]
+        for c in (0, int(own[word]), classlm.CLASSES - 1):
+            moved = without.copy()
+            moved[c] += ahead[word]
+            moved[:, c] += behind[word]
+            moved[c, c] += twice[word]
+            assert together[word, c] == pytest.approx(classlm.likelihood(moved) - before_move, abs=1e-6)
+
+
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_language_model_beats_single_words_on_held_out(spark, tables, scale):
     tables = tables.replace("sf0.001", scale)

@@ -64,6 +64,8 @@ ROUNDS = 8
 MOST_HELD = 300_000
 # Tokens whose pairs are counted at once; a longer document is taken by itself.
 MOST_TOKENS = 4_000_000
+# Numbers of class pairs that are laid out at once.
+MOST_LAID_OUT = 250_000
 
 
 def is_held_out(doc_id):
@@ -293,39 +295,74 @@ def gains(
     """Change of the likelihood when a word moves from class ``own`` to each exchanged class.
 
     ``after[c]`` and ``before[c]`` count words of class c beside it, without
-    itself; ``twice`` counts it beside itself. Only the columns and rows of
-    classes beside the word are looked at.
+    itself; ``twice`` counts it beside itself.
     """
-    next_to, last_to = np.flatnonzero(after), np.flatnonzero(before)
-    a, b = after[:CLASSES], before[:CLASSES]
-    # The class pairs without the word; they change in its own row and column only.
-    right, right_logs = pairs.n[:CLASSES, next_to], pairs.logs[:CLASSES, next_to]
-    right[own] -= after[next_to]
-    right[:, next_to == own] -= b[:, None]
-    right[own, next_to == own] -= twice
-    right_logs[own] = _x_log_x(right[own])
-    right_logs[:, next_to == own] = _x_log_x(right[:, next_to == own])
-    left, left_logs = pairs.n[last_to, :CLASSES], pairs.logs[last_to, :CLASSES]
-    left[:, own] -= before[last_to]
-    left[last_to == own] -= a
-    left[last_to == own, own] -= twice
-    left_logs[:, own] = _x_log_x(left[:, own])
-    left_logs[last_to == own] = _x_log_x(left[last_to == own])
+    return gains_of_words(np.array([own]), after[None], before[None], np.array([twice]), pairs)[0]
+
+
+def gains_of_words(
+    own: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, pairs: ClassPairs
+) -> np.ndarray:
+    """``gains`` of many words, a row each.
+
+    Only the columns and rows of classes beside a word are looked at; words
+    beside which there are as many classes are worked on together.
+    """
+    a, b = after[:, :CLASSES], before[:, :CLASSES]
+    ahead = _side_gains(own, after, b, twice, pairs.n[:CLASSES].T, pairs.logs[:CLASSES].T)
+    behind = _side_gains(own, before, a, twice, pairs.n[:, :CLASSES], pairs.logs[:, :CLASSES])
     # Its neighbours' rows and columns have the word, whatever its class.
-    n_after, n_before = after.sum() + twice, before.sum() + twice
-    rows, columns = pairs.rows[:CLASSES].copy(), pairs.columns[:CLASSES].copy()
-    rows[own] -= n_after
-    columns[own] -= n_before
-    corner = pairs.corner[:CLASSES].copy()
-    corner[own] -= after[own] + before[own] + twice
+    n_after, n_before = after.sum(axis=1) + twice, before.sum(axis=1) + twice
+    word = np.arange(len(own))
+    rows = np.tile(pairs.rows[:CLASSES], (len(own), 1))
+    columns = np.tile(pairs.columns[:CLASSES], (len(own), 1))
+    corner = np.tile(pairs.corner[:CLASSES], (len(own), 1))
+    rows[word, own] -= n_after
+    columns[word, own] -= n_before
+    corner[word, own] -= after[word, own] + before[word, own] + twice
     # Likelihood with the word in class c, up to terms that are the same for all c.
-    row_gain = (_x_log_x(right + after[next_to]) - right_logs).sum(axis=1)
-    column_gain = (_x_log_x(left + before[last_to, None]) - left_logs).sum(axis=0)
-    more = _x_log_x(np.stack([corner + a + b + twice, corner + a, corner + b, corner]))
-    both = more[0] - more[1] - more[2] + more[3]
-    sums = _x_log_x(np.stack([rows + n_after, rows, columns + n_before, columns]))
-    value = row_gain + column_gain + both - (sums[0] - sums[1] + sums[2] - sums[3])
-    return value - value[own]
+    both = _x_log_x(corner + a + b + twice[:, None]) - _x_log_x(corner + a)
+    both = both - _x_log_x(corner + b) + _x_log_x(corner)
+    sums = _x_log_x(rows + n_after[:, None]) - _x_log_x(rows)
+    sums = sums + _x_log_x(columns + n_before[:, None]) - _x_log_x(columns)
+    value = ahead + behind + both - sums
+    return value - value[word, own][:, None]
+
+
+def _side_gains(
+    own: np.ndarray,
+    beside: np.ndarray,
+    other: np.ndarray,
+    twice: np.ndarray,
+    n: np.ndarray,
+    logs: np.ndarray,
+) -> np.ndarray:
+    """What the pairs with classes on one side of each word gain, by the word's class.
+
+    ``beside`` counts that side, ``other`` the exchanged classes of the other.
+    A row of ``n`` and ``logs`` has the pairs of a class of that side.
+    """
+    gained = np.zeros((len(own), n.shape[1]))
+    different = (beside > 0).sum(axis=1)
+    for k in np.unique(different[different > 0]).tolist():
+        of_size = np.flatnonzero(different == k)
+        most = max(MOST_LAID_OUT // (k * CLASSES), 1)
+        for begin in range(0, len(of_size), most):
+            some = of_size[begin : begin + most]
+            word, mine = np.arange(len(some)), own[some]
+            near = np.nonzero(beside[some])[1].reshape(len(some), k)
+            counts = beside[some[:, None], near]
+            # The class pairs without the word; they change in its own row and column only.
+            pairs, pair_logs = n[near], logs[near]
+            pairs[word, :, mine] -= counts
+            at, place = np.nonzero(near == mine[:, None])
+            pairs[at, place] -= other[some[at]]
+            pairs[at, place, mine[at]] -= twice[some[at]]
+            pair_logs[word, :, mine] = _x_log_x(pairs[word, :, mine])
+            pair_logs[at, place] = _x_log_x(pairs[at, place])
+            pairs += counts[:, :, None]
+            gained[some] = (_x_log_x(pairs) - pair_logs).sum(axis=1)
+    return gained
 
 
 def likelihood(pairs: np.ndarray) -> float:
@@ -342,6 +379,19 @@ def _ends(column: pa.Array) -> list[int]:
     return np.cumsum([len(own) // 4 for own in column.to_pylist()]).tolist()
 
 
+def _beside(
+    words: np.ndarray, others: np.ndarray, n: np.ndarray, ends: list[int], classes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class stands on one side of each word, and the word itself."""
+    row = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    itself = others == words[row]
+    counted = np.bincount(
+        row[~itself] * SIZE + classes[others[~itself]], n[~itself], len(words) * SIZE
+    )
+    twice = np.bincount(row[itself], n[itself], len(words))
+    return counted.reshape(len(words), SIZE), twice
+
+
 def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
     """``word, best`` of words that another class suits better; at most HEAD rows."""
     shared = sides.sparkSession.sparkContext.broadcast((of, ClassPairs(pairs)))
@@ -349,25 +399,18 @@ def better_classes(sides: DataFrame, of: np.ndarray, pairs: np.ndarray) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, all_pairs = shared.value
         for batch in batches:
-            words = batch.column(0).to_pylist()
+            words = batch.column(0).to_numpy()
             after, n_after = _joined(batch.column(1), "<i4"), _joined(batch.column(2), "<i8")
             before, n_before = _joined(batch.column(3), "<i4"), _joined(batch.column(4), "<i8")
             # Classes beside the words; a word beside itself is counted apart.
-            near_after, near_before = classes[after], classes[before]
-            moved, i, j = [], 0, 0
-            for word, k, m in zip(words, _ends(batch.column(1)), _ends(batch.column(3))):
-                other, o = after[i:k] != word, before[j:m] != word
-                twice = float(n_after[i:k][~other].sum())
-                ahead = np.bincount(near_after[i:k][other], n_after[i:k][other], SIZE)
-                behind = np.bincount(near_before[j:m][o], n_before[j:m][o], SIZE)
-                i, j = k, m
-                value = gains(int(classes[word]), ahead, behind, twice, all_pairs)
-                best = int(value.argmax())
-                if value[best] > 1e-9:
-                    moved.append((word, best))
-            word, best = zip(*moved) if moved else ((), ())
+            ahead, twice = _beside(words, after, n_after, _ends(batch.column(1)), classes)
+            behind, _ = _beside(words, before, n_before, _ends(batch.column(3)), classes)
+            own = classes[words]
+            value = gains_of_words(own, ahead, behind, twice, all_pairs)
+            best = value.argmax(axis=1)
+            moves = value[np.arange(len(words)), best] > 1e-9
             yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(word, pa.int64()), "best": pa.array(best, pa.int64())}
+                {"word": pa.array(words[moves]), "best": pa.array(best[moves].astype(np.int64))}
             )
 
     return sides.mapInArrow(run, "word long, best long").collect()
