@@ -44,6 +44,22 @@ def test_a_matrix_beyond_the_driver_is_refused(spark):
         wide.leading_eigenvectors(_sparse(spark, np.zeros((1, 2)), 1), 10_000_000, 10)
 
 
+def test_passes_do_not_make_the_rows_again(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.random((40, 60)) * (rng.random((40, 60)) < 0.3)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = _sparse(spark, rows, 3)
+    table = table.select("docid", "features").mapInArrow(counted, table.schema)
+    values, _, _ = wide.leading_eigenvectors(table, 60, 3)
+    assert np.allclose(np.sqrt(values), np.linalg.svd(rows)[1][:3]) and made.value == 40
+
+
 def test_pass_over_rows_in_small_pieces(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = rng.normal(size=(30, 12)) * (rng.random((30, 12)) < 0.5)

@@ -118,8 +118,8 @@ def factorised(
 ) -> DataFrame:
     """``word_id, vector``: left singular vectors times the roots of the singular values.
 
-    Rows, ``word_id, at, entries``, are read in every pass, so stage them. A
-    matrix of lower rank gives zeros at the end of the vectors.
+    Rows, ``word_id, at, entries``, are read twice, so stage them. A matrix of
+    lower rank gives zeros at the end of the vectors.
     """
     features = (F.col("at"), F.col("entries"))
     squares, basis, _ = wide.leading_eigenvectors(

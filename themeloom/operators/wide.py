@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.operators import products
-from themeloom.operators.batches import in_pieces
+from themeloom.operators.kmeans import pack, unpacked
 from themeloom.operators.sizes import BROADCAST_NUMBERS
+from themeloom.plans.staging import staged
 
 # Vectors of a block beyond those asked for, passes at most, and when to stop.
 OVERSAMPLE = 10
@@ -34,11 +35,13 @@ def add_by_column(
 ) -> None:
     """Add to ``total`` the transpose of rows given by their entries, times ``rows``."""
     ends = np.cumsum(lengths)
+    # Numbers of two bytes are sorted by digits.
+    kind = np.uint16 if len(total) <= 1 << 16 else at.dtype
     for begin, end in products.pieces(lengths, rows.shape[1]):
         first, last = ends[begin] - lengths[begin], ends[end - 1]
         if first == last:
             continue
-        columns = at[first:last]
+        columns = at[first:last].astype(kind, copy=False)
         order = np.argsort(columns, kind="stable")
         owner = np.repeat(np.arange(begin, end), lengths[begin:end])[order]
         laid_out = rows[owner] * values[first:last][order, None]
@@ -50,23 +53,28 @@ def gram_times(
     table: DataFrame, block: np.ndarray, features: str | tuple[Column, Column] = "features"
 ) -> np.ndarray:
     """``A'A`` times ``block`` in one pass over the rows of ``A``."""
+    return _packed_gram_times(_packed(table, features), block)
+
+
+def _packed(table: DataFrame, features: str | tuple[Column, Column]) -> DataFrame:
+    at, values = products.entries_of(features)
+    return pack(table.select(at.alias("at"), values.alias("values")))
+
+
+def _packed_gram_times(packed: DataFrame, block: np.ndarray) -> np.ndarray:
     width, size = block.shape
-    shared = table.sparkSession.sparkContext.broadcast(np.ascontiguousarray(block))
+    shared = packed.sparkSession.sparkContext.broadcast(np.ascontiguousarray(block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, size))
-        for batch in in_pieces(batches):
-            at, lengths = products.flat(batch.column(0))
-            values, _ = products.flat(batch.column(1))
+        for lengths, at, values in unpacked(batches):
             rows = products.sums_by_row(at, values, lengths, shared.value)
             add_by_column(at, values, lengths, rows, total)
         met = np.flatnonzero(total.any(axis=1))
         sums = products.as_lists(total[met])
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), sums], ["pos", "sums"])
 
-    at, values = products.entries_of(features)
-    parts = table.select(at.alias("at"), values.alias("entries"))
-    parts = parts.mapInArrow(run, "pos int, sums array<double>")
+    parts = packed.mapInArrow(run, "pos int, sums array<double>")
     whole = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size)]
     summed = parts.groupBy("pos").agg(*whole)
     summed = summed.select("pos", F.array(*[f"s{i}" for i in range(size)]).alias("sums"))
@@ -101,7 +109,8 @@ def leading_eigenvectors(
     The residual is the length of ``A'A v - s v`` over the largest eigenvalue.
     Passes end when it is at most ``tolerance``, when there is no direction
     left, which makes the result exact, or after ``passes``; the residual
-    tells which. Stage the table, as every pass reads it.
+    tells which. The table is read once; every pass reads its entries as
+    packed bytes.
     """
     size = min(k + oversample, width)
     if 2 * width * size * passes > BROADCAST_NUMBERS:
@@ -111,8 +120,9 @@ def leading_eigenvectors(
     basis = np.zeros((width, 0))
     images = np.zeros((width, 0))
     values, vectors, residual = np.zeros(0), basis, 0.0
+    packed = staged(_packed(table, features), "packed-rows")
     for _ in range(passes):
-        image = gram_times(table, block, features)
+        image = _packed_gram_times(packed, block)
         basis, images = np.hstack([basis, block]), np.hstack([images, image])
         small = basis.T @ images
         found, turns = np.linalg.eigh((small + small.T) / 2)
