@@ -35,7 +35,7 @@ LEAST_RATE = RATE * 1e-4
 # Tokens that are laid out at once, those that learn from the same vectors, and words
 # of a block of vectors.
 TOKENS = 4000
-STEP = 24
+STEP = 48
 BLOCK = 1024
 
 
