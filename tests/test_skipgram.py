@@ -1,5 +1,7 @@
 """Word vectors trained by the library, against Spark's model and what training must do."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import Word2VecModel
@@ -81,3 +83,34 @@ def test_no_word_often_enough_is_an_error(spark):
         docvectors.train_word_vectors(rare)
     lone = docvectors.train_word_vectors(rare, vector_size=3, min_count=1)
     assert _vectors(lone).keys() == {"a", "b"}
+
+
+def test_a_task_holds_no_more_vectors_however_many_words_there_are():
+    n = 400_000
+    tree = skipgram.huffman(list(range(2 * n, n, -1)))
+    tracemalloc.start()
+    trainer = skipgram.Trainer(tree, 100, 0)
+    # Each word is there once, beside its neighbours.
+    for ids in np.split(np.arange(n), 100)[::10]:
+        trainer.learn(ids, np.zeros(len(ids), int), np.ones(len(ids), int), 0.025)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert trainer.met.sum() == n // 10 and peak < 800 * n / 2
+
+
+def test_vectors_in_files_are_those_in_memory():
+    tree = skipgram.huffman(list(range(300, 0, -1)))
+    whole, cut = skipgram.Trainer(tree, 6, 0), skipgram.Trainer(tree, 6, 0, held=7)
+    random = np.random.default_rng(3)
+    for _ in range(20):
+        # Some words are never met, some only by themselves.
+        ids = np.minimum(random.geometric(0.02, 200), 290)
+        owner = np.sort(random.integers(0, 90, 200))
+        reach = random.integers(1, 6, 200)
+        for trainer in (whole, cut):
+            trainer.learn(ids, owner, reach, 0.1)
+    met = np.flatnonzero(whole.met)
+    assert (whole.met == cut.met).all() and len(met) > 100 and met[-1] > 200
+    assert len(cut.inputs) == len(cut.outputs) == 7 and cut.rare_inputs.n > 90
+    assert (whole.vectors_of(met) == cut.vectors_of(met)).all()
+    assert np.abs(whole.vectors_of(met) - skipgram.first_vectors(met, 6, 0)).max() > 0.01

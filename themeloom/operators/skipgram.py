@@ -6,19 +6,24 @@ one array, and the driver collects all vectors. Here a task has its own
 arrays and takes a few words at once, all their contexts in one product; what
 it sends is averaged by blocks of words, on the executors.
 
-The driver holds the words with their counts, and the tree of their codes. A
-task holds two vectors for each word that it meets.
+The driver holds the words with their counts, and the tree of their codes; a
+task holds some twenty bytes a word, and the two vectors of each of the ``HELD``
+most frequent. Vectors of rarer words wait in a file of the task while its texts
+are without them, so that memory does not grow with the vectors there are.
 """
 
 import json
+import os
+import tempfile
 import time
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +43,9 @@ TOKENS = 4000
 STEP = 48
 BLOCK = 1024
 
+# Words, and nodes of the tree, whose vectors a task holds in memory.
+HELD = 1 << 17
+
 
 @dataclass(frozen=True)
 class WordVectors:
@@ -74,17 +82,18 @@ def word_counts(lemmas: DataFrame) -> DataFrame:
     return parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def huffman(counts: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Of each node of the tree, its parent and whether it is the second child.
 
-    ``counts`` descend. Leaves are the words, inner node ``i`` is ``len(counts) + i``,
+    ``counts`` descend. Leaves are the words, inner nodes follow them by weight,
     and the root is the last one.
     """
     n = len(counts)
-    weights = [*counts, *[0] * (n - 1)]
-    parent, second = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, bool)
+    weights = array("q", counts)
+    parent, second = np.zeros(2 * n - 1, np.int32), np.zeros(2 * n - 1, bool)
     leaf, inner = n - 1, n
     for made in range(n, 2 * n - 1):
+        weights.append(0)
         for child in (0, 1):
             if leaf >= 0 and (inner == made or weights[leaf] < weights[inner]):
                 least, leaf = leaf, leaf - 1
@@ -95,20 +104,28 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return parent, second
 
 
-def paths(parent: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inner nodes above each word and the label at each, flat, and where each word's begin."""
-    n = (len(parent) + 1) // 2
-    root, at, words = 2 * n - 2, np.arange(n), np.arange(n)
+def paths(
+    parent: np.ndarray, second: np.ndarray, words: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inner nodes above each word and the label at each, flat, and where each word's begin.
+
+    Nodes are numbered from the root, which is 0, so that those of frequent
+    words come first. All words are meant if none are given.
+    """
+    root = len(parent) - 1
+    at = np.arange(root // 2 + 1) if words is None else words
+    n, of = len(at), np.arange(len(at))
     owners, nodes, labels = [], [], []
     while True:
         going = at != root
-        at, words = at[going], words[going]
+        at, of = at[going], of[going]
         if not len(at):
             break
-        owners.append(words)
-        nodes.append(parent[at] - n)
+        above = parent[at]
+        owners.append(of)
+        nodes.append(root - above)
         labels.append(~second[at])
-        at = parent[at]
+        at = above
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(n + 1, np.int64)
     owner = np.concatenate(owners)
@@ -152,50 +169,106 @@ def _different(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return different, place[ids]
 
 
+class Scratch:
+    """Rows of numbers in a file without a name, in the order in which they were first put.
+
+    It lies where Spark puts what its Python workers spill, and goes with the task.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.at, self.n, self.file = np.full(n, -1, np.int32), 0, None
+
+    def take(self, rows: np.ndarray, taken: np.ndarray) -> None:
+        """The rows into ``taken``, zeros for one that was never put."""
+        for row, at in zip(taken, self.at[rows].tolist()):
+            if at < 0:
+                row[:] = 0.0
+            else:
+                os.preadv(self.file.fileno(), [row], at * row.nbytes)
+
+    def put(self, rows: np.ndarray, values: np.ndarray) -> None:
+        if self.file is None and len(rows):
+            folders = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")
+            self.file = tempfile.TemporaryFile(dir=folders[os.getpid() % len(folders)], buffering=0)
+        new = rows[self.at[rows] < 0]
+        self.at[new] = np.arange(self.n, self.n + len(new))
+        self.n += len(new)
+        for row, at in zip(values, self.at[rows].tolist()):
+            if os.pwrite(self.file.fileno(), row, at * row.nbytes) < row.nbytes:
+                raise OSError("no room for word vectors in the folder of the task")
+
+
 class Trainer:
-    """The vectors of one task."""
+    """The vectors of one task: the first ``held`` words and nodes in memory, others in files."""
 
-    def __init__(self, tree: tuple[np.ndarray, np.ndarray], size: int, seed: int) -> None:
-        self.nodes, self.labels, self.begins = paths(*tree)
-        self.n_words, self.size, self.seed = len(self.begins) - 1, size, seed
+    def __init__(self, tree: tuple[np.ndarray, np.ndarray], size: int, seed: int, held: int | None = None) -> None:
+        self.tree, self.size, self.seed = tree, size, seed
+        self.n_words = (len(tree[0]) + 1) // 2
+        held, n_nodes = HELD if held is None else held, max(self.n_words - 1, 1)
         self.known, self.met = np.zeros(self.n_words, bool), np.zeros(self.n_words, bool)
         # Pages that nothing is written to take no memory.
-        self.inputs = np.zeros((self.n_words, size), np.float32)
-        self.outputs = np.zeros((max(self.n_words - 1, 1), size), np.float32)
-        self.place = np.zeros(self.n_words, np.int64)
+        self.inputs = np.zeros((min(self.n_words, held), size), np.float32)
+        self.outputs = np.zeros((min(n_nodes, held), size), np.float32)
+        self.rare_inputs = Scratch(self.n_words - len(self.inputs))
+        self.rare_outputs = Scratch(n_nodes - len(self.outputs))
 
     def learn(self, ids: np.ndarray, owner: np.ndarray, reach: np.ndarray, rate: float) -> None:
         """Raise the likelihood of the words of some sentences after their contexts."""
-        new = np.unique(ids[~self.known[ids]])
-        self.inputs[new] = first_vectors(new, self.size, self.seed)
-        self.known[new] = True
         words, contexts = near_places(owner, reach)
         self.met[ids[contexts]] = True
+        # What these sentences need is laid out by itself, and put back at the end.
+        own, ids = np.unique(ids, return_inverse=True)
+        inputs = _taken(self.inputs, self.rare_inputs, own)
+        new = ~self.known[own]
+        inputs[new] = first_vectors(own[new], self.size, self.seed)
+        self.known[own] = True
+        self.nodes, self.labels, self.begins = paths(*self.tree, own)
+        nodes, at = np.unique(self.nodes, return_inverse=True)
+        outputs = _taken(self.outputs, self.rare_outputs, nodes)
+        vectors, place = (inputs, outputs, at), np.empty(max(len(own), len(nodes)), np.int64)
         cuts = np.searchsorted(words, np.arange(0, len(ids) + STEP, STEP)).tolist()
         for begin, i, j in zip(range(0, len(ids), STEP), cuts, cuts[1:]):
             if i < j:
                 first = max(begin - WINDOW, 0)
                 near = ids[first : begin + STEP + WINDOW]
-                self._step(ids[begin : begin + STEP], words[i:j] - begin, near, contexts[i:j] - first, rate)
+                pairs = words[i:j] - begin, contexts[i:j] - first
+                self._step(vectors, ids[begin : begin + STEP], near, pairs, rate, place)
+        _put(self.inputs, self.rare_inputs, own, inputs)
+        _put(self.outputs, self.rare_outputs, nodes, outputs)
+
+    def vectors_of(self, words: np.ndarray) -> np.ndarray:
+        """The vectors of words that were met, by ascending number."""
+        return _taken(self.inputs, self.rare_inputs, words)
 
     def _step(
-        self, ids: np.ndarray, words: np.ndarray, near: np.ndarray, contexts: np.ndarray, rate: float
+        self,
+        vectors: tuple[np.ndarray, np.ndarray, np.ndarray],
+        ids: np.ndarray,
+        near: np.ndarray,
+        pairs: tuple[np.ndarray, np.ndarray],
+        rate: float,
+        place: np.ndarray,
     ) -> None:
-        """Some words of ``ids``, by place, each after a context of ``near``, in a few products."""
-        own, of_word = _different(ids, self.place)
-        near, of_context = _different(near, self.place)
+        """Some words of ``ids``, by place, each after a context of ``near``, in a few products.
+
+        ``vectors`` are those of the words and nodes at hand, and the nodes of the paths among them.
+        """
+        of_words, of_nodes, on_path = vectors
+        words, contexts = pairs
+        own, of_word = _different(ids, place)
+        near, of_context = _different(near, place)
         n = np.bincount(of_context[contexts] * len(own) + of_word[words], minlength=len(near) * len(own))
         n = n.reshape(len(near), len(own)).astype(np.float32)
         begins = self.begins[own]
         lengths = self.begins[own + 1] - begins
         ends = np.cumsum(lengths)
         flat = np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1])
-        nodes, at = _different(self.nodes[flat], self.place)
+        nodes, at = _different(on_path[flat], place)
         owner = np.repeat(np.arange(len(own)), lengths)
         passed, first = np.zeros((2, len(own), len(nodes)), np.float32)
         passed[owner, at] = 1.0
         first[owner, at] = self.labels[flat]
-        inputs, outputs = self.inputs[near], self.outputs[nodes]
+        inputs, outputs = of_words[near], of_nodes[nodes]
         passes = n @ passed
         # exp(-x) as it is up to 80, beyond which the share is zero in any case.
         off = n @ first - passes / (1.0 + np.exp(-np.maximum(inputs @ outputs.T, -80.0)))
@@ -205,15 +278,30 @@ class Trainer:
         steep_inputs = 1.0 + bend * (passes @ np.einsum("ij,ij->i", outputs, outputs))
         steep_outputs = 1.0 + bend * (np.einsum("ij,ij->i", inputs, inputs) @ passes)
         off *= np.float32(rate)
-        self.inputs[near] = inputs + (off @ outputs) / steep_inputs[:, None]
-        self.outputs[nodes] = outputs + (off.T @ inputs) / steep_outputs[:, None]
+        of_words[near] = inputs + (off @ outputs) / steep_inputs[:, None]
+        of_nodes[nodes] = outputs + (off.T @ inputs) / steep_outputs[:, None]
+
+
+def _taken(held: np.ndarray, rare: Scratch, rows: np.ndarray) -> np.ndarray:
+    """Rows by ascending number, the first of them held."""
+    n = np.searchsorted(rows, len(held))
+    taken = np.empty((len(rows), held.shape[1]), np.float32)
+    np.take(held, rows[:n], axis=0, out=taken[:n], mode="clip")
+    rare.take(rows[n:] - len(held), taken[n:])
+    return taken
+
+
+def _put(held: np.ndarray, rare: Scratch, rows: np.ndarray, values: np.ndarray) -> None:
+    n = np.searchsorted(rows, len(held))
+    held[rows[:n]] = values[:n]
+    rare.put(rows[n:] - len(held), values[n:])
 
 
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of words, some sentences at once, and the sentence of each."""
     held: list[np.ndarray] = []
     size = 0
-    for batch in batches:
+    for batch in in_pieces(batches):
         for ids in batch.column(0).to_pylist():
             own = np.frombuffer(ids, "<i4")
             for begin in range(0, len(own), LONGEST):
@@ -231,12 +319,11 @@ def _laid_out(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.repeat(np.arange(len(held)), [len(own) for own in held])
 
 
-def _numbered(lemmas: DataFrame, words: list[str]) -> DataFrame:
+def _numbered(lemmas: DataFrame, words: Broadcast[pa.Array]) -> DataFrame:
     """``ids binary``: one int32 for each listed word of an article."""
-    shared = lemmas.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = pa.array(shared.value, pa.string())
+        listed = words.value
         # Every piece looks the list through once, so it is no shorter than the list.
         for batch in in_pieces(batches, max(AT_ONCE, listed.nbytes)):
             lists = batch.column(0)
@@ -266,11 +353,11 @@ def train(
     found = word_counts(lemmas).where(F.col("n") >= min_count)
     counted = (found if terms is None else found.where(F.col("word").isin(terms))).toArrow()
     counted = counted.sort_by([("n", "descending"), ("word", "ascending")])
-    words, counts = counted.column("word").to_pylist(), counted.column("n").to_pylist()
-    if not words:
+    if not len(counted):
         raise ValueError(f"no word is found {min_count} times")
-    shared = spark.sparkContext.broadcast(huffman(counts))
-    total, n_words = sum(counts) + 1, len(words)
+    counts, n_words = counted.column("n").to_numpy(), len(counted)
+    shared, total = spark.sparkContext.broadcast(huffman(counts)), int(counts.sum()) + 1
+    words = spark.sparkContext.broadcast(counted.column("word").cast(pa.string()).combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -283,7 +370,7 @@ def train(
         for begin in range(0, n_words, BLOCK):
             met = begin + np.flatnonzero(trainer.met[begin : begin + BLOCK])
             if len(met):
-                row = (begin // BLOCK, part, met.astype("<i4").tobytes(), trainer.inputs[met].tobytes())
+                row = (begin // BLOCK, part, met.astype("<i4").tobytes(), trainer.vectors_of(met).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names)
 
     names, kinds = ["block", "part", "met", "vectors"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -312,11 +399,9 @@ def train(
         F.lit(b"").alias("met"), F.lit(b"").alias("vectors"),
     )
     vectors = parts.unionByName(every).groupBy("block").applyInArrow(mean, "word_id int, vector array<float>")
-    listed = spark.sparkContext.broadcast(words)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.array(listed.value, pa.string())
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([own.take(batch.column(0)), batch.column(1)], ["word", "vector"])
+            yield pa.RecordBatch.from_arrays([words.value.take(batch.column(0)), batch.column(1)], ["word", "vector"])
 
     return staged(vectors.mapInArrow(named, "word string, vector array<float>"), "word-vectors")
