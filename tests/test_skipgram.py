@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.feature import Word2VecModel
 
 from themeloom.operators import docvectors, skipgram
+from themeloom.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +115,33 @@ def test_vectors_in_files_are_those_in_memory():
     assert len(cut.inputs) == len(cut.outputs) == 7 and cut.rare_inputs.n > 90
     assert (whole.vectors_of(met) == cut.vectors_of(met)).all()
     assert np.abs(whole.vectors_of(met) - skipgram.first_vectors(met, 6, 0)).max() > 0.01
+
+
+def test_the_vectors_of_some_terms_are_those_that_all_words_give(topics):
+    every = _vectors(docvectors.train_word_vectors(topics, vector_size=8))
+    some = _vectors(docvectors.train_word_vectors(topics, ["t0_1", "nowhere", "c3"], vector_size=8))
+    assert some.keys() == {"t0_1", "c3"}
+    assert all((some[word] == every[word]).all() for word in some)
+    with pytest.raises(ValueError, match="no word"):
+        docvectors.train_word_vectors(topics, ["nowhere"])
+
+
+def test_articles_vectors_come_from_words_that_learn_from_all_words(spark, tmp_path, monkeypatch):
+    letters, random = "abcdefghij", np.random.default_rng(4)
+    listed = np.array(["q" + "".join(letters[int(d)] for d in f"{i:04d}") for i in range(1300)])
+    texts = [" ".join(listed[random.permutation(1300 - 60 * (i % 9))[:400]]) for i in range(60)]
+    rows = [(i, text, "en", "s", len(text)) for i, text in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    trained, train = [], docvectors.train_word_vectors
+
+    def watched(lemmas, *more):
+        trained.append((lemmas, train(lemmas, *more)))
+        return trained[-1][1]
+
+    monkeypatch.setattr(docvectors, "train_word_vectors", watched)
+    vecs = {r.docid: r.vec for r in catalogue.doc_vectors_trained(spark, str(tmp_path)).collect()}
+    ((lemmas, model),) = trained
+    own, every = _vectors(model), _vectors(train(lemmas))
+    assert 900 < len(own) <= 1000 < 1200 < len(every) and len(vecs) == 60
+    assert all((own[word] == every[word]).all() for word in own)

@@ -27,8 +27,9 @@ def train_word_vectors(
 ) -> skipgram.WordVectors:
     """Word vectors of the articles' own lemmas, trained as Spark's Word2Vec does.
 
-    With ``terms``, those of the vocabulary, which are all that is ever looked
-    up, other words are left out. What is saved is read by Spark's
+    All words are trained, as each learns from those beside it. With
+    ``terms``, those of the vocabulary, which are all that is ever looked up,
+    the others' vectors are not kept. What is saved is read by Spark's
     ``Word2VecModel.load``.
     """
     tasks = lemmas.sparkSession.sparkContext.defaultParallelism

@@ -345,19 +345,26 @@ def train(
 ) -> DataFrame:
     """``word, vector array<float>``, staged, of words found ``min_count`` times or more.
 
-    With ``terms``, other words are left out, as if the texts were without
-    them. The texts are dealt to ``tasks`` tasks; a word's vector is the mean
-    over the tasks that met it beside another word.
+    All of them are trained, as each learns from those beside it; with
+    ``terms``, only the vectors of these are given. The texts are dealt to
+    ``tasks`` tasks; a word's vector is the mean over the tasks that met it
+    beside another word.
     """
     spark = lemmas.sparkSession
-    found = word_counts(lemmas).where(F.col("n") >= min_count)
-    counted = (found if terms is None else found.where(F.col("word").isin(terms))).toArrow()
+    counted = word_counts(lemmas).where(F.col("n") >= min_count).toArrow()
     counted = counted.sort_by([("n", "descending"), ("word", "ascending")])
-    if not len(counted):
+    listed, wanted = counted.column("word").cast(pa.string()), None
+    if terms is not None:
+        wanted = np.flatnonzero(pc.is_in(listed, value_set=pa.array(terms, pa.string())))
+    if not len(listed if wanted is None else wanted):
         raise ValueError(f"no word is found {min_count} times")
     counts, n_words = counted.column("n").to_numpy(), len(counted)
     shared, total = spark.sparkContext.broadcast(huffman(counts)), int(counts.sum()) + 1
-    words = spark.sparkContext.broadcast(counted.column("word").cast(pa.string()).combine_chunks())
+    words = spark.sparkContext.broadcast(listed.combine_chunks())
+
+    def given(block: int) -> np.ndarray:
+        at = np.arange(block * BLOCK, min((block + 1) * BLOCK, n_words))
+        return at if wanted is None else np.intersect1d(at, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -367,10 +374,11 @@ def train(
             rate = max(RATE * (1 - tasks * done / total), LEAST_RATE)
             trainer.learn(ids, owner, random.integers(1, WINDOW + 1, len(ids)), rate)
             done += len(ids)
-        for begin in range(0, n_words, BLOCK):
-            met = begin + np.flatnonzero(trainer.met[begin : begin + BLOCK])
+        for block in range(-(-n_words // BLOCK)):
+            met = given(block)
+            met = met[trainer.met[met]]
             if len(met):
-                row = (begin // BLOCK, part, met.astype("<i4").tobytes(), trainer.vectors_of(met).tobytes())
+                row = (block, part, met.astype("<i4").tobytes(), trainer.vectors_of(met).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names)
 
     names, kinds = ["block", "part", "met", "vectors"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -386,8 +394,8 @@ def train(
             sums[at] += np.frombuffer(vectors, "<f4").reshape(-1, size)
             n[at] += 1
         # A word that is never beside another keeps its first vector.
-        at = np.arange(block * BLOCK, min((block + 1) * BLOCK, n_words))
-        sums, n = sums[: len(at)], n[: len(at)]
+        at = given(block)
+        sums, n = sums[at - block * BLOCK], n[at - block * BLOCK]
         means = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], first_vectors(at, size, seed))
         offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * size)
         lists = pa.ListArray.from_arrays(offsets, pa.array(means.astype(np.float32).ravel()))
