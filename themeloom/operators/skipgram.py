@@ -374,6 +374,8 @@ def train(
             rate = max(RATE * (1 - tasks * done / total), LEAST_RATE)
             trainer.learn(ids, owner, random.integers(1, WINDOW + 1, len(ids)), rate)
             done += len(ids)
+        # The larger file goes before vectors are sent.
+        del trainer.outputs, trainer.rare_outputs
         for block in range(-(-n_words // BLOCK)):
             met = given(block)
             met = met[trainer.met[met]]
